@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from colloquy.functions.binding import let
 
@@ -25,7 +25,7 @@ def strip_accents(text) -> Column:
     return F.regexp_replace(F.translate(_c(text), ACCENTED, PLAIN), r"\p{Mn}", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_accents_nfd(s):
     """Full canonical decomposition for scripts beyond Latin (Arrow batches)."""
     import unicodedata

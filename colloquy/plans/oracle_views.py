@@ -49,6 +49,20 @@ SELECT session_id, pos, act_ord, role, CASE WHEN general THEN 'General' ELSE int
   WHEN slot0 = '门票' AND v % 5 = 0 THEN '免费'
   WHEN v = 7 THEN '无' ELSE 'v' || v END AS value, event_id, ts, n, k
 FROM v_named1"""),
+    "v_phrase": (("v_named",), """
+SELECT *, CASE WHEN event_id % 17 = 0 THEN '好的' ELSE '我要 ' || CASE WHEN contains(slot, '酒店设施') THEN string_split(slot, '-')[2] ELSE value END || ' 吧' END AS phrase
+FROM v_named"""),
+    "v_said": (("v_phrase",), """
+SELECT session_id, pos, role, string_agg(phrase, '，' ORDER BY act_ord) AS content FROM v_phrase GROUP BY session_id, pos, role"""),
+    "v_short": (("v_named",), """
+SELECT *, intent || '+' || domain || '+' || CASE WHEN intent = 'Select' THEN '源领域+' || value
+  WHEN contains(slot, '酒店设施') AND intent = 'Inform' THEN string_split(slot, '-')[1] || '+' || value
+  WHEN contains(slot, '酒店设施') AND intent = 'Request' THEN string_split(slot, '-')[1] ELSE slot END AS short FROM v_named"""),
+    "v_intent": (("v_short",), """
+SELECT *, (intent IN ('Inform', 'Recommend') OR contains(istr, '酒店设施')) AND NOT suffix(istr, '无') AS rep,
+ CASE WHEN contains(slot, '酒店设施') THEN string_split(slot, '-')[2] END AS fac,
+ CASE WHEN contains(istr, '酒店设施') THEN coalesce(string_split(slot, '-')[2], value) ELSE value END AS surf
+FROM (SELECT *, CASE WHEN short || '+' || value = 'Inform+景点+门票+免费' OR value = '无' THEN short || '+' || value ELSE short END AS istr FROM v_short)"""),
     "v_gold": (("v_acts",), """
 SELECT session_id, pos, role, 'g' || (session_id % 5) AS goal_type, act_ord, intent, domain, slot, value FROM v_acts"""),
     "v_pred": (("v_acts",), """

@@ -281,3 +281,16 @@ def subgoals(spark, sf):
         F.round(F.col("l_discount") * 100).cast("bigint").alias("disc"),
         F.round(F.col("l_tax") * 100).cast("bigint").alias("tax"),
     )
+
+
+def said(spark, sf):
+    """Named act turns with an utterance that mentions most of the act values."""
+    a = named_acts(spark, sf)
+    surface = F.when(F.col("slot").contains(K.FACILITY), F.get(F.split("slot", "-"), F.lit(1))).otherwise(F.col("value"))
+    a = a.withColumn("phrase", F.when(F.col("event_id") % 17 == 0, "好的").otherwise(F.concat(F.lit("我要 "), surface, F.lit(" 吧"))))
+    return a.groupBy("session_id", "pos", "role").agg(
+        F.array_sort(F.collect_list(F.struct("act_ord", F.struct(*ACT).alias("act"), "phrase"))).alias("_t")
+    ).select(
+        "session_id", "pos", "role", F.transform("_t", lambda x: x["act"]).alias("acts"),
+        F.array_join(F.transform("_t", lambda x: x["phrase"]), "，").alias("content"),
+    )
