@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from colloquy import constants as K
+from colloquy.functions.binding import let
 
 
 def _c(x) -> Column:
@@ -143,15 +144,46 @@ def _replaceable(a, intent) -> Column:
     return (a["intent"].isin(*K.SPAN_INTENTS) | intent.contains(K.FACILITY)) & ~intent.endswith(K.ABSENT)
 
 
-def _found(text, a) -> Column:
-    facility = F.when(a["slot"].contains(K.FACILITY), _facility_part(a, 1))
-    return text.contains(a["value"]) | F.coalesce(
-        (facility != "") & text.contains(facility), F.lit(False)
-    )
+def _prepared(acts) -> Column:
+    """Acts with the per-act strings the text passes need, each computed once."""
+
+    def one(a):
+        facility = F.when(a["slot"].contains(K.FACILITY), _facility_part(a, 1))
+        return let(
+            intent_string(a),
+            lambda name: F.struct(
+                a.alias("a"),
+                name.alias("name"),
+                _replaceable(a, name).alias("rep"),
+                F.coalesce(facility, F.lit("")).alias("facility"),
+                F.when(name.contains(K.FACILITY), F.coalesce(_facility_part(a, 1), a["value"]))
+                .otherwise(a["value"])
+                .alias("surface"),
+            ),
+        )
+
+    return F.transform(_c(acts), one)
+
+
+def _hit(text, p) -> Column:
+    found = text.contains(p["a"]["value"]) | ((p["facility"] != "") & text.contains(p["facility"]))
+    return p["rep"] & found
+
 
+def _count(seen, name) -> Column:
+    return F.size(F.filter(seen, lambda x: x == name))
 
-def _surface(a, intent) -> Column:
-    return F.when(intent.contains(K.FACILITY), F.coalesce(_facility_part(a, 1), a["value"])).otherwise(a["value"])
+
+def _mark(name, number="") -> Column:
+    tail = number if isinstance(number, Column) else F.lit(number)
+    return F.concat(F.lit("["), name, tail, F.lit("]"))
+
+
+def _put_mark(text, p, n) -> Column:
+    """The value becomes ``[name]``, a repeat ``[nameN]`` while the first is renamed ``[name1]``."""
+    renamed = F.replace(text, _mark(p["name"]), _mark(p["name"], "1"))
+    repeat = F.replace(renamed, p["surface"], _mark(p["name"], n.cast("string")))
+    return F.when(n > 1, repeat).otherwise(F.replace(text, p["surface"], _mark(p["name"])))
 
 
 def delexicalize_text(text, acts, count_mode="found") -> Column:
@@ -164,50 +196,49 @@ def delexicalize_text(text, acts, count_mode="found") -> Column:
         _c(text).alias("text"), F.array().cast("array<string>").alias("seen"), F.lit(True).alias("usable")
     )
 
-    def step(s, a):
-        intent = intent_string(a)
-        hit = _replaceable(a, intent) & _found(s["text"], a)
-        counted = hit if count_mode == "found" else F.lit(True)
-        seen = F.when(counted, F.array_append(s["seen"], intent)).otherwise(s["seen"])
-        n = F.size(F.filter(seen, lambda x: x == intent))
-        mark = F.concat(F.lit("["), intent, F.lit("]"))
-        first = F.concat(F.lit("["), intent, F.lit("1]"))
-        numbered = F.concat(F.lit("["), intent, n.cast("string"), F.lit("]"))
-        value = _surface(a, intent)
-        text = F.when(
-            hit & (n > 1), F.replace(F.replace(s["text"], mark, first), value, numbered)
-        ).when(hit, F.replace(s["text"], value, mark)).otherwise(s["text"])
-        return F.struct(
-            text.alias("text"),
-            seen.alias("seen"),
-            (s["usable"] & (hit | ~_replaceable(a, intent))).alias("usable"),
-        )
+    def step(s, p):
+        def counted(b):
+            n = _count(b["seen"], p["name"])
+            return F.struct(
+                F.when(b["hit"], _put_mark(s["text"], p, n)).otherwise(s["text"]).alias("text"),
+                b["seen"].alias("seen"),
+                (s["usable"] & (b["hit"] | ~p["rep"])).alias("usable"),
+            )
 
-    return F.aggregate(_c(acts), start, step)
+        def with_hit(hit):
+            grow = F.array_append(s["seen"], p["name"])
+            seen = F.when(hit, grow).otherwise(s["seen"]) if count_mode == "found" else grow
+            return let(F.struct(hit.alias("hit"), seen.alias("seen")), counted)
+
+        return let(_hit(s["text"], p), with_hit)
+
+    return F.aggregate(_prepared(acts), start, step)
 
 
 def fill_template(template, acts, clear_left=False) -> Column:
     """Put act values back into ``[intent]`` placeholders; optionally blank what is left over."""
     start = F.struct(_c(template).alias("text"), F.array().cast("array<string>").alias("seen"))
 
-    def step(s, a):
-        base = intent_string(a)
-        seen = F.array_append(s["seen"], base)
-        n = F.size(F.filter(seen, lambda x: x == base))
-        intent = F.when(n > 1, F.concat(base, n.cast("string"))).otherwise(base)
-        value = _surface(a, intent)
+    def step(s, p):
+        a = p["a"]
         absent = (a["intent"] == "Inform") & (a["value"] == K.ABSENT)
-        text = F.when(
-            absent,
-            F.replace(
-                F.replace(s["text"], F.lit(K.SUBJECT_MARK), a["domain"]), F.lit(K.ATTRIBUTE_MARK), a["slot"]
-            ),
-        ).otherwise(s["text"])
-        text = F.replace(text, F.concat(F.lit("["), intent, F.lit("]")), value)
-        text = F.replace(text, F.concat(F.lit("["), intent, F.lit("1]")), value)
-        return F.struct(text.alias("text"), seen.alias("seen"))
+        marked = F.replace(F.replace(s["text"], F.lit(K.SUBJECT_MARK), a["domain"]), F.lit(K.ATTRIBUTE_MARK), a["slot"])
+        text = F.when(absent, marked).otherwise(s["text"])
+
+        def fill(seen):
+            n = _count(seen, p["name"])
+            name = F.when(n > 1, F.concat(p["name"], n.cast("string"))).otherwise(p["name"])
+            return let(
+                name,
+                lambda m: F.struct(
+                    F.replace(F.replace(text, _mark(m), p["surface"]), _mark(m, "1"), p["surface"]).alias("text"),
+                    seen.alias("seen"),
+                ),
+            )
+
+        return let(F.array_append(s["seen"], p["name"]), fill)
 
-    done = F.aggregate(_c(acts), start, step)["text"]
+    done = F.aggregate(_prepared(acts), start, step)["text"]
     return F.regexp_replace(done, r"\[[^\[\]]+\]", " ") if clear_left else done
 
 
@@ -218,57 +249,48 @@ def feature_triples(acts, text=None) -> Column:
     delexicalised) text; without it values are taken as they are and facility acts
     carry no number.
     """
-    acts = _c(acts)
     start = F.struct(
         (_c(text) if text is not None else F.lit("")).alias("text"),
         F.array().cast("array<string>").alias("seen"),
         F.array().cast("array<struct<key:string,slot:string,ord:string,value:string>>").alias("out"),
     )
 
-    def step(s, a):
-        intent = intent_string(a)
-        seen = F.array_append(s["seen"], intent)
-        n = F.size(F.filter(seen, lambda x: x == intent))
-        rep = _replaceable(a, intent)
-        facility = intent.contains(K.FACILITY)
-        surface = _surface(a, intent)
-        mark = F.concat(F.lit("["), intent, F.lit("]"))
+    def row(p, hit, n):
+        a, name = p["a"], p["name"]
+        number = n.cast("string")
         if text is None:
-            hit = rep
-            number = F.when(facility, F.lit("none")).otherwise(n.cast("string"))
-            new_text = s["text"]
-        else:
-            hit = rep & _found(s["text"], a)
-            number = n.cast("string")
-            new_text = F.when(
-                hit & (n > 1),
-                F.replace(
-                    F.replace(s["text"], mark, F.concat(F.lit("["), intent, F.lit("1]"))),
-                    surface,
-                    F.concat(F.lit("["), intent, n.cast("string"), F.lit("]")),
-                ),
-            ).when(hit, F.replace(s["text"], surface, mark)).otherwise(s["text"])
-        value = (
-            F.when(hit, surface)
-            .when(rep, F.lit("none"))
-            .when(a["intent"] == "Request", F.lit("?"))
+            number = F.when(name.contains(K.FACILITY), F.lit("none")).otherwise(number)
+        parts = F.split(name, r"\+")
+        at = lambda i: F.get(parts, F.lit(i))
+        asked = a["intent"] == "Request"
+        return F.struct(
+            F.when(at(0) == "General", F.concat_ws("-", at(0), at(1))).otherwise(F.concat_ws("-", at(1), at(0))).alias("key"),
+            F.when((at(2) == K.FACILITY) & (at(0) == "Inform"), F.concat_ws("+", at(2), at(3)))
+            .when(name.endswith(K.ABSENT), F.concat(at(2), F.lit("+" + K.ABSENT)))
+            .when(name.endswith(K.FREE), F.concat(at(2), F.lit("+" + K.FREE)))
+            .otherwise(at(2))
+            .alias("slot"),
+            F.when(p["rep"], number).when(asked, F.lit("?")).otherwise(F.lit("none")).alias("ord"),
+            F.when(hit, p["surface"])
+            .when(p["rep"], F.lit("none"))
+            .when(asked, F.lit("?"))
             .when(a["intent"] == "Select", a["value"])
             .otherwise(F.lit("none"))
+            .alias("value"),
         )
-        order = F.when(rep, number).when(a["intent"] == "Request", F.lit("?")).otherwise(F.lit("none"))
-        parts = F.split(intent, r"\+")
-        p = lambda i: F.get(parts, F.lit(i))
-        key = F.when(p(0) == "General", F.concat_ws("-", p(0), p(1))).otherwise(F.concat_ws("-", p(1), p(0)))
-        slot = (
-            F.when((p(2) == K.FACILITY) & (p(0) == "Inform"), F.concat_ws("+", p(2), p(3)))
-            .when(intent.endswith(K.ABSENT), F.concat(p(2), F.lit("+" + K.ABSENT)))
-            .when(intent.endswith(K.FREE), F.concat(p(2), F.lit("+" + K.FREE)))
-            .otherwise(p(2))
-        )
-        row = F.struct(key.alias("key"), slot.alias("slot"), order.alias("ord"), value.alias("value"))
-        return F.struct(new_text.alias("text"), seen.alias("seen"), F.array_append(s["out"], row).alias("out"))
 
-    return F.aggregate(acts, start, step)["out"]
+    def step(s, p):
+        def counted(b):
+            n = _count(b["seen"], p["name"])
+            kept = s["text"] if text is None else F.when(b["hit"], _put_mark(s["text"], p, n)).otherwise(s["text"])
+            return F.struct(
+                kept.alias("text"), b["seen"].alias("seen"), F.array_append(s["out"], row(p, b["hit"], n)).alias("out")
+            )
+
+        hit = p["rep"] if text is None else _hit(s["text"], p)
+        return let(F.struct(hit.alias("hit"), F.array_append(s["seen"], p["name"]).alias("seen")), counted)
+
+    return F.aggregate(_prepared(acts), start, step)["out"]
 
 
 def feature_names(triples) -> Column:
