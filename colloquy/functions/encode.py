@@ -43,26 +43,27 @@ def pair_lengths(la, lb, n):
 
 def encode_pair(a, b, n: int, pad="[PAD]") -> Column:
     """``struct<tokens, segments, mask, size>`` of ``[CLS] a [SEP] (b [SEP])`` padded to n; b may be null."""
-    a, b = _c(a), _c(b)
-    la, lb = F.size(a), F.size(b)
-    ka, kb = pair_lengths(la, lb, n)
-    one = F.concat(
-        F.array(F.lit("[CLS]")), F.slice(a, F.lit(1), F.least(la, F.lit(n - 2))), F.array(F.lit("[SEP]"))
-    )
-    two = F.concat(
-        F.array(F.lit("[CLS]")), F.slice(a, F.lit(1), ka), F.array(F.lit("[SEP]")),
-        F.slice(b, F.lit(1), kb), F.array(F.lit("[SEP]")),
-    )
-    tokens = F.when(b.isNull(), one).otherwise(two)
-    size = F.size(tokens)
-    head = F.when(b.isNull(), size).otherwise(ka + 2)
     at = F.sequence(F.lit(0), F.lit(n - 1))
-    return F.struct(
-        pad_or_cut(tokens, n, pad).alias("tokens"),
-        F.transform(at, lambda i: ((i >= head) & (i < size)).cast("int")).alias("segments"),
-        F.transform(at, lambda i: (i < size).cast("int")).alias("mask"),
-        size.alias("size"),
-    )
+    sep = F.array(F.lit("[SEP]"))
+
+    def cut(p):
+        ka, kb = pair_lengths(F.size(p["a"]), F.size(p["b"]), n)
+        alone = p["b"].isNull()
+        ka = F.when(alone, F.least(F.size(p["a"]), F.lit(n - 2))).otherwise(ka)
+        first = F.concat(F.array(F.lit("[CLS]")), F.slice(p["a"], F.lit(1), ka), sep)
+        second = F.concat(F.slice(p["b"], F.lit(1), kb), sep)
+        return F.struct(F.when(alone, first).otherwise(F.concat(first, second)).alias("tokens"), (ka + 2).alias("head"))
+
+    def encode(c):
+        size = F.size(c["tokens"])
+        return F.struct(
+            pad_or_cut(c["tokens"], n, pad).alias("tokens"),
+            F.transform(at, lambda i: ((i >= c["head"]) & (i < size)).cast("int")).alias("segments"),
+            F.transform(at, lambda i: (i < size).cast("int")).alias("mask"),
+            size.alias("size"),
+        )
+
+    return let(let(F.struct(_c(a).alias("a"), _c(b).alias("b")), cut), encode)
 
 
 def one_hot(value, labels) -> Column:

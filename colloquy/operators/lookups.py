@@ -17,9 +17,9 @@ def token_ids(df: DataFrame, tokens: str, vocab: DataFrame, unk: int, key, out="
     keys = list(key)
     need = df.select(*keys, F.explode(F.array_distinct(tokens)).alias("token"))
     known = (
-        need.join(vocab.select("token", "id"), "token")
+        need.join(vocab.select("token", F.col("id").cast("int").alias("_vid")), "token")
         .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("token", F.col("id").cast("int")))).alias("_m"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("token", "_vid"))).alias("_m"))
     )
     tail = F.array(*[F.lit(x) for x in append]).cast("array<int>")
     ids = F.transform(F.col(tokens), lambda t: F.coalesce(F.try_element_at("_m", t), F.lit(unk)))

@@ -236,7 +236,8 @@ def masked_mean_loss(df: DataFrame, losses, length) -> DataFrame:
 def coverage_loss(df: DataFrame, coverage, attention, length) -> DataFrame:
     """Sum of element-wise minima before ``length``, over the number of rows."""
     low = F.zip_with(
-        F.slice(F.col(coverage), F.lit(1), F.col(length)), F.slice(F.col(attention), F.lit(1), F.col(length)), F.least
+        F.slice(F.col(coverage), F.lit(1), F.col(length)), F.slice(F.col(attention), F.lit(1), F.col(length)),
+        lambda c, a: F.least(c, a),
     )
     return df.agg(F.round(F.sum(F.aggregate(low, F.lit(0.0), lambda a, x: a + x)) / F.count(F.lit(1)), 6).alias("loss"))
 

@@ -78,6 +78,24 @@ def carry_last(df: DataFrame, keys, order: str, chunk: Column, value: str, out:
     )
 
 
+def running_sum(df: DataFrame, keys, order: str, chunk: Column, value: str, out: str, inclusive=True) -> DataFrame:
+    """Sum of ``value`` up to (or strictly before) each row, along ``order`` per key."""
+    keys = list(keys)
+    cut = df.withColumn("_chunk", chunk)
+    upto = 0 if inclusive else -1
+    local = F.sum(value).over(W.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, upto))
+    before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1))
+    chunks = cut.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_n")).select(
+        *keys, "_chunk", F.coalesce(before, F.lit(0)).alias("_before")
+    )
+    return (
+        cut.withColumn("_local", F.coalesce(local, F.lit(0)))
+        .join(chunks, [*keys, "_chunk"])
+        .withColumn(out, F.col("_before") + F.col("_local"))
+        .drop("_chunk", "_local", "_before")
+    )
+
+
 def seeded_order(seed, *cols) -> Column:
     """Portable pseudo-random sort key."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))

@@ -113,9 +113,22 @@ SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_pa
 SELECT *, CASE WHEN raw IN ('出租', '地铁') AND id < 3 THEN '酒店' ELSE raw END AS domain FROM v_lines"""),
     "v_subgoals": (("v_lines2",), """
 SELECT l_orderkey AS goal_id, id, domain,
- CASE WHEN domain NOT IN ('出租', '地铁') AND id > 1 AND l_suppkey % 3 = 0 THEN l_suppkey % (id - 1) + 1 END AS ref,
+ CASE WHEN domain NOT IN ('出租', '地铁') AND id > 2 AND l_suppkey % 3 = 0 THEN CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE 2 END END AS ref,
  CAST(l_quantity AS BIGINT) AS qty, CAST(round(l_discount * 100) AS BIGINT) AS disc, CAST(round(l_tax * 100) AS BIGINT) AS tax
 FROM v_lines2"""),
+    "v_tuples": (("v_subgoals",), """
+SELECT goal_id, id, domain, ref, c.o AS o, c.kind AS kind, c.slot AS slot, c.value AS value, c.is_list AS is_list FROM v_subgoals, unnest(list_filter([
+ {'o': 0, 'kind': 'c', 'slot': '名称', 'value': CASE WHEN ref IS NOT NULL THEN ['出现在id=' || ref || '的周边' || domain || '里'] WHEN domain NOT IN ('出租', '地铁') AND qty % 4 = 0 THEN ['n' || qty] END, 'is_list': false},
+ {'o': 1, 'kind': 'c', 'slot': '评分', 'value': CASE WHEN domain NOT IN ('出租', '地铁') AND disc >= 5 THEN [disc || '分以上'] END, 'is_list': false},
+ {'o': 2, 'kind': 'c', 'slot': '推荐菜', 'value': CASE WHEN domain = '餐馆' AND disc % 2 = 1 THEN ['菜a', '菜b' || qty] END, 'is_list': true},
+ {'o': 3, 'kind': 'c', 'slot': '出发地', 'value': CASE WHEN domain IN ('出租', '地铁') THEN ['id=1'] END, 'is_list': false},
+ {'o': 4, 'kind': 'c', 'slot': '目的地', 'value': CASE WHEN domain IN ('出租', '地铁') THEN ['id=2'] END, 'is_list': false},
+ {'o': 5, 'kind': 'r', 'slot': CASE WHEN domain IN ('出租', '地铁') THEN '车型' ELSE '地址' END, 'value': CAST([] AS VARCHAR[]), 'is_list': false},
+ {'o': 6, 'kind': 'r', 'slot': '周边景点', 'value': CASE WHEN domain NOT IN ('出租', '地铁') AND tax % 2 = 1 THEN CAST([] AS VARCHAR[]) END, 'is_list': true}],
+ lambda x: x.value IS NOT NULL)) AS t(c)"""),
+    "v_gstate": (("v_tuples",), """
+SELECT *, (goal_id + i) % 5 <> 0 AS expressed, CASE WHEN len(value) = 0 AND (goal_id + i) % 7 <> 0 THEN ['x'] ELSE value END AS filled
+FROM (SELECT *, row_number() OVER (PARTITION BY goal_id ORDER BY id, o) - 1 AS i FROM v_tuples)"""),
 }
 
 

@@ -265,13 +265,10 @@ def subgoals(spark, sf):
     )
     raw = F.get(F.array(*[F.lit(d) for d in K.DOMAINS]), (F.col("l_partkey") % 5).cast("int"))
     moving = raw.isin(*K.TRANSPORT)
-    first = F.col("id") == 1
     domain = F.when(moving & (F.col("id") < 3), F.lit(K.HOTEL)).otherwise(raw)
     li = li.withColumn("domain", domain)
-    ref = F.when(
-        ~F.col("domain").isin(*K.TRANSPORT) & ~first & (F.col("l_suppkey") % 3 == 0),
-        F.col("l_suppkey") % (F.col("id") - 1) + 1,
-    )
+    hop = ~F.col("domain").isin(*K.TRANSPORT) & (F.col("id") > 2) & (F.col("l_suppkey") % 3 == 0)
+    ref = F.when(hop, F.when(F.col("l_suppkey") % 2 == 0, 1).otherwise(2))
     return li.select(
         F.col("l_orderkey").alias("goal_id"),
         "id",
@@ -294,3 +291,37 @@ def said(spark, sf):
         "session_id", "pos", "role", F.transform("_t", lambda x: x["act"]).alias("acts"),
         F.array_join(F.transform("_t", lambda x: x["phrase"]), "，").alias("content"),
     )
+
+
+def goals(spark, sf):
+    """Goal rows: ``subs`` array of sub-goals with constraints and requests."""
+    from colloquy.operators.goals import constraint as con
+
+    g = subgoals(spark, sf)
+    moving = F.col("domain").isin(*K.TRANSPORT)
+    d, ref = F.col("domain"), F.col("ref")
+    name = F.when(ref.isNotNull(), F.concat(F.lit("出现在id="), ref.cast("string"), F.lit("的周边"), d, F.lit("里"))).when(
+        ~moving & (F.col("qty") % 4 == 0), F.concat(F.lit("n"), F.col("qty"))
+    )
+    rating = F.when(~moving & (F.col("disc") >= 5), F.concat(F.col("disc"), F.lit("分以上")))
+    dishes = F.when((d == K.RESTAURANT) & (F.col("disc") % 2 == 1), F.array(F.lit("菜a"), F.concat(F.lit("菜b"), F.col("qty"))))
+    cons = F.filter(
+        F.array(
+            F.when(name.isNotNull(), con(K.NAME, F.array(name))),
+            F.when(rating.isNotNull(), con(K.RATING, F.array(rating))),
+            F.when(dishes.isNotNull(), con(K.DISH, dishes, True)),
+            F.when(moving, con(K.ORIGIN_SLOT, F.array(F.lit("id=1")))),
+            F.when(moving, con(K.DESTINATION_SLOT, F.array(F.lit("id=2")))),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    reqs = F.filter(
+        F.array(F.when(moving, "车型").otherwise("地址"), F.when(~moving & (F.col("tax") % 2 == 1), "周边景点")),
+        lambda x: x.isNotNull(),
+    )
+    method = F.when(moving, "交通").when(ref.isNull(), K.STANDALONE).otherwise(F.concat(F.lit("id="), ref.cast("string"), F.lit("的周边")))
+    sub = F.struct(
+        F.col("id").cast("int").alias("id"), "domain", method.alias("method"), F.col("ref").cast("int").alias("ref"),
+        cons.alias("constraints"), reqs.alias("requests"),
+    )
+    return g.select("goal_id", sub.alias("sub")).groupBy("goal_id").agg(F.array_sort(F.collect_list("sub")).alias("subs"))

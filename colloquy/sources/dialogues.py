@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from colloquy.functions.features import kb_memory, memory_triples
+from colloquy.operators.ordered import carry_last, running_sum
+from colloquy.operators.staging import stage
 
 
 def dialogue_lines(text: DataFrame, value="value", source="source") -> DataFrame:
@@ -68,8 +70,8 @@ def memory_positions(exchanges: DataFrame, dialogue="session_id", entities: Data
     """
     split = lambda c: F.split(c, " ")
     sized = exchanges.withColumn("_u", F.size(split("usr"))).withColumn("_b", F.size(split("bot")))
-    w = W.partitionBy(dialogue).orderBy("turn_id").rowsBetween(W.unboundedPreceding, -1)
-    sized = sized.withColumn("_at", F.coalesce(F.sum(F.col("_u") + F.col("_b")).over(w), F.lit(0)))
+    span = F.floor(F.col("turn_id") / 1024)
+    sized = stage(running_sum(sized.withColumn("_w", F.col("_u") + F.col("_b")), [dialogue], "turn_id", span, "_w", "_at", inclusive=False))
     # an occurrence in user words is visible at its own turn, one in a reply from the next turn on
     said = sized.select(
         dialogue, F.col("turn_id").alias("seen_at"), F.posexplode(split("usr")).alias("k", "word"), "_at"
@@ -82,7 +84,7 @@ def memory_positions(exchanges: DataFrame, dialogue="session_id", entities: Data
     if entities is not None:
         asked = asked.join(entities.select("word").distinct(), "word", "left_semi")
     asked = asked.withColumn("_ask", F.lit(True))
-    both = asked.join(seen, [dialogue, "word", "turn_id"], "full_outer")
-    run = W.partitionBy(dialogue, "word").orderBy("turn_id").rowsBetween(W.unboundedPreceding, 0)
-    out = both.withColumn("last_pos", F.max("p").over(run)).filter("_ask and last_pos is not null")
+    both = stage(asked.join(seen, [dialogue, "word", "turn_id"], "full_outer"))
+    # positions grow with the turns, so the last known one is the largest
+    out = carry_last(both, [dialogue, "word"], "turn_id", span, "p", "last_pos").filter("_ask and last_pos is not null")
     return out.select(dialogue, "turn_id", "word", F.col("last_pos").cast("bigint").alias("last_pos"))

@@ -71,8 +71,9 @@ def check(spark, con, name, fn, sql, sf_dir):
     if sorted(cols) != sorted(df.columns):
         return f"{name}: COLUMNS {sorted(df.columns)} vs {sorted(cols)}", False
     if got != want:
-        extra = [r for r in got if r not in set(want)][:3]
-        missing = [r for r in want if r not in set(got)][:3]
+        gs, ws = set(got), set(want)
+        extra = [r for r in got if r not in ws][:3]
+        missing = [r for r in want if r not in gs][:3]
         return f"{name}: DIFF rows {len(got)} vs {len(want)}{note}\n  spark-only {extra}\n  sql-only   {missing}", False
     return f"{name}: ok rows={len(got)} spark {spent:.1f}s sql {dspent:.1f}s{note}", not odd and bool(got)
 
