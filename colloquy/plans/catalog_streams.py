@@ -11,6 +11,7 @@ from colloquy.functions import acts as A
 from colloquy.operators import metrics as M, state as S, vocab as Vo
 from colloquy.operators.staging import stage, stage_dir
 from colloquy.plans import views as V
+from colloquy.plans.catalog_state import TRACK
 from colloquy.plans.registry import query
 from colloquy.streaming import jobs as J
 from colloquy.streaming.tracker import stream_state_tracker
@@ -86,14 +87,23 @@ def _(spark, sf):
     return out.groupBy("event_type").agg(F.sum("n").alias("n"))
 
 
-@query("stream_state_tracker")
+@query(
+    "stream_state_tracker",
+    TRACK + """, ut AS (SELECT DISTINCT session_id, pos FROM usr), tch AS (SELECT DISTINCT session_id, domain, slot FROM chg),
+g AS (SELECT ut.session_id, ut.pos, t.domain, t.slot, last_value(chg.value IGNORE NULLS) OVER (PARTITION BY ut.session_id, t.domain, t.slot ORDER BY ut.pos ROWS UNBOUNDED PRECEDING) AS value
+ FROM ut JOIN tch t ON t.session_id = ut.session_id LEFT JOIN chg ON chg.session_id = ut.session_id AND chg.pos = ut.pos AND chg.domain = t.domain AND chg.slot = t.slot)
+SELECT * FROM g WHERE value <> ''""",
+    ("v_named",),
+)
 def _(spark, sf):
     """The online tracker over all sessions; its rows carry the belief after every user turn."""
     t = stage(V.act_turns(V.named_acts(spark, sf)).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("pos") * 60)))
     src = f"{stage_dir(spark)}/turns-{uuid.uuid4().hex}"
     t.write.parquet(src)
     stream = spark.readStream.schema(t.schema).parquet(src)
-    return run_stream(spark, stream_state_tracker(stream))
+    out = run_stream(spark, stream_state_tracker(stream))
+    rows = out.select("session_id", "pos", F.explode(F.from_json("belief", "map<string,map<string,string>>")).alias("domain", "held"))
+    return rows.select("session_id", "pos", "domain", F.explode("held").alias("slot", "value"))
 
 
 @query("plugin_acts")

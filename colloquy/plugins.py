@@ -32,13 +32,15 @@ def track_sessions(turns: DataFrame, make: Callable[[], Callable], schema: str,
     sessions are bounded; the built-in tracker has no such limit.
     """
 
+    names = [f.name for f in T._parse_datatype_string(schema).fields]
+
     def fold(pdf):
         step, state, rows = make(), None, []
         for r in pdf.sort_values("pos").itertuples(index=False):
             state, row = step(state, r.role, [tuple(a.values()) if isinstance(a, dict) else tuple(a) for a in r.acts])
             if row is not None:
                 rows.append((getattr(r, session), r.pos, *row))
-        return pd.DataFrame(rows, columns=[f.name for f in T._parse_datatype_string(schema).fields])
+        return pd.DataFrame(rows, columns=names)
 
     return turns.select(session, "pos", "role", "acts").groupBy(session).applyInPandas(fold, schema)
 

@@ -104,10 +104,12 @@ class SessionTracker(StatefulProcessor):
     def _frame(self, rows):
         return pd.DataFrame(rows, columns=["session_id", "pos", "cur_domain", "belief", "pending"])
 
-    def handleInputRows(self, key, rows, timer):
+    def handleInputRows(self, key, rows, timerValues):
         session, nxt = self._load()
         waiting = {r[0]: (r[1], r[2]) for r in self.early.get()} if self.early.exists() else {}
+        latest = 0
         for pdf in rows:
+            latest = max(latest, int(pdf["ms"].max()))
             for pos, role, acts in zip(pdf["pos"], pdf["role"], pdf["acts"]):
                 waiting.setdefault(int(pos), (role, acts))
         out, nxt, left = self._advance(session, nxt, waiting, key[0])
@@ -116,13 +118,13 @@ class SessionTracker(StatefulProcessor):
         if left:
             self.early.put([(p, r, a) for p, (r, a) in left.items()])
         for t in list(self.handle.listTimers()):
+            latest = max(latest, t - self.idle_ms)
             self.handle.deleteTimer(t)
-        mark = timer.getCurrentWatermarkInMs()
-        self.handle.registerTimer(mark + self.idle_ms)
+        self.handle.registerTimer(latest + self.idle_ms)
         if out:
             yield self._frame(out)
 
-    def handleExpiredTimer(self, key, timer, expired):
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         session, nxt = self._load()
         waiting = {r[0]: (r[1], r[2]) for r in self.early.get()} if self.early.exists() else {}
         out, _, _ = self._advance(session, nxt, waiting, key[0], force=True)
@@ -137,8 +139,13 @@ class SessionTracker(StatefulProcessor):
 
 def stream_state_tracker(turns: DataFrame, delay="10 minutes", idle_ms=3_600_000, apply=apply_user_turn) -> DataFrame:
     """``turns(session_id, pos, role, acts array<act>, ts)`` stream -> belief after every user turn."""
+    # several state variables per session need the RocksDB store
+    turns.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
     packed = turns.withWatermark("ts", delay).select(
-        "session_id", F.col("pos").cast("bigint").alias("pos"), "role", "ts",
+        "session_id", F.col("pos").cast("bigint").alias("pos"), "role", "ts", F.unix_millis("ts").alias("ms"),
         F.to_json(F.transform("acts", lambda a: F.array(a["intent"], a["domain"], a["slot"], a["value"]))).alias("acts"),
     )
     return packed.groupBy("session_id").transformWithStateInPandas(
