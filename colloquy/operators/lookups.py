@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy import constants as K
+from colloquy.operators.ordered import dense_position
 
 
 def token_ids(df: DataFrame, tokens: str, vocab: DataFrame, unk: int, key, out="ids", append=()) -> DataFrame:
@@ -49,18 +50,23 @@ def coverage(attached: DataFrame) -> DataFrame:
     )
 
 
-def cooccurrence(df: DataFrame, items: str) -> DataFrame:
-    """(item, other) distinct pairs of items sharing a list; items that occur once overall are no keys."""
-    distinct = F.array_distinct(items)
+def cooccurrence(rows: DataFrame, key: str, item: str) -> DataFrame:
+    """(item, other) distinct pairs of items sharing a list; items that occur once overall are no keys.
+
+    ``rows(key, item)`` holds one row per list element. Lists are reduced to their
+    distinct items and equal lists to one before pairs are formed inside a row, so
+    repetition in a list or among lists costs nothing.
+    """
+    lists = rows.select(key, F.col(item).alias("item")).distinct().groupBy(key).agg(F.sort_array(F.collect_set("item")).alias("_d"))
     pairs = (
-        df.select(distinct.alias("_d"))
+        lists.select("_d")
         .distinct()
         .select(F.explode("_d").alias("item"), "_d")
         .select("item", F.explode("_d").alias("other"))
         .filter("item <> other")
         .distinct()
     )
-    frequent = df.select(F.explode(items).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    frequent = rows.groupBy(F.col(item).alias("item")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return pairs.join(frequent.select("item"), "item", "left_semi")
 
 
@@ -121,12 +127,11 @@ def select_template(turns: DataFrame, library: DataFrame, key: str, turn_key, se
     """Seeded choice of one template per turn among those stored for its key; null on a miss.
 
     ``library(key, template)``. Templates get a dense number per key, the turn picks a
-    number, and the two meet in an equi-join on (key, number), so a popular key is
-    spread over its templates.
+    number (in hash order, chunk by chunk), and the two meet in an equi-join on
+    (key, number), so a popular key is spread over its templates.
     """
-    numbered = library.select(key, "template").distinct().withColumn(
-        "_i", F.row_number().over(W.partitionBy(key).orderBy("template")) - 1
-    )
+    known = library.select(key, "template").distinct().withColumn("_m", F.md5("template"))
+    numbered = dense_position(known, [key], ["_m", "template"], F.substring("_m", 1, 3), out="_i").drop("_m")
     sizes = numbered.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *turn_key)), 1, 8), 16, 10).cast("bigint")
     return (

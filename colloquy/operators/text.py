@@ -118,20 +118,21 @@ def split_delex(text, segment=None) -> Column:
     )
 
 
-def wordpiece(df: DataFrame, tokens: str, vocab: DataFrame, out="pieces", unk="[UNK]", longest=100) -> DataFrame:
+def wordpiece(df: DataFrame, tokens: str, vocab: DataFrame, key, out="pieces", unk="[UNK]", longest=100, broadcast_rows=500_000) -> DataFrame:
     """Greedy longest-match pieces with ``##`` continuations.
 
-    The vocabulary is a model file of fixed size; it is broadcast once and each Arrow
-    batch is cut against it.
+    Up to ``broadcast_rows`` vocabulary entries (checked by a bounded count) each Arrow
+    batch is cut against a broadcast set; a larger vocabulary is matched by joins instead.
     """
+    if vocab.select("token").limit(broadcast_rows + 1).count() > broadcast_rows:
+        return wordpiece_by_join(df, tokens, vocab, key, out, unk, longest)
     held = df.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in vocab.select("token").toLocalIterator()))
 
     @F.pandas_udf("array<string>")
     def cut(rows):
         import pandas as pd
 
-        words = held.value
-        memo = {}
+        words, memo = held.value, {}
 
         def one(token):
             if len(token) > longest:
@@ -156,3 +157,43 @@ def wordpiece(df: DataFrame, tokens: str, vocab: DataFrame, out="pieces", unk="[
         return pd.Series([[p for t in row for p in cached(t)] if row is not None else None for row in rows])
 
     return df.withColumn(out, cut(tokens))
+
+
+def wordpiece_by_join(df, tokens, vocab, key, out="pieces", unk="[UNK]", longest=100) -> DataFrame:
+    """The same cut for vocabularies of any size.
+
+    Every distinct token lists its substrings up to the longest vocabulary piece; an
+    equi-join keeps those in the vocabulary; the longest match per start is followed from
+    position 1. Only distinct tokens are cut, then looked up per row.
+    """
+    keys = list(key)
+    need = df.select(*keys, F.explode(F.array_distinct(tokens)).alias("token"))
+    types = need.select("token").distinct()
+    widest = vocab.agg(F.max(F.length(F.regexp_replace("token", "^##", ""))).cast("int").alias("_w"))
+    n = F.length("token")
+    starts = types.filter(n <= longest).crossJoin(F.broadcast(widest)).select("token", "_w", F.explode(F.sequence(F.lit(1), n)).alias("s"))
+    pieces = starts.select("token", "s", F.explode(F.sequence(F.lit(1), F.least("_w", n - F.col("s") + 1))).alias("l")).withColumn(
+        "piece", F.concat(F.when(F.col("s") > 1, "##").otherwise(""), F.substring(F.col("token"), F.col("s"), F.col("l")))
+    )
+    best = pieces.join(vocab.select(F.col("token").alias("piece")).distinct(), "piece", "left_semi").groupBy("token", "s").agg(F.max("l").alias("l"))
+    steps = best.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("s", "l"))).alias("m"))
+    walk = F.aggregate(
+        F.sequence(F.lit(1), n),
+        F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out")),
+        lambda a, i: F.when(
+            (a["at"] == i) & F.try_element_at("m", i).isNotNull(),
+            F.struct(
+                (i + F.try_element_at("m", i)).alias("at"),
+                F.array_append(a["out"], F.concat(F.when(i > 1, "##").otherwise(""), F.substring(F.col("token"), i, F.try_element_at("m", i)))).alias("out"),
+            ),
+        ).otherwise(a),
+    )
+    cut = steps.withColumn("_a", walk).select("token", F.when(F.col("_a.at") == n + 1, F.col("_a.out")).otherwise(F.array(F.lit(unk))).alias("p"))
+    known = need.join(cut, "token").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("token", "p"))).alias("_m"))
+    looked_up = F.flatten(F.transform(F.col(tokens), lambda t: F.coalesce(F.try_element_at("_m", t), F.array(F.lit(unk)))))
+    return (
+        df.join(known, keys, "left")
+        .withColumn("_m", F.coalesce("_m", F.create_map().cast("map<string,array<string>>")))
+        .withColumn(out, looked_up)
+        .drop("_m")
+    )

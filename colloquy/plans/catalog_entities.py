@@ -188,13 +188,13 @@ c AS (SELECT item FROM x GROUP BY item HAVING count(*) > 1)
 SELECT DISTINCT a.item, b.item AS other FROM x a JOIN x b ON a.l_orderkey = b.l_orderkey AND a.item <> b.item WHERE a.item IN (SELECT item FROM c)""",
 )
 def _(spark, sf):
-    return L.cooccurrence(baskets(spark, sf), "items")
+    return L.cooccurrence(basket_items(spark, sf), "l_orderkey", "p_name")
 
 
-def baskets(spark, sf):
+def basket_items(spark, sf):
     li = V.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
     p = V.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    return li.join(p, "l_partkey").groupBy("l_orderkey").agg(F.collect_list("p_name").alias("items"))
+    return li.join(p, "l_partkey").select("l_orderkey", "p_name")
 
 
 @query(

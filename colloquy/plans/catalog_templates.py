@@ -299,7 +299,7 @@ def _(spark, sf):
 @query(
     "select_template",
     _rec("found") + _KEYS + """, lib AS (SELECT DISTINCT key, delex AS template FROM lastr l JOIN keys k ON k.session_id = l.session_id AND k.pos = l.pos WHERE usable AND l.session_id % 3 <> 0),
-num AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY template) - 1 AS j, count(*) OVER (PARTITION BY key) AS cnt FROM lib),
+num AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5(template), template) - 1 AS j, count(*) OVER (PARTITION BY key) AS cnt FROM lib),
 pk AS (SELECT session_id, pos, key, CAST('0x' || substr(md5('7|' || session_id || '|' || pos), 1, 8) AS BIGINT) AS h FROM keys)
 SELECT pk.session_id, pk.pos, num.template FROM pk LEFT JOIN num ON num.key = pk.key AND num.j = pk.h % num.cnt""",
     _S,

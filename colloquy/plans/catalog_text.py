@@ -8,6 +8,7 @@ from colloquy import constants as K
 from colloquy.functions import acts as A, encode as E, features as Fe
 from colloquy.operators import lookups as L, metrics as M, tagging as G, text as X, vocab as Vo
 from colloquy.operators.ordered import with_preceding
+from colloquy.operators.sampling import top_hypotheses
 from colloquy.operators.staging import stage
 from colloquy.plans import views as V
 from colloquy.plans.registry import query
@@ -267,7 +268,7 @@ def _(spark, sf):
     tokens = d.select(F.explode(F.array_distinct("toks")).alias("t")).distinct()
     cut = F.transform(F.sequence(F.lit(1), F.length("t"), F.lit(2)), lambda i: F.concat(F.when(i > 1, "##").otherwise(""), F.substring("t", i, F.lit(2))))
     vocab = tokens.filter("length(t) <= 12").select(F.explode(cut).alias("token")).distinct()
-    return X.wordpiece(d, "toks", vocab).select("doc_id", F.array_join("pieces", " ").alias("pieces"), F.size("pieces").cast("bigint").alias("n"))
+    return X.wordpiece(d, "toks", vocab, ["doc_id"]).select("doc_id", F.array_join("pieces", " ").alias("pieces"), F.size("pieces").cast("bigint").alias("n"))
 
 
 # -- error rates ------------------------------------------------------------------------------------
@@ -329,8 +330,6 @@ def _(spark, sf):
 
 @query("top_hypotheses", "SELECT utt_id, rank, content FROM v_nbest WHERE rank < 3", ("v_nbest",))
 def _(spark, sf):
-    from colloquy.operators.sampling import top_hypotheses
-
     return top_hypotheses(V.nbest(spark, sf), 3).select("utt_id", "rank", "content")
 
 
@@ -350,12 +349,12 @@ def _(spark, sf):
 
 @query(
     "combine_am_lm",
-    """SELECT utt_id, round(list_sum(list_transform(list(am ORDER BY rank), lambda x: x)), 6) AS am, round(sum(lm), 6) AS lm, round(sum((am + lm) / 2), 6) AS am_lm, count(*) AS n
-FROM v_nbest GROUP BY utt_id""",
+    """SELECT utt_id, round(sum(am), 6) AS am, round(sum(lm), 6) AS lm, round(sum((am + lm) / 2), 6) AS am_lm, count(*) AS n
+FROM v_nbest WHERE rank < 20 GROUP BY utt_id""",
     ("v_nbest",),
 )
 def _(spark, sf):
-    n = V.nbest(spark, sf).groupBy("utt_id").agg(
+    n = top_hypotheses(V.nbest(spark, sf), 20).groupBy("utt_id").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", "am", "lm"))), lambda x: F.array(x["am"], x["lm"]))).alias("pairs")
     )
     total = lambda m: F.round(F.aggregate(E.combine_am_lm("pairs", m), F.lit(0.0), lambda a, x: a + x), 6).alias(m)
@@ -364,12 +363,12 @@ def _(spark, sf):
 
 @query(
     "header_positions",
-    """WITH g AS (SELECT utt_id, list(CAST(rank * 3 AS BIGINT) ORDER BY rank) AS ids, list(am ORDER BY rank) AS s FROM v_nbest GROUP BY utt_id)
+    """WITH g AS (SELECT utt_id, list(CAST(rank * 3 AS BIGINT) ORDER BY rank) AS ids, list(am ORDER BY rank) AS s FROM v_nbest WHERE rank < 20 GROUP BY utt_id)
 SELECT utt_id, array_to_string(list_resize(list_transform(ids, lambda i: i + 1), 20, 0), ' ') AS ids, round(list_sum(s), 6) AS total, CAST(len(list_resize(s, 20, 0.0)) AS BIGINT) AS width FROM g""",
     ("v_nbest",),
 )
 def _(spark, sf):
-    n = V.nbest(spark, sf).groupBy("utt_id").agg(F.array_sort(F.collect_list(F.struct("rank", "am"))).alias("h"))
+    n = top_hypotheses(V.nbest(spark, sf), 20).groupBy("utt_id").agg(F.array_sort(F.collect_list(F.struct("rank", "am"))).alias("h"))
     e = n.select("utt_id", E.header_positions(F.transform("h", lambda x: x["rank"] * 3), F.transform("h", lambda x: x["am"])).alias("e"))
     return e.select(
         "utt_id", F.array_join(F.transform("e.ids", lambda i: i.cast("string")), " ").alias("ids"),

@@ -28,21 +28,26 @@ def predict_acts(df: DataFrame, make: Callable[[], Callable], text="content", co
 def track_sessions(turns: DataFrame, make: Callable[[], Callable], schema: str, session="session_id") -> DataFrame:
     """Custom batch tracker: ``make()`` returns ``f(state, role, acts) -> (state, row or None)``.
 
-    A user function folds a session in order, so one session is one group: use it where
-    sessions are bounded; the built-in tracker has no such limit.
+    Sessions are laid out in order inside their partitions and streamed through the
+    function batch by batch, so memory holds one state, never a whole session. A user fold
+    is sequential by nature; the built-in tracker splits long sessions instead.
     """
-
     names = [f.name for f in T._parse_datatype_string(schema).fields]
 
-    def fold(pdf):
-        step, state, rows = make(), None, []
-        for r in pdf.sort_values("pos").itertuples(index=False):
-            state, row = step(state, r.role, [tuple(a.values()) if isinstance(a, dict) else tuple(a) for a in r.acts])
-            if row is not None:
-                rows.append((getattr(r, session), r.pos, *row))
-        return pd.DataFrame(rows, columns=names)
-
-    return turns.select(session, "pos", "role", "acts").groupBy(session).applyInPandas(fold, schema)
+    def fold(batches):
+        step, current, state = make(), None, None
+        for pdf in batches:
+            rows = []
+            for key, pos, role, acts in zip(pdf[session], pdf["pos"], pdf["role"], pdf["acts"]):
+                if key != current:
+                    current, state = key, None
+                state, row = step(state, role, [tuple(a.values()) if isinstance(a, dict) else tuple(a) for a in acts])
+                if row is not None:
+                    rows.append((key, pos, *row))
+            yield pd.DataFrame(rows, columns=names)
+
+    laid_out = turns.select(session, "pos", "role", "acts").repartition(session).sortWithinPartitions(session, "pos")
+    return laid_out.mapInPandas(fold, schema)
 
 
 def tokenizer(make: Callable[[], Callable]) -> Callable[[Column], Column]:

@@ -153,14 +153,20 @@ def read_vocab(spark, path, sep=" ") -> DataFrame:
 
 
 def read_vectors(spark, path, keyed=False, header=False) -> DataFrame:
-    """Whitespace floats: ``(key, vec)``; the key is the first field or the line number."""
+    """Whitespace floats: ``(key, vec)``; the key is the first field or the line number.
+
+    Keyed files are read line by line and split freely; a line-numbered file has to keep
+    its order and is read whole (one file, one task).
+    """
+    floats = lambda f: F.transform(f, lambda x: x.cast("double"))
+    fields = lambda c: F.split(F.trim(c), r"\s+")
+    if keyed:
+        f = fields(F.col("value"))
+        rows = spark.read.text(path).filter(F.size(f) > (2 if header else 1))
+        return rows.select(F.get(f, F.lit(0)).alias("key"), floats(F.slice(f, 2, F.size(f))).alias("vec"))
     lines = F.split(F.regexp_replace("value", r"\s+$", ""), "\n")
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(lines).alias("n", "line"))
-    if header:
-        rows = rows.filter("n > 0")
-    f = F.split(F.trim("line"), r"\s+")
-    floats = F.transform(F.slice(f, 2, F.size(f)) if keyed else f, lambda x: x.cast("double"))
-    return rows.select((F.get(f, F.lit(0)) if keyed else F.col("n").cast("bigint")).alias("key"), floats.alias("vec"))
+    return rows.select(F.col("n").cast("bigint").alias("key"), floats(fields(F.col("line"))).alias("vec"))
 
 
 def with_extra_vectors(vectors: DataFrame, dim: int, count: int, extra=2, sd=0.1, seed=7) -> DataFrame:
