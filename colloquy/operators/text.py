@@ -46,15 +46,25 @@ def basic_tokens(text, keep="marks", accents=strip_accents) -> Column:
     t = F.regexp_replace(_c(text), CONTROL, "")
     t = F.regexp_replace(t, SPACE, " ")
     t = F.regexp_replace(t, f"({CJK})", " $1 ")
-    raw = F.filter(F.split(t, " "), lambda w: w != "")
     punct = PUNCT if keep == "marks" else r"[\x21-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7E\p{P}&&[^_]]"
-    # accents and case go through the whole array at once, joined by a separator that cannot occur in a token
-    def split_one(w):
-        low = accents(F.lower(w)) if accents is strip_accents else F.lower(w)
-        return F.filter(F.split(F.regexp_replace(low, f"({punct})", " $1 "), " "), lambda x: x != "")
 
-    whole = (lambda w: (w == "[SEP]") | w.contains("unused")) if keep == "marks" else (lambda w: w.contains("_"))
-    return F.flatten(F.transform(raw, lambda w: F.when(whole(w), F.array(w)).otherwise(split_one(w))))
+    def split_text(w):
+        spaced = F.regexp_replace(accents(F.lower(w)), f"({punct})", " $1 ")
+        return F.filter(F.split(spaced, " "), lambda x: x != "")
+
+    kept = (lambda w: (w == "[SEP]") | w.contains("unused")) if keep == "marks" else (lambda w: w.contains("_"))
+    marked = (lambda w: w.contains("[SEP]") | w.contains("unused")) if keep == "marks" else (lambda w: w.contains("_"))
+    by_token = lambda c: F.flatten(
+        F.transform(
+            F.filter(F.split(c, " "), lambda w: w != ""), lambda w: F.when(kept(w), F.array(w)).otherwise(split_text(w))
+        )
+    )
+    if accents is not strip_accents:
+        # a Python function cannot run inside a lambda: strip first, then split
+        t = accents(F.lower(t))
+        accents = lambda c: c
+    # only texts that hold a kept token go token by token
+    return let(t, lambda c: F.when(marked(c), by_token(c)).otherwise(split_text(c)))
 
 
 def normalize_string(text) -> Column:
