@@ -230,13 +230,13 @@ _ACC, _PLAIN = X.ACCENTED, X.PLAIN
 
 @query(
     "basic_tokens",
-    r"""SELECT doc_id, array_to_string(toks, ' ') AS tokens, CAST(len(toks) AS BIGINT) AS n FROM (SELECT doc_id, list_filter(regexp_split_to_array(
+    r"""SELECT doc_id, array_to_string(toks, ' ') AS tokens FROM (SELECT doc_id, list_filter(regexp_split_to_array(
  regexp_replace(translate(lower(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\x{FFFD}\p{Cf}\p{Co}]', '', 'g'), '[\t\n\r\p{Zs}]', ' ', 'g')), '""" + _ACC + "', '" + _PLAIN + r"""'),
  '([\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E\p{P}])', ' \1 ', 'g'), ' '), lambda w: w <> '') AS toks FROM documents)""",
 )
 def _(spark, sf):
     d = V.table(spark, sf, "documents").select("doc_id", X.basic_tokens("text").alias("toks"))
-    return d.select("doc_id", F.array_join("toks", " ").alias("tokens"), F.size("toks").cast("bigint").alias("n"))
+    return d.select("doc_id", F.array_join("toks", " ").alias("tokens"))
 
 
 @query(
@@ -264,11 +264,11 @@ def _(spark, sf):
 @query("wordpiece")
 def _(spark, sf):
     """Pieces of every document against the two- and three-letter pieces of the corpus' own vocabulary."""
-    d = V.table(spark, sf, "documents").select("doc_id", X.basic_tokens("text").alias("toks"))
+    d = stage(V.table(spark, sf, "documents").select("doc_id", X.basic_tokens("text").alias("toks")))
     tokens = d.select(F.explode(F.array_distinct("toks")).alias("t")).distinct()
     cut = F.transform(F.sequence(F.lit(1), F.length("t"), F.lit(2)), lambda i: F.concat(F.when(i > 1, "##").otherwise(""), F.substring("t", i, F.lit(2))))
     vocab = tokens.filter("length(t) <= 12").select(F.explode(cut).alias("token")).distinct()
-    return X.wordpiece(d, "toks", vocab, ["doc_id"]).select("doc_id", F.array_join("pieces", " ").alias("pieces"), F.size("pieces").cast("bigint").alias("n"))
+    return X.wordpiece(d, "toks", stage(vocab), ["doc_id"]).select("doc_id", F.array_join("pieces", " ").alias("pieces"))
 
 
 # -- error rates ------------------------------------------------------------------------------------
