@@ -147,7 +147,12 @@ def _(spark, sf):
     return Sa.balanced_resample(d, "label", d.count(), "id")
 
 
-@query("weighted_choice")
+@query(
+    "weighted_choice",
+    """WITH w AS (SELECT p_type AS item, count(*) AS w FROM part GROUP BY p_type), c AS (SELECT item, sum(w) OVER (ORDER BY item) AS hi, sum(w) OVER () AS total FROM w),
+d AS (SELECT c_custkey AS draw, CAST('0x' || substr(md5('0|' || c_custkey), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM customer)
+SELECT draw, arg_min(item, hi) AS item FROM d, c WHERE u * total < hi GROUP BY draw""",
+)
 def _(spark, sf):
     from colloquy.operators.entities import attribute_weights
 

@@ -106,7 +106,11 @@ def _(spark, sf):
     return rows.select("session_id", "pos", "domain", F.explode("held").alias("slot", "value"))
 
 
-@query("plugin_acts")
+@query(
+    "plugin_acts",
+    r"""SELECT session_id, pos, 'Inform+len+words+' || len(list_filter(regexp_split_to_array(content, '\s+'), lambda w: w <> '')) || ' General+context+turns+' || least(pos, 3) AS acts FROM v_turns""",
+    ("v_turns",),
+)
 def _(spark, sf):
     """A keyword model plugged in over text and context."""
 

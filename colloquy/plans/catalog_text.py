@@ -228,12 +228,12 @@ def _(spark, sf):
 _ACC, _PLAIN = X.ACCENTED, X.PLAIN
 
 
-@query(
-    "basic_tokens",
-    r"""SELECT doc_id, array_to_string(toks, ' ') AS tokens FROM (SELECT doc_id, list_filter(regexp_split_to_array(
+_BASIC = r"""list_filter(regexp_split_to_array(
  regexp_replace(translate(lower(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\x{FFFD}\p{Cf}\p{Co}]', '', 'g'), '[\t\n\r\p{Zs}]', ' ', 'g')), '""" + _ACC + "', '" + _PLAIN + r"""'),
- '([\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E\p{P}])', ' \1 ', 'g'), ' '), lambda w: w <> '') AS toks FROM documents)""",
-)
+ '([\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E\p{P}])', ' \1 ', 'g'), ' '), lambda w: w <> '')"""
+
+
+@query("basic_tokens", f"SELECT doc_id, array_to_string({_BASIC}, ' ') AS tokens FROM documents")
 def _(spark, sf):
     d = V.table(spark, sf, "documents").select("doc_id", X.basic_tokens("text").alias("toks"))
     return d.select("doc_id", F.array_join("toks", " ").alias("tokens"))
@@ -261,7 +261,20 @@ def _(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", F.array_join(X.expand_contractions(V.words(F.col("text")), pairs), " ").alias("text"))
 
 
-@query("wordpiece")
+@query(
+    "wordpiece",
+    f"""WITH RECURSIVE d AS (SELECT doc_id, {_BASIC} AS toks FROM documents), tk AS (SELECT doc_id, unnest(toks) AS t, generate_subscripts(toks, 1) AS i FROM d),
+ty AS (SELECT DISTINCT t FROM tk),
+voc AS (SELECT DISTINCT CASE WHEN i > 1 THEN '##' ELSE '' END || substr(t, i, 2) AS piece FROM (SELECT t, unnest(range(1, length(t) + 1, 2)) AS i FROM ty WHERE length(t) <= 12)),
+rec AS (SELECT t, CAST(1 AS BIGINT) AS pos, CAST([] AS VARCHAR[]) AS out FROM ty WHERE length(t) <= 100
+ UNION ALL SELECT r.t, r.pos + CASE WHEN v2.piece IS NOT NULL THEN 2 ELSE 1 END, list_append(r.out, coalesce(v2.piece, v1.piece))
+ FROM rec r LEFT JOIN voc v2 ON r.pos < length(r.t) AND v2.piece = CASE WHEN r.pos > 1 THEN '##' ELSE '' END || substr(r.t, r.pos, 2)
+ LEFT JOIN voc v1 ON v1.piece = CASE WHEN r.pos > 1 THEN '##' ELSE '' END || substr(r.t, r.pos, 1)
+ WHERE r.pos <= length(r.t) AND (v2.piece IS NOT NULL OR v1.piece IS NOT NULL)),
+done AS (SELECT t, out FROM rec WHERE pos = length(t) + 1)
+SELECT d.doc_id, coalesce(p, '') AS pieces FROM d LEFT JOIN (SELECT doc_id, string_agg(coalesce(array_to_string(out, ' '), '[UNK]'), ' ' ORDER BY i) AS p
+ FROM tk LEFT JOIN done ON done.t = tk.t GROUP BY doc_id) x ON x.doc_id = d.doc_id""",
+)
 def _(spark, sf):
     """Pieces of every document against the two- and three-letter pieces of the corpus' own vocabulary."""
     d = stage(V.table(spark, sf, "documents").select("doc_id", X.basic_tokens("text").alias("toks")))
