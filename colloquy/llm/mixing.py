@@ -42,8 +42,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget_share: float = BUDGET_SHAR
     s = s.withColumn("_caps_before", F.sum("_cap").over(upto) - F.col("_cap"))
     s = s.withColumn("_weights_left", F.sum("_weight").over(every) - F.sum("_weight").over(upto) + F.col("_weight"))
     level = (F.col("_budget") - F.col("_caps_before")) / F.col("_weights_left")
-    # The level of the first source that does not fill up holds for all after it.
-    open_level = F.min(F.when(level * F.col("_weight") < F.col("_cap"), level)).over(every)
+    # The level of the first source that does not fill up holds for all after it; the levels fall from there on.
+    open_level = F.max(F.when(level * F.col("_weight") < F.col("_cap"), level)).over(every)
     return s.withColumn("target", F.least(F.col("_cap"), F.coalesce(open_level * F.col("_weight"), F.col("_cap")))).select("source", "source_size", "target")
 
 
@@ -104,7 +104,7 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, len(list_filter(str
  w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][k % 3 + 1] AS weight, source_size::DOUBLE * 2 AS cap, sum(source_size::DOUBLE) OVER () * 1.5::DOUBLE AS budget FROM s),
  f AS (SELECT *, (budget - (sum(cap) OVER f - cap)) / (sum(weight) OVER () - sum(weight) OVER f + weight) AS level
        FROM w WINDOW f AS (ORDER BY cap / weight, k ROWS UNBOUNDED PRECEDING)),
- t AS (SELECT source, source_size, least(cap, coalesce(min(CASE WHEN level * weight < cap THEN level END) OVER () * weight, cap)) AS target FROM f),
+ t AS (SELECT source, source_size, least(cap, coalesce(max(CASE WHEN level * weight < cap THEN level END) OVER () * weight, cap)) AS target FROM f),
  q AS (SELECT d.doc_id, d.size, t.source_size, t.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw, d.r ROWS UNBOUNDED PRECEDING) - d.size AS start
        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
