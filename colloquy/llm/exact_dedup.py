@@ -27,6 +27,7 @@ def digest_state(rows: DataFrame, path: str) -> DataFrame:
     spark = rows.sparkSession
     session = spark.newSession()  # the state store and its partitions are set for this stream alone
     session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # no space reserved by every partition's store
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     source = session.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path)
     state = source.groupBy("digest").agg(F.max(F.struct("key", "locator")).alias("keep"), F.count(F.lit(1)).alias("n"))
@@ -69,12 +70,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     met = same.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max("keep").alias("keep"), F.max("n").alias("n"))
     settled = state.filter("n = 1").select("digest", "keep", "n").unionByName(met.filter("texts = 1").select("digest", "keep", "n"))
-    clash = met.filter("texts > 1").select("digest")
+    clash = stage(met.filter("texts > 1").select("digest"), "clash")
     verdict = lambda: [F.col("keep.key.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("keep.locator") == F.col("locator")).alias("kept")]
     own = [F.col("locator"), F.col("key.id").alias("doc_id"), F.col("digest")]
     plain = light.join(settled, "digest").select(*own, *verdict())
-    apart = staged.join(clash, "digest", "left_semi").select("locator", "key", "digest", "text").join(same, ["digest", "text"]).select(*own, *verdict())
-    return Deduplicated(staged, plain.unionByName(apart), text_col, docs.columns)
+    if not clash.isEmpty():
+        apart = staged.join(clash, "digest", "left_semi").select("locator", "key", "digest", "text").join(same, ["digest", "text"])
+        plain = plain.unionByName(apart.select(*own, *verdict()))
+    return Deduplicated(staged, plain, text_col, docs.columns)
 
 
 class Deduplicated:
