@@ -192,7 +192,6 @@ def _sorted_repeats(parts: DataFrame, length: int) -> DataFrame:
 
 def _counted_repeats(parts: DataFrame, length: int) -> DataFrame:
     """The same for keys with very many units: every window is counted by two hashes."""
-    reach = reach_of(length)
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -204,7 +203,6 @@ def _counted_repeats(parts: DataFrame, length: int) -> DataFrame:
                     out.append((_signed(xxhash.xxh3_64_intdigest(w)), _signed(xxhash.xxh64_intdigest(w)), r.n, r.tid, r.idx, t))
             yield pd.DataFrame(out, columns=["h1", "h2", "n", "tid", "idx", "t"])
 
-    assert reach
     seen = stage(parts.mapInPandas(windows, "h1 long, h2 long, n long, tid string, idx int, t int"), "windows")
     often = seen.groupBy("h1", "h2").agg(F.sum("n").alias("all")).filter("all > 1").select("h1", "h2")
     return seen.filter("n = 1").join(often, ["h1", "h2"], "left_semi").select("tid", "idx", "t")
@@ -242,7 +240,7 @@ def repeated_text(docs: DataFrame, text_col: str = "text", length: int = LENGTH)
     own = docs.select(F.sha2(text, 256).alias("tid"), text.alias("text"))
     hashed = stage(_hashed_units(own, length), "units")
     row = hashed.select("rid", F.posexplode(F.arrays_zip("key", "body")).alias("idx", "u")).select("rid", "idx", "u.key", "u.body")
-    shared = row.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    shared = stage(row.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared")
     met = stage(row.join(shared, "key", "left_semi"), "met")
     bodies = stage(met.groupBy("key", "body").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "idx")).alias("one")), "bodies")
     ids = hashed.select("rid", "tid")
