@@ -38,7 +38,6 @@ GROUPS = 512
 LARGE = 128
 # Characters on which both encoders split alike; other texts go to the slower one.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*")
-_LONG_RUN = re.compile(r"\S{2000}")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -68,7 +67,7 @@ def token_ids(text: str | None, path: str) -> list[int]:
     """
     exact, fast = _encoders(path)
     text = text or ""
-    if _PLAIN.fullmatch(text) and not _LONG_RUN.search(text):
+    if _PLAIN.fullmatch(text):
         return fast.encode_ordinary(text)
     return exact.encode(text, add_special_tokens=False).ids
 
