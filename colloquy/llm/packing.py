@@ -38,6 +38,7 @@ GROUPS = 512
 LARGE = 128
 # Characters on which both encoders split alike; other texts go to the slower one.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*")
+_LONG_GAP = re.compile(r"\s{500}")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -63,11 +64,11 @@ def _encoders(path: str):
 def token_ids(text: str | None, path: str) -> list[int]:
     """Ids of the whole text by the vocabulary at ``path``, without special tokens.
 
-    The second encoder holds the same vocabulary and is faster; it is used for characters on which both agree.
+    The second encoder holds the same vocabulary and is faster; it is used for characters on which both agree, but for very long gaps.
     """
     exact, fast = _encoders(path)
     text = text or ""
-    if _PLAIN.fullmatch(text):
+    if _PLAIN.fullmatch(text) and not _LONG_GAP.search(text):
         return fast.encode_ordinary(text)
     return exact.encode(text, add_special_tokens=False).ids
 
