@@ -19,7 +19,7 @@ from colloquy.llm.quality_rules import words_of
 WEIGHTS = (3, 1, 2)
 BUDGET_SHARE = 1.5
 MAX_EPOCHS = 2
-ROWS_PER_SLICE = 20_000
+ROWS_PER_SLICE = 4_000
 
 
 def word_count(text: Column) -> Column:
