@@ -235,7 +235,7 @@ def ranked(pieces: DataFrame, slices: int) -> DataFrame:
     return cut_up.withColumn("_in", F.row_number().over(inside)).join(before, ["length", "_slice"]).withColumn("rank", F.col("_before") + F.col("_in") - 1).drop("_slice", "_in", "_before")
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, rows_per_slice: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, rows_per_slice: int = 5_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
     pieces = stage(tokenized_pieces(docs, path, end_id, capacity), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
