@@ -394,10 +394,15 @@ def train(sample: list[str]) -> BoostedTrees:
 
 
 def fit(pages: DataFrame, html_col: str = "html") -> BoostedTrees:
-    """Fit on the ``SAMPLE_PAGES`` pages of at most ``SAMPLE_CHARS`` characters with the smallest hash."""
+    """Fit on the ``SAMPLE_PAGES`` different pages of at most ``SAMPLE_CHARS`` characters with the smallest hash.
+
+    The hashes are ranked first, so tasks never send whole pages that another task's pages displace.
+    """
     page = F.col(html_col)
     rows = pages.filter(page.isNotNull() & (F.length(page) <= SAMPLE_CHARS)).select(page.alias("page"), F.xxhash64(page).alias("h"))
-    return train([r["page"] for r in rows.orderBy("h", "page").limit(SAMPLE_PAGES).collect()])
+    least = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(SAMPLE_PAGES).collect()]
+    picked = rows.filter(F.col("h") <= (least[-1] if least else 0)).groupBy("h").agg(F.min("page").alias("page")).orderBy("h").collect()
+    return train([r["page"] for r in picked])
 
 
 def main_text(pages: DataFrame, html_col: str = "html", out: str = "text", model: BoostedTrees | None = None) -> DataFrame:
