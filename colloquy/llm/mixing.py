@@ -44,7 +44,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget_share: float = BUDGET_SHAR
     level = (F.col("_budget") - F.col("_caps_before")) / F.col("_weights_left")
     # The level of the first source that does not fill up holds for all after it; the levels fall from there on.
     open_level = F.max(F.when(level * F.col("_weight") < F.col("_cap"), level)).over(every)
-    return s.withColumn("target", F.least(F.col("_cap"), F.coalesce(open_level * F.col("_weight"), F.col("_cap")))).select("source", "source_size", "target")
+    return s.withColumn("target", F.least(F.col("_cap"), F.coalesce(open_level * F.col("_weight"), F.col("_cap")))).select(*sizes.columns, "target")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry=(), **rules) -> DataFrame:
@@ -57,19 +57,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
+        F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("none")).alias("_key"),  # a null source joins too
         word_count(F.col(text_col)).alias("size"),
         F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))).alias("_draw"),
         *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_carry")] if carry else []),
     )
     n_slices = max(1, sized.count() // ROWS_PER_SLICE)
     sized = sized.withColumn("_slice", F.conv(F.substring("_draw", 1, 8), 16, 10).cast("long") * n_slices / F.lit(2**32)).withColumn("_slice", F.floor("_slice"))
-    slices = sized.groupBy("source", "_slice").agg(F.sum("size").alias("_words"))
-    along = W.partitionBy("source").orderBy("_slice").rowsBetween(W.unboundedPreceding, W.currentRow)
-    before = slices.select("source", "_slice", (F.sum("_words").over(along) - F.col("_words")).alias("_before"))
-    goal = targets(slices.groupBy("source").agg(F.sum("_words").alias("source_size")), **rules)
-    plan = before.withColumnRenamed("source", "_s").join(goal, F.col("_s").eqNullSafe(F.col("source"))).select(F.col("source").alias("_s"), F.col("_slice").alias("_k"), "_before", "source_size", "target")
-    inside = W.partitionBy("source", "_slice").orderBy("_draw").rowsBetween(W.unboundedPreceding, W.currentRow)
-    queued = sized.withColumn("_inside", F.sum("size").over(inside)).join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_k")))
+    slices = sized.groupBy("_key", "source", "_slice").agg(F.sum("size").alias("_words"))
+    along = W.partitionBy("_key").orderBy("_slice").rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = slices.select("_key", "_slice", (F.sum("_words").over(along) - F.col("_words")).alias("_before"))
+    goal = targets(slices.groupBy("_key", "source").agg(F.sum("_words").alias("source_size")), **rules).drop("source")
+    inside = W.partitionBy("_key", "_slice").orderBy("_draw").rowsBetween(W.unboundedPreceding, W.currentRow)
+    # The window and the join share one partitioning, so rows move once.
+    queued = sized.withColumn("_inside", F.sum("size").over(inside)).join(before.join(goal, "_key"), ["_key", "_slice"])
     queued = queued.withColumn("_end", F.col("_before") + F.col("_inside"))
     start = F.col("_end") - F.col("size")
     served = lambda e: F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.floor("target") - start - F.col("source_size") * e))

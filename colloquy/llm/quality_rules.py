@@ -38,6 +38,15 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, GAP), "")
 
 
+def once(value: Column, where: Column | None = None) -> Column:
+    """``value`` as a column that the optimizer never copies into the expressions that use it.
+
+    A filter on a result would else be pushed below it, and the arrays be built anew for each of their elements.
+    """
+    always = F.rand() >= 0
+    return F.when(always if where is None else always & where, value)
+
+
 def bad_line(line: Column) -> Column:
     """True for a non-blank line that a rule rejects; a short line must also end as a sentence does."""
     bad = (F.length(line) < SHORT_LINE) & ~line.rlike(ENDS_WELL)
@@ -65,7 +74,7 @@ def base_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     windows only tell whether any window can repeat; the windows themselves decide, by one sort per document.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn("q_words", words_of(text)).withColumn("q_n_words", F.size("q_words"))
+    out = docs.withColumn("q_words", once(words_of(text))).withColumn("q_n_words", F.size("q_words"))
     at = lambda i, k: F.get(F.col("q_words"), i + k)
     starts = F.sequence(F.lit(0), F.col("q_n_words") - 3)
     long_enough = F.col("q_n_words") >= 4
@@ -73,13 +82,13 @@ def base_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = out.withColumn("q_hashes", F.when(long_enough, hashes))
     may_repeat = F.size(F.array_distinct("q_hashes")) < F.size("q_hashes")
     windows = F.transform(starts, lambda i: F.struct(F.concat_ws(" ", at(i, 0), at(i, 1), at(i, 2)).alias("w"), i.alias("i")))
-    out = out.withColumn("q_windows", F.when(long_enough & may_repeat, F.sort_array(windows)))
+    out = out.withColumn("q_windows", once(F.sort_array(windows), long_enough & may_repeat))
     near = lambda k: F.get(F.col("q_windows"), k)["w"]
     twice = F.filter("q_windows", lambda x, k: F.coalesce(near(k - 1) == x["w"], F.lit(False)) | F.coalesce(near(k + 1) == x["w"], F.lit(False)))
     covered = F.flatten(F.transform(twice, lambda x: F.sequence(x["i"], x["i"] + 2)))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return (
-        out.withColumn("q_n_repeat_words", F.coalesce(F.when(F.col("q_windows").isNotNull(), F.size(F.array_distinct(covered))), F.lit(0)))
+        out.withColumn("q_n_repeat_words", once(F.coalesce(F.when(F.col("q_windows").isNotNull(), F.size(F.array_distinct(covered))), F.lit(0))))
         .withColumn("q_lines", lines)
         .withColumn("q_n_dup_lines", F.size("q_lines") - F.size(F.array_distinct("q_lines")))
         .withColumn("q_word_chars", F.length(F.array_join("q_words", "")))
@@ -92,7 +101,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", max_lost_percent: flo
     """All ``q_`` columns plus ``q_base_failed`` and ``q_kept``; every input row stays, repeated rows included."""
     out = clean_lines(base_metrics(docs, text_col), text_col)
     failed = (F.col("q_n_words") < 50) | (F.col("q_n_repeat_words") * 100 > F.col("q_n_words") * 50)
-    return out.withColumn("q_base_failed", failed).withColumn("q_kept", ~failed & (F.col("q_lost_percent") <= max_lost_percent))
+    return out.withColumn("q_base_failed", once(failed)).withColumn("q_kept", once(~F.col("q_base_failed") & (F.col("q_lost_percent") <= max_lost_percent)))
 
 
 def report(docs: DataFrame) -> DataFrame:
