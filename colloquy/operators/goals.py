@@ -103,7 +103,7 @@ def state_acts(state) -> Column:
 
 def reference_id(text) -> Column:
     """The number right after ``id=``."""
-    return F.nullif(F.regexp_extract(text, r"id=(\d)", 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(text, r"id=(\d+)", 1), F.lit("")).cast("int")
 
 
 def resolve_references(df: DataFrame, state: str, out="acts") -> DataFrame:
@@ -191,7 +191,7 @@ def reorder_subgoals(subs) -> Column:
     """
 
     def place(s):
-        return F.coalesce(s["ref"], s["id"]) * 100000 + F.when(s["ref"].isNotNull(), s["id"]).otherwise(F.lit(0))
+        return F.coalesce(s["ref"], s["id"]).cast("long") * 2**31 + F.when(s["ref"].isNotNull(), s["id"]).otherwise(F.lit(0))
 
     def end(s, slot):
         c = F.filter(s["constraints"], lambda c: c["slot"] == slot)

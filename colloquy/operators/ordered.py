@@ -40,6 +40,7 @@ def with_preceding(df: DataFrame, keys, pos: str, k: int, make, chunk_rows: int
     ``make(window)`` returns the new columns as a dict.
     """
     keys = list(keys)
+    chunk_rows = max(chunk_rows, k)  # the context of a row then lies in its own chunk and the one before
     chunk = F.floor(F.col(pos) / F.lit(chunk_rows))
     spill = F.col(pos) % chunk_rows >= chunk_rows - k
     staged = df.withColumn("_chunk", chunk).withColumn("_own", F.lit(True))

@@ -103,7 +103,7 @@ def _(spark, sf):
 
 @query(
     "resolve_references",
-    r"""WITH r AS (SELECT goal_id, id, i, domain, slot, CAST(regexp_extract(filled[1], 'id=(\d)', 1) AS BIGINT) AS ref FROM v_gstate WHERE NOT expressed AND NOT is_list AND contains(array_to_string(filled, ' '), 'id')),
+    r"""WITH r AS (SELECT goal_id, id, i, domain, slot, CAST(regexp_extract(filled[1], 'id=(\d+)', 1) AS BIGINT) AS ref FROM v_gstate WHERE NOT expressed AND NOT is_list AND contains(array_to_string(filled, ' '), 'id')),
 n AS (SELECT goal_id, id, arg_min(domain, i) AS domain, arg_min(filled[1], i) AS name FROM v_gstate WHERE slot = '名称' GROUP BY ALL),
 x AS (SELECT r.goal_id, r.i, CASE WHEN r.slot = '名称' THEN 'Select+' || r.domain || '+源领域+' || n.domain || ' Inform+' || n.domain || '+名称+' || n.name
  ELSE 'Inform+' || r.domain || '+' || r.slot || '+' || n.name END AS a FROM r JOIN n ON n.goal_id = r.goal_id AND n.id = r.ref)
@@ -196,7 +196,7 @@ def _(spark, sf):
  max(CASE WHEN slot = '推荐菜' AND kind = 'c' THEN array_to_string(value, '、') END) AS di, string_agg(CASE WHEN kind = 'r' THEN slot END, '、' ORDER BY o) AS rq FROM v_tuples GROUP BY goal_id, id),
 p AS (SELECT *, CASE d WHEN '酒店' THEN '住宿' WHEN '景点' THEN '游玩' ELSE '用餐' END AS verb FROM s)
 SELECT goal_id, string_agg(CASE WHEN d = '出租' THEN '你想呼叫从id=1到id=2的出租车。' WHEN d = '地铁' THEN '你想乘坐从id=1到id=2的地铁。' ELSE
- CASE WHEN contains(nm, '周边') THEN '你要去id=' || regexp_extract(nm, 'id=(\d)', 1) || '附近的' || d || '(id=' || id || ')' || verb || '。'
+ CASE WHEN contains(nm, '周边') THEN '你要去id=' || regexp_extract(nm, 'id=(\d+)', 1) || '附近的' || d || '(id=' || id || ')' || verb || '。'
   WHEN nm IS NOT NULL THEN '你要去名叫' || nm || '的' || d || '(id=' || id || ')' || verb || '。' ELSE '你要去一个' || d || '(id=' || id || ')' || verb || '。' END
  || coalesce('你希望' || d || '的评分是' || rt || '。', '') || coalesce('你想吃的菜肴是' || di || '。', '') END || '你想知道这个' || d || '的' || rq || '。', '' ORDER BY id) AS text FROM p GROUP BY goal_id""",
     _T,

@@ -346,3 +346,19 @@ def test_belief_columns(spark):
     assert one(df.select(Fe.apply_gates("r").alias("b"))).b == ["d-s-a b"]
     p = spark.createDataFrame([(["d-s-v-w"],)], "b array<string>").select(Fe.parse_belief("b").alias("p"))
     assert tuple(one(p).p[0]) == ("d-s", "v-w")
+
+
+def test_long_look_back(spark):
+    from pyspark.sql import functions as F
+
+    from colloquy.operators.ordered import with_preceding
+
+    df = spark.range(5000).select(F.lit("a").alias("key"), F.col("id").alias("pos"))
+    got = with_preceding(df, ["key"], "pos", 3000, lambda w: {"n": F.count(F.lit(1)).over(w.rowsBetween(-3000, 0))})
+    assert {r.pos: r.n for r in got.collect()}[4500] == 3001
+
+
+def test_reference_numbers_of_two_digits(spark):
+    from colloquy.operators.goals import reference_id
+
+    assert spark.range(1).select(reference_id(__import__("pyspark").sql.functions.lit("near id=12")).alias("r")).first().r == 12
