@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from colloquy import constants as K
-from colloquy.operators.ordered import dense_position, global_rank, seeded_order
+from colloquy.operators.ordered import dense_position, order_rank, seeded_order
 
 
 def filter_role(turns: DataFrame, mode="all", role="role") -> DataFrame:
@@ -101,9 +101,12 @@ def drop_unknown_features(triples: DataFrame, known: DataFrame) -> DataFrame:
     return triples.withColumn("name", name).join(known.select("name"), "name", "left_semi").drop("name")
 
 
-def sample_fraction(df: DataFrame, pct: float, key, seed=10, shuffle=True) -> DataFrame:
-    """Exactly ``int(n*pct/100)`` rows: a seeded permutation (or key order) and its head."""
+def sample_fraction(df: DataFrame, pct: float, key, seed=10, shuffle=True, chunk: Column | None = None) -> DataFrame:
+    """Exactly ``int(n*pct/100)`` rows: the head of a seeded permutation, or of the key order without ``shuffle``.
+
+    Key order needs a ``chunk``: an expression that never decreases along the keys.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    ranked = global_rank(df.withColumn("_k", seeded_order(seed if shuffle else 0, *keys)), "_k", *keys, out="_rank")
+    ranked = order_rank(df, keys, seeded_order(seed, *keys) if shuffle else None, chunk, out="_rank")
     total = df.agg(F.floor(F.count(F.lit(1)) * F.lit(float(pct)) / F.lit(100.0)).alias("_keep"))
-    return ranked.crossJoin(F.broadcast(total)).filter(F.col("_rank") <= F.col("_keep")).drop("_k", "_rank", "_keep")
+    return ranked.crossJoin(F.broadcast(total)).filter(F.col("_rank") <= F.col("_keep")).drop("_rank", "_keep")

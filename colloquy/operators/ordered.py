@@ -115,3 +115,13 @@ def global_rank(df: DataFrame, order_key: str, *ties, groups=(), out="rank", pre
         out=out,
         start=1,
     ).drop("_all")
+
+
+def order_rank(df: DataFrame, keys, draw: Column | None = None, chunk: Column | None = None, groups=(), out="rank") -> DataFrame:
+    """1-based rank by the hex string ``draw``, or by the keys themselves cut by ``chunk``."""
+    if draw is not None:
+        return global_rank(df.withColumn("_k", draw), "_k", *keys, groups=groups, out=out).drop("_k")
+    if chunk is None:
+        raise ValueError("key order needs a chunk")
+    whole = df if groups else df.withColumn("_all", F.lit(0))
+    return dense_position(whole, list(groups) or ["_all"], list(keys), chunk, out=out, start=1).drop("_all")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from colloquy.functions.encode import pad_or_cut
-from colloquy.operators.ordered import dense_position, global_rank, seeded_order
+from colloquy.operators.ordered import dense_position, global_rank, order_rank, seeded_order
 
 
 def seeded_shuffle(df: DataFrame, key, seed=42, out="rank") -> DataFrame:
@@ -14,14 +14,16 @@ def seeded_shuffle(df: DataFrame, key, seed=42, out="rank") -> DataFrame:
     return global_rank(df.withColumn("_k", seeded_order(seed, *keys)), "_k", *keys, out=out).drop("_k")
 
 
-def batch_assign(df: DataFrame, key, batch: int, epochs: int = 1, shuffle=True, seed=0) -> DataFrame:
-    """(epoch, batch) per row; every epoch has its own permutation and a possibly short last batch."""
+def batch_assign(df: DataFrame, key, batch: int, epochs: int = 1, shuffle=True, seed=0, chunk: Column | None = None) -> DataFrame:
+    """(epoch, batch) per row, with a possibly short last batch; every epoch has its own permutation.
+
+    Without ``shuffle`` all epochs follow the key order, which needs a ``chunk`` that never decreases along the keys.
+    """
     keys = [key] if isinstance(key, str) else list(key)
     rows = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    salt = F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string") if shuffle else F.lit("0"), *[F.col(k).cast("string") for k in keys])
-    rows = rows.withColumn("_k", F.md5(salt))
-    ranked = global_rank(rows, "_k", *keys, groups=["epoch"], out="_r")
-    return ranked.withColumn("batch", F.floor((F.col("_r") - 1) / batch)).drop("_k", "_r")
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), *[F.col(k).cast("string") for k in keys]))
+    ranked = order_rank(rows, keys, draw if shuffle else None, chunk, groups=["epoch"], out="_r")
+    return ranked.withColumn("batch", F.floor((F.col("_r") - 1) / batch)).drop("_r")
 
 
 def sort_batch_by_length(df: DataFrame, batch: str, length: str, ties) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import sys
+import unicodedata
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.functions.binding import let
 
@@ -11,33 +14,32 @@ CJK = r"[一-鿿㐀-䶿豈-﫿\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x
 SPACE = r"[\t\n\r\p{Zs}]"
 CONTROL = r"[\x{FFFD}\p{C}&&[^\t\n\r]]"
 PUNCT = r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E\p{P}]"
-# -- fixed values: Latin letters whose canonical form is a base letter plus a mark --------
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
 
 
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+def _accented() -> dict[str, str]:
+    """Every character whose canonical form is one base character and marks, with that base."""
+    found = {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        form = unicodedata.normalize("NFD", c)
+        if len(form) > 1 and unicodedata.category(form[0]) != "Mn" and all(unicodedata.category(m) == "Mn" for m in form[1:]):
+            found[c] = form[0]
+    return found
 
 
-def strip_accents(text) -> Column:
-    """Latin accents removed, precomposed or combining. Other scripts: see :func:`strip_accents_nfd`."""
-    return F.regexp_replace(F.translate(_c(text), ACCENTED, PLAIN), r"\p{Mn}", "")
+_BASES = _accented()
+ACCENTED, PLAIN = "".join(_BASES), "".join(_BASES.values())
 
 
-@F.pandas_udf(T.StringType())
-def strip_accents_nfd(s):
-    """Full canonical decomposition for scripts beyond Latin (Arrow batches)."""
-    import unicodedata
+def _c(x) -> Column:
+    return F.col(x) if isinstance(x, str) else x
 
-    import pandas as pd
 
-    return pd.Series(
-        ["".join(ch for ch in unicodedata.normalize("NFD", t) if unicodedata.category(ch) != "Mn") if t is not None else None for t in s]
-    )
+def strip_accents(text) -> Column:
+    """Accents removed in every script, precomposed or combining."""
+    return F.regexp_replace(F.translate(_c(text), ACCENTED, PLAIN), r"\p{Mn}", "")
 
 
-def basic_tokens(text, keep="marks", accents=strip_accents) -> Column:
+def basic_tokens(text, keep="marks") -> Column:
     """Clean, isolate CJK characters, lower-case, strip accents and split punctuation.
 
     ``keep='marks'`` leaves ``[SEP]`` and ``unused*`` tokens whole; ``keep='underscore'``
@@ -49,7 +51,7 @@ def basic_tokens(text, keep="marks", accents=strip_accents) -> Column:
     punct = PUNCT if keep == "marks" else r"[\x21-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7E\p{P}&&[^_]]"
 
     def split_text(w):
-        spaced = F.regexp_replace(accents(F.lower(w)), f"({punct})", " $1 ")
+        spaced = F.regexp_replace(strip_accents(F.lower(w)), f"({punct})", " $1 ")
         return F.filter(F.split(spaced, " "), lambda x: x != "")
 
     kept = (lambda w: (w == "[SEP]") | w.contains("unused")) if keep == "marks" else (lambda w: w.contains("_"))
@@ -59,10 +61,6 @@ def basic_tokens(text, keep="marks", accents=strip_accents) -> Column:
             F.filter(F.split(c, " "), lambda w: w != ""), lambda w: F.when(kept(w), F.array(w)).otherwise(split_text(w))
         )
     )
-    if accents is not strip_accents:
-        # a Python function cannot run inside a lambda: strip first, then split
-        t = accents(F.lower(t))
-        accents = lambda c: c
     # only texts that hold a kept token go token by token
     return let(t, lambda c: F.when(marked(c), by_token(c)).otherwise(split_text(c)))
 
@@ -86,9 +84,17 @@ def expand_contractions(tokens, pairs) -> Column:
 
 
 def _as_chars(tokens, alphabet) -> Column:
-    """Tokens of a pair as characters of one string, so that edit distance runs inside the JVM."""
-    code = lambda t: F.lpad(F.hex(F.array_position(alphabet, t) + 0x3400), 8, "0")
-    one = lambda t: F.decode(F.unhex(code(t)), "UTF-32")
+    """Tokens of a pair as characters of one string, so that edit distance runs inside the JVM.
+
+    Characters come from U+3401 on without the surrogates; a pair with more distinct tokens than those is an error.
+    """
+
+    def code(t):
+        at = F.array_position(alphabet, t) + 0x3400
+        at = F.when(at < 0xD800, at).otherwise(at + 0x800)
+        return F.when(at <= 0x10FFFF, at).otherwise(F.raise_error(F.lit("too many distinct tokens in one pair")).cast("bigint"))
+
+    one = lambda t: F.decode(F.unhex(F.lpad(F.hex(code(t)), 8, "0")), "UTF-32")
     return F.array_join(F.transform(tokens, one), "")
 
 
@@ -128,49 +134,8 @@ def split_delex(text, segment=None) -> Column:
     )
 
 
-def wordpiece(df: DataFrame, tokens: str, vocab: DataFrame, key, out="pieces", unk="[UNK]", longest=100, broadcast_rows=500_000) -> DataFrame:
-    """Greedy longest-match pieces with ``##`` continuations.
-
-    Up to ``broadcast_rows`` vocabulary entries (checked by a bounded count) each Arrow
-    batch is cut against a broadcast set; a larger vocabulary is matched by joins instead.
-    """
-    if vocab.select("token").limit(broadcast_rows + 1).count() > broadcast_rows:
-        return wordpiece_by_join(df, tokens, vocab, key, out, unk, longest)
-    held = df.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in vocab.select("token").toLocalIterator()))
-
-    @F.pandas_udf("array<string>")
-    def cut(rows):
-        import pandas as pd
-
-        words, memo = held.value, {}
-
-        def one(token):
-            if len(token) > longest:
-                return [unk]
-            pieces, start = [], 0
-            while start < len(token):
-                for end in range(len(token), start, -1):
-                    piece = ("##" if start else "") + token[start:end]
-                    if piece in words:
-                        break
-                else:
-                    return [unk]
-                pieces.append(piece)
-                start = end
-            return pieces
-
-        def cached(token):
-            if token not in memo:
-                memo[token] = one(token)
-            return memo[token]
-
-        return pd.Series([[p for t in row for p in cached(t)] if row is not None else None for row in rows])
-
-    return df.withColumn(out, cut(tokens))
-
-
-def wordpiece_by_join(df, tokens, vocab, key, out="pieces", unk="[UNK]", longest=100) -> DataFrame:
-    """The same cut for vocabularies of any size.
+def wordpiece(df: DataFrame, tokens: str, vocab: DataFrame, key, out="pieces", unk="[UNK]", longest=100) -> DataFrame:
+    """Greedy longest-match pieces with ``##`` continuations; an empty token has no pieces.
 
     Every distinct token lists its substrings up to the longest vocabulary piece; an
     equi-join keeps those in the vocabulary; the longest match per start is followed from
@@ -181,7 +146,7 @@ def wordpiece_by_join(df, tokens, vocab, key, out="pieces", unk="[UNK]", longest
     types = need.select("token").distinct()
     widest = vocab.agg(F.max(F.length(F.regexp_replace("token", "^##", ""))).cast("int").alias("_w"))
     n = F.length("token")
-    starts = types.filter(n <= longest).crossJoin(F.broadcast(widest)).select("token", "_w", F.explode(F.sequence(F.lit(1), n)).alias("s"))
+    starts = types.filter((n > 0) & (n <= longest)).crossJoin(F.broadcast(widest)).select("token", "_w", F.explode(F.sequence(F.lit(1), n)).alias("s"))
     pieces = starts.select("token", "s", F.explode(F.sequence(F.lit(1), F.least("_w", n - F.col("s") + 1))).alias("l")).withColumn(
         "piece", F.concat(F.when(F.col("s") > 1, "##").otherwise(""), F.substring(F.col("token"), F.col("s"), F.col("l")))
     )
@@ -200,7 +165,7 @@ def wordpiece_by_join(df, tokens, vocab, key, out="pieces", unk="[UNK]", longest
     )
     cut = steps.withColumn("_a", walk).select("token", F.when(F.col("_a.at") == n + 1, F.col("_a.out")).otherwise(F.array(F.lit(unk))).alias("p"))
     known = need.join(cut, "token").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("token", "p"))).alias("_m"))
-    looked_up = F.flatten(F.transform(F.col(tokens), lambda t: F.coalesce(F.try_element_at("_m", t), F.array(F.lit(unk)))))
+    looked_up = F.flatten(F.transform(F.col(tokens), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.coalesce(F.try_element_at("_m", t), F.array(F.lit(unk))))))
     return (
         df.join(known, keys, "left")
         .withColumn("_m", F.coalesce("_m", F.create_map().cast("map<string,array<string>>")))

@@ -131,6 +131,11 @@ def _(spark, sf):
     return Sa.batch_assign(V.labelled(spark, sf).select("id"), "id", 32, 3)
 
 
+@query("batch_assign_in_order", "SELECT 0 AS epoch, id, (row_number() OVER (ORDER BY id) - 1) // 32 AS batch FROM v_labelled", _L)
+def _(spark, sf):
+    return Sa.batch_assign(V.labelled(spark, sf).select("id"), "id", 32, shuffle=False, chunk=F.expr("id div 4096"))
+
+
 @query(
     "balanced_resample",
     """WITH m AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY md5('0|' || id), id) AS m FROM v_labelled),

@@ -8,6 +8,7 @@ from colloquy import constants as K
 from colloquy.functions import acts as A, encode as E
 from colloquy.operators import metrics as M, state as S
 from colloquy.operators.filters import filter_role
+from colloquy.operators.ordered import with_preceding
 from colloquy.operators.staging import stage
 from colloquy.plans import views as V
 from colloquy.plans.registry import query
@@ -79,27 +80,25 @@ def _(spark, sf):
 @query(
     "pair_turns",
     """SELECT session_id, pos, role, lag(content, 1) OVER w AS prev_other, lag(content, 2) OVER w AS prev_own
-FROM v_turns WINDOW w AS (PARTITION BY session_id ORDER BY pos)""",
-    ("v_turns",),
+FROM v_exchanges WINDOW w AS (PARTITION BY session_id ORDER BY pos)""",
+    ("v_exchanges",),
 )
 def _(spark, sf):
-    return S.pair_turns(V.turns(spark, sf)).select("session_id", "pos", "role", "prev_other", "prev_own")
+    return S.pair_turns(V.exchanges(spark, sf)).select("session_id", "pos", "role", "prev_other", "prev_own")
 
 
 @query(
     "dialog_history",
-    """WITH x AS (SELECT session_id, pos // 2 AS i, coalesce(max(CASE WHEN pos % 2 = 1 THEN content END), '') AS usr,
- max(CASE WHEN pos % 2 = 0 THEN content END) AS sys FROM v_turns GROUP BY session_id, pos // 2)
+    """WITH y AS (SELECT *, lag(content) OVER w AS before, lag(role) OVER w AS who FROM v_exchanges WINDOW w AS (PARTITION BY session_id ORDER BY pos)),
+x AS (SELECT session_id, pos AS i, content AS usr, CASE WHEN who = 'sys' THEN before ELSE '' END AS sys FROM y WHERE role = 'usr')
 SELECT session_id, i, trim(string_agg(sys || ' ; ' || usr || ' ; ', '' ORDER BY i) OVER (PARTITION BY session_id ORDER BY i ROWS UNBOUNDED PRECEDING)) AS history,
  trim(sys || ' ; ' || usr) AS turn_text FROM x""",
-    ("v_turns",),
+    ("v_exchanges",),
 )
 def _(spark, sf):
-    t = V.turns(spark, sf)
-    pairs = t.groupBy("session_id", F.expr("pos div 2").alias("i")).agg(
-        F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("content"))), F.lit("")).alias("usr"),
-        F.max(F.when(F.col("pos") % 2 == 0, F.col("content"))).alias("sys"),
-    )
+    before = lambda w: F.lag(F.when(F.col("role") == "sys", F.col("content"))).over(w)
+    t = with_preceding(V.exchanges(spark, sf), ["session_id"], "pos", 1, lambda w: {"sys": F.coalesce(before(w), F.lit(""))})
+    pairs = filter_role(t, "usr").select("session_id", F.col("pos").alias("i"), "sys", F.col("content").alias("usr"))
     return S.dialog_history(pairs).select("session_id", "i", "history", "turn_text")
 
 

@@ -182,6 +182,19 @@ def _(spark, sf):
     return sample_fraction(V.turns(spark, sf).select("session_id", "pos"), 30, ["session_id", "pos"])
 
 
+@query(
+    "sample_fraction_in_order",
+    """WITH r AS (SELECT session_id, pos, row_number() OVER (ORDER BY session_id, pos) AS rn, count(*) OVER () AS n FROM v_turns)
+SELECT session_id, pos FROM r WHERE rn <= floor(n * 30.0 / 100.0)""",
+    ("v_turns",),
+)
+def _(spark, sf):
+    from colloquy.operators.filters import sample_fraction
+
+    t = V.turns(spark, sf).select("session_id", "pos")
+    return sample_fraction(t, 30, ["session_id", "pos"], shuffle=False, chunk=F.expr("session_id div 64"))
+
+
 @query(
     "sort_batch_by_length",
     f"""SELECT session_id // 16 AS batch, session_id, pos, row_number() OVER (PARTITION BY session_id // 16 ORDER BY len({_W.format('content')}) DESC, session_id, pos) AS rank FROM v_turns""",
@@ -225,11 +238,8 @@ def _(spark, sf):
 
 # -- tokenisers and normalisers ------------------------------------------------------------------
 
-_ACC, _PLAIN = X.ACCENTED, X.PLAIN
-
-
 _BASIC = r"""list_filter(regexp_split_to_array(
- regexp_replace(translate(lower(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\x{FFFD}\p{Cf}\p{Co}]', '', 'g'), '[\t\n\r\p{Zs}]', ' ', 'g')), '""" + _ACC + "', '" + _PLAIN + r"""'),
+ regexp_replace(regexp_replace(strip_accents(lower(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\x{FFFD}\p{Cf}\p{Co}]', '', 'g'), '[\t\n\r\p{Zs}]', ' ', 'g'))), '\p{Mn}', '', 'g'),
  '([\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E\p{P}])', ' \1 ', 'g'), ' '), lambda w: w <> '')"""
 
 
@@ -241,7 +251,7 @@ def _(spark, sf):
 
 @query(
     "normalize_string",
-    r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(translate(lower(text), '""" + _ACC + "', '" + _PLAIN + r"""'), '([,.!?])', ' \1 ', 'g'), '[^a-zA-Z,.!?]+', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM documents""",
+    r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(text)), '([,.!?])', ' \1 ', 'g'), '[^a-zA-Z,.!?]+', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM documents""",
 )
 def _(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", X.normalize_string("text").alias("text"))
@@ -265,7 +275,7 @@ def _(spark, sf):
     "wordpiece",
     f"""WITH RECURSIVE d AS (SELECT doc_id, {_BASIC} AS toks FROM documents), tk AS (SELECT doc_id, unnest(toks) AS t, generate_subscripts(toks, 1) AS i FROM d),
 ty AS (SELECT DISTINCT t FROM tk),
-voc AS (SELECT DISTINCT CASE WHEN i > 1 THEN '##' ELSE '' END || substr(t, i, 2) AS piece FROM (SELECT t, unnest(range(1, length(t) + 1, 2)) AS i FROM ty WHERE length(t) <= 12)),
+voc AS (SELECT DISTINCT CASE WHEN i > 1 THEN '##' ELSE '' END || substr(t, i, 2) AS piece FROM (SELECT t, unnest(range(1, length(t) + 1, 2)) AS i FROM ty)),
 rec AS (SELECT t, CAST(1 AS BIGINT) AS pos, CAST([] AS VARCHAR[]) AS out FROM ty WHERE length(t) <= 100
  UNION ALL SELECT r.t, r.pos + CASE WHEN v2.piece IS NOT NULL THEN 2 ELSE 1 END, list_append(r.out, coalesce(v2.piece, v1.piece))
  FROM rec r LEFT JOIN voc v2 ON r.pos < length(r.t) AND v2.piece = CASE WHEN r.pos > 1 THEN '##' ELSE '' END || substr(r.t, r.pos, 2)
@@ -276,11 +286,11 @@ SELECT d.doc_id, coalesce(p, '') AS pieces FROM d LEFT JOIN (SELECT doc_id, stri
  FROM tk LEFT JOIN done ON done.t = tk.t GROUP BY doc_id) x ON x.doc_id = d.doc_id""",
 )
 def _(spark, sf):
-    """Pieces of every document against the two- and three-letter pieces of the corpus' own vocabulary."""
+    """Pieces of every document against the one- and two-letter pieces of the corpus' own vocabulary."""
     d = stage(V.table(spark, sf, "documents").select("doc_id", X.basic_tokens("text").alias("toks")))
     tokens = d.select(F.explode(F.array_distinct("toks")).alias("t")).distinct()
     cut = F.transform(F.sequence(F.lit(1), F.length("t"), F.lit(2)), lambda i: F.concat(F.when(i > 1, "##").otherwise(""), F.substring("t", i, F.lit(2))))
-    vocab = tokens.filter("length(t) <= 12").select(F.explode(cut).alias("token")).distinct()
+    vocab = tokens.select(F.explode(cut).alias("token")).distinct()
     return X.wordpiece(d, "toks", stage(vocab), ["doc_id"]).select("doc_id", F.array_join("pieces", " ").alias("pieces"))
 
 
@@ -304,17 +314,16 @@ def _(spark, sf):
 
 @query(
     "corpus_wer",
-    _WER + """SELECT CASE WHEN pos % 2 = 0 THEN 'usr' ELSE 'sys' END AS role, count(*) AS n, CAST(sum(edits) AS BIGINT) AS edits, CAST(sum(ref_len) AS BIGINT) AS ref_len,
- round(sum(edits) / sum(ref_len) * 100, 6) AS wer FROM e GROUP BY ALL""",
+    _WER + """SELECT role, count(*) AS n, CAST(sum(edits) AS BIGINT) AS edits, CAST(sum(ref_len) AS BIGINT) AS ref_len,
+ round(sum(edits) / sum(ref_len) * 100, 6) AS wer FROM e JOIN (SELECT session_id, pos, role FROM v_pairs) USING (session_id, pos) GROUP BY ALL""",
     ("v_pairs",),
 )
 def _(spark, sf):
-    t = word_errors(spark, sf).withColumn("role", F.when(F.col("pos") % 2 == 0, "usr").otherwise("sys"))
-    return X.corpus_wer(t, ["role"])
+    return X.corpus_wer(word_errors(spark, sf), ["role"])
 
 
 def word_errors(spark, sf):
-    p = V.pairs(spark, sf).select("session_id", "pos", V.words(F.col("hyp")).alias("h"), V.words(F.col("ref")).alias("r"))
+    p = V.pairs(spark, sf).select("session_id", "pos", "role", V.words(F.col("hyp")).alias("h"), V.words(F.col("ref")).alias("r"))
     return X.wer(p, "r", "h")
 
 
@@ -348,26 +357,26 @@ def _(spark, sf):
 
 @query(
     "flatten_nbest",
-    """WITH x AS (SELECT utt_id, unnest(range(0, 4)) AS r FROM (SELECT DISTINCT utt_id FROM v_nbest)),
-p AS (SELECT x.utt_id, r, array_to_string(list_resize(coalesce(tokens, []), 12, '<PAD>')[1:12], ' ') AS row FROM x LEFT JOIN v_nbest n ON n.utt_id = x.utt_id AND n.rank = x.r)
+    """WITH x AS (SELECT utt_id, unnest(range(0, 10)) AS r FROM (SELECT DISTINCT utt_id FROM v_nbest)),
+p AS (SELECT x.utt_id, r, array_to_string(list_resize(coalesce(tokens, []), 80, '<PAD>')[1:80], ' ') AS row FROM x LEFT JOIN v_nbest n ON n.utt_id = x.utt_id AND n.rank = x.r)
 SELECT utt_id, string_agg(row, ' ' ORDER BY r) AS flat, max(CASE WHEN r = 1 THEN row END) AS second FROM p GROUP BY utt_id""",
     ("v_nbest",),
 )
 def _(spark, sf):
     from colloquy.operators.sampling import flatten_nbest
 
-    f = flatten_nbest(V.nbest(spark, sf), 4, 12, "<PAD>")
-    return f.select("utt_id", F.array_join("flat", " ").alias("flat"), F.array_join(F.get(E.unflatten("flat", 12, 4), F.lit(1)), " ").alias("second"))
+    f = flatten_nbest(V.nbest(spark, sf), 10, 80, "<PAD>")
+    return f.select("utt_id", F.array_join("flat", " ").alias("flat"), F.array_join(F.get(E.unflatten("flat", 80, 10), F.lit(1)), " ").alias("second"))
 
 
 @query(
     "combine_am_lm",
     """SELECT utt_id, round(sum(am), 6) AS am, round(sum(lm), 6) AS lm, round(sum((am + lm) / 2), 6) AS am_lm, count(*) AS n
-FROM v_nbest WHERE rank < 20 GROUP BY utt_id""",
+FROM v_nbest GROUP BY utt_id""",
     ("v_nbest",),
 )
 def _(spark, sf):
-    n = top_hypotheses(V.nbest(spark, sf), 20).groupBy("utt_id").agg(
+    n = V.nbest(spark, sf).groupBy("utt_id").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", "am", "lm"))), lambda x: F.array(x["am"], x["lm"]))).alias("pairs")
     )
     total = lambda m: F.round(F.aggregate(E.combine_am_lm("pairs", m), F.lit(0.0), lambda a, x: a + x), 6).alias(m)
@@ -442,7 +451,7 @@ def _(spark, sf):
 
 @query(
     "numbered_dialogues",
-    r"""WITH t AS (SELECT *, string_split(content, ' ') AS w FROM v_turns),
+    r"""WITH t AS (SELECT *, string_split(content, ' ') AS w FROM v_exchanges),
 ex AS (SELECT u.session_id, u.pos // 2 AS i, u.content AS usr, s.content AS bot, u.w AS uw, s.w AS bw FROM t u JOIN t s ON s.session_id = u.session_id AND s.pos = u.pos + 1 WHERE u.pos % 2 = 0),
 mem AS (SELECT session_id, 2 * i AS blk, i AS vis, unnest(uw) AS word, generate_subscripts(uw, 1) - 1 AS k FROM ex
  UNION ALL SELECT session_id, 2 * i + 1, i + 1, unnest(bw), generate_subscripts(bw, 1) - 1 FROM ex),
@@ -450,12 +459,12 @@ m AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY blk, k) - 1
 q AS (SELECT DISTINCT session_id, i, unnest(bw) AS word FROM ex),
 l AS (SELECT q.session_id, q.i, q.word, max(m.p) AS last_pos FROM q JOIN m ON m.session_id = q.session_id AND m.word = q.word AND m.vis <= q.i GROUP BY ALL)
 SELECT session_id, i + 1 AS turn_id, word, last_pos FROM l""",
-    ("v_turns",),
+    ("v_exchanges",),
 )
 def _(spark, sf):
     from colloquy.sources.dialogues import memory_positions
 
-    t = V.turns(spark, sf)
+    t = V.exchanges(spark, sf)
     usr = t.filter("pos % 2 = 0").select("session_id", F.expr("pos div 2 + 1").alias("turn_id"), F.col("content").alias("usr"))
     bot = t.filter("pos % 2 = 1").select("session_id", F.expr("pos div 2 + 1").alias("turn_id"), F.col("content").alias("bot"))
     return memory_positions(usr.join(bot, ["session_id", "turn_id"]), "session_id")

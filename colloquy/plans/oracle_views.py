@@ -19,6 +19,10 @@ _NAMED_SLOT = "CASE domain0 " + " ".join(
 
 VIEWS = {
     "v_turns": ((), """
+SELECT conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos,
+ CASE role WHEN 'user' THEN 'usr' WHEN 'system' THEN 'note' ELSE 'sys' END AS role, text AS content
+FROM conversations"""),
+    "v_exchanges": ((), """
 SELECT conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos,
  CASE role WHEN 'user' THEN 'usr' ELSE 'sys' END AS role, text AS content
 FROM conversations WHERE role <> 'system'"""),
@@ -97,8 +101,9 @@ SELECT d.doc_id AS id, text, lang, source,
  CASE WHEN md5(CAST(d.doc_id AS VARCHAR)) < 'c' THEN 'train' ELSE 'test' END AS split
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""),
     "v_scores": ((), """
-SELECT vec_id AS id, CAST(label AS BIGINT) AS label, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS trs,
- list_transform(embedding[11:20], lambda x: CAST(x AS DOUBLE)) AS asr FROM embeddings"""),
+SELECT vec_id AS id, CAST(label AS BIGINT) AS label,
+ list_transform(range(0, 10), lambda c: list_sum(list_transform(range(c + 1, len(embedding) + 1, 20), lambda i: CAST(embedding[i] AS DOUBLE)))) AS trs,
+ list_transform(range(0, 10), lambda c: list_sum(list_transform(range(c + 11, len(embedding) + 1, 20), lambda i: CAST(embedding[i] AS DOUBLE)))) AS asr FROM embeddings"""),
     "v_pairs": (("v_turns",), """
 SELECT a.session_id, a.pos, a.role, a.content AS hyp, b.content AS ref, a.role || (a.session_id % 20) AS act_key
 FROM v_turns a JOIN v_turns b ON a.session_id = b.session_id AND b.pos = a.pos + 1"""),

@@ -33,17 +33,26 @@ def words(col):
     return F.filter(F.split(col, r"\s+"), lambda t: t != "")
 
 
-def turns(spark, sf):
-    t = table(spark, sf, "conversations").filter("role <> 'system'")
-    t = t.select(
+def _numbered_turns(rows):
+    t = rows.select(
         F.col("conv_id").alias("session_id"),
         "turn",
-        F.when(F.col("role") == "user", "usr").otherwise("sys").alias("role"),
+        F.when(F.col("role") == "user", "usr").when(F.col("role") == "system", "note").otherwise("sys").alias("role"),
         F.col("text").alias("content"),
     )
     return dense_position(t, ["session_id"], ["turn"], F.expr("turn div 1024")).drop("turn")
 
 
+def turns(spark, sf):
+    """Every row of the conversations; instructions have the role ``note``."""
+    return _numbered_turns(table(spark, sf, "conversations"))
+
+
+def exchanges(spark, sf):
+    """The turns of the two speakers, numbered without the instructions: for operators that pair speakers."""
+    return _numbered_turns(table(spark, sf, "conversations").filter("role <> 'system'"))
+
+
 def _numbered_events(spark, sf):
     e = table(spark, sf, "events").select(
         "event_id",
@@ -218,13 +227,21 @@ def labelled(spark, sf):
 
 
 def scores(spark, sf):
-    """Two systems' class scores over ten labels."""
+    """Two systems' class scores over ten labels, folded from all dimensions.
+
+    Dimension i counts for class i % 10: of the first system in even rows of ten, of the second in odd ones.
+    """
     v = F.transform("embedding", lambda x: x.cast("double"))
+
+    def folded(half):
+        mine = lambda c: F.filter(v, lambda x, i: (i % 10 == c) & (F.floor(i / 10) % 2 == half))
+        return F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: F.aggregate(mine(c), F.lit(0.0), lambda a, x: a + x))
+
     return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("id"),
         F.col("label").cast("bigint").alias("label"),
-        F.slice(v, 1, 10).alias("trs"),
-        F.slice(v, 11, 10).alias("asr"),
+        folded(0).alias("trs"),
+        folded(1).alias("asr"),
     )
 
 

@@ -307,12 +307,11 @@ def test_goal_rules(spark):
     assert acts == "Select+酒店+源领域+餐馆 Inform+餐馆+名称+x Inform+出租+出发地+x"
 
 
-def test_wordpiece_both_ways(spark):
+def test_wordpiece(spark):
     vocab = spark.createDataFrame([(w,) for w in ("un", "##aff", "##able", "a", "##b")], "token string")
-    df = spark.createDataFrame([(1, ["unaffable", "ab", "zz", "a" * 101])], "id int, t array<string>")
+    df = spark.createDataFrame([(1, ["unaffable", "ab", "", "zz", "a" * 101])], "id int, t array<string>")
     want = ["un", "##aff", "##able", "a", "##b", "[UNK]", "[UNK]"]
     assert one(X.wordpiece(df, "t", vocab, ["id"])).pieces == want
-    assert one(X.wordpiece(df, "t", vocab, ["id"], broadcast_rows=2)).pieces == want
 
 
 def test_basic_tokens_variants(spark):
@@ -335,6 +334,12 @@ def test_sampling(spark):
     assert Fi.sample_fraction(df, 10, "id").count() == 10
     b = Sa.batch_assign(df, "id", 10, 2).groupBy("epoch", "batch").count().collect()
     assert sorted(r["count"] for r in b) == [1, 1] + [10] * 20
+    head = Fi.sample_fraction(df, 10, "id", shuffle=False, chunk=F.expr("id div 16"))
+    assert sorted(r.id for r in head.collect()) == list(range(10))
+    first = Sa.batch_assign(df, "id", 5, 2, shuffle=False, chunk=F.expr("id div 16")).filter("batch = 0").groupBy("epoch").agg(F.sort_array(F.collect_list("id")).alias("i"))
+    assert [r.i for r in first.collect()] == [list(range(5))] * 2
+    with pytest.raises(ValueError):
+        Sa.batch_assign(df, "id", 5, shuffle=False)
     hot = df.withColumn("y", F.when(F.col("id") < 100, "big").otherwise("small"))
     n = {r.y: r["count"] for r in Sa.balanced_resample(hot, "y", 2000, "id").groupBy("y").count().collect()}
     assert sum(n.values()) == 2000 and abs(n["small"] - 1000) < 150
@@ -362,3 +367,21 @@ def test_reference_numbers_of_two_digits(spark):
     from colloquy.operators.goals import reference_id
 
     assert spark.range(1).select(reference_id(__import__("pyspark").sql.functions.lit("near id=12")).alias("r")).first().r == 12
+
+
+def test_accents_of_every_script(spark):
+    df = spark.createDataFrame([("Tiếng Việt Ελλάδα Ǻ e\u0301",)], "t string")
+    r = one(df.select(F.array_join(X.basic_tokens("t"), " ").alias("b"), X.normalize_string("t").alias("n")))
+    assert r.b == "tieng viet ελλαδα a e" and r.n == "tieng viet a e"
+
+
+def test_edit_distance_beyond_the_surrogates(spark):
+    n = 45_000
+    a = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("t"), i.cast("string")))
+    r = one(spark.range(1).select(X._as_chars(F.array(F.lit("t41983"), F.lit("t41984"), F.lit("t45000")), a).alias("c")))
+    assert len(set(r.c)) == 3 and "?" not in r.c and "\ufffd" not in r.c
+
+
+def test_constant_order_states_base_intents_only():
+    assert not [x for order in K.INTENT_ORDER.values() for x in order if "1" in x]
+    assert all(len(set(order)) == len(order) for order in K.INTENT_ORDER.values())
