@@ -27,8 +27,11 @@ LINE_RULES = {
     "boilerplate": r"(?i)\b(?:" + "|".join(BOILERPLATE) + r")\b",
     "navigation": r"(?:[|»›•][^|»›•]*){3}",
     "symbols": r"(?:[#*$%&|<>]{2,}[^#*$%&|<>]*){3}",
-    "shouting": r"^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*[\x20\x09][^\p{Ll}]*\p{Lu}[^\p{Ll}]*$",
 }
+# So does one without small letters that has capitals before and after a gap. Each part of the pattern stops at the first
+# character the next part takes, so matching is linear in the line.
+SMALL_LETTER = r"\p{Ll}"
+SHOUTING = r"^[^\p{Lu}]*\p{Lu}[^\x20\x09]*[\x20\x09][^\p{Lu}]*\p{Lu}"
 ENDS_WELL = r"[.!?:;…。！？][\"'”’»)\]]*[\x20\x09-\x0D]*$"
 SHORT_LINE = 20
 MAX_LOST_PERCENT = 50
@@ -52,7 +55,7 @@ def bad_line(line: Column) -> Column:
     bad = (F.length(line) < SHORT_LINE) & ~line.rlike(ENDS_WELL)
     for pattern in LINE_RULES.values():
         bad = bad | line.rlike(pattern)
-    return bad
+    return bad | (~line.rlike(SMALL_LETTER) & line.rlike(SHOUTING))
 
 
 def clean_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -114,6 +117,7 @@ def report(docs: DataFrame) -> DataFrame:
 def _sql_bad_line() -> str:
     rules = [f"regexp_matches(l, '{p.replace(chr(39), chr(39) * 2)}')" for p in LINE_RULES.values()]
     ends = ENDS_WELL.replace("'", "''")
+    rules.append(f"(NOT regexp_matches(l, '{SMALL_LETTER}') AND regexp_matches(l, '{SHOUTING}'))")
     return " OR ".join([*rules, f"(length(l) < {SHORT_LINE} AND NOT regexp_matches(l, '{ends}'))"])
 
 

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from colloquy.llm import exact_dedup, html_extract, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, url_filters
@@ -327,6 +328,18 @@ def test_line_rules(spark):
     assert got[4].q_n_words == 0 and got[4].q_base_failed
 
 
+def test_shouting_lines_are_judged_in_linear_time(spark):
+    """The rule equals its plain wording, and long lines that almost match it are quick."""
+    lines = ["BUY NOW", "BUY", "buy NOW", "B u Y", "1 A B 2", "A\tB", "A\u00a0B", "É À", "a", " A B ", "12 34", "A 1", "1 A"]
+    almost = "A B " * 20_000 + "c"
+    got = {r.t: r.bad for r in spark.createDataFrame([(x,) for x in [*lines, almost]], "t string").select("t", (~F.col("t").rlike(quality_rules.SMALL_LETTER) & F.col("t").rlike(quality_rules.SHOUTING)).alias("bad")).collect()}
+    capital = lambda s: any(c.isupper() for c in s)
+    for x in lines:
+        want = not any(c.islower() for c in x) and any(c in " \t" and capital(x[:i]) and capital(x[i:]) for i, c in enumerate(x))
+        assert got[x] == want, x
+    assert not got[almost]
+
+
 def test_clean_documents_stay(spark):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     r = quality_rules.report(docs).join(labels, "doc_id").filter("not base_failed").toPandas()  # a filter must not copy the arrays
