@@ -52,7 +52,6 @@ def _encoders(path: str):
     from colloquy.llm.token_counts import byte_values
 
     exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
     special = {t["content"] for t in model.get("added_tokens", ())}
@@ -61,14 +60,22 @@ def _encoders(path: str):
     return exact, fast
 
 
+@lru_cache(maxsize=2)
+def _added(path: str) -> re.Pattern:
+    """What an added token looks like in a text."""
+    exact, _ = _encoders(path)
+    return re.compile("|".join(sorted(re.escape(t.content) for t in exact.get_added_tokens_decoder().values())) or "(?!)")
+
+
 def token_ids(text: str | None, path: str) -> list[int]:
-    """Ids of the whole text by the vocabulary at ``path``, without special tokens.
+    """Ids of the whole text by the vocabulary at ``path``; no special tokens are put around it.
 
-    The second encoder holds the same vocabulary and is faster; it is used for characters on which both agree, but for very long gaps.
+    The second encoder holds the same vocabulary and is faster; it is used for characters on which both agree, but for very long gaps
+    and for texts that contain an added token, which the first encoder gives its own id.
     """
     exact, fast = _encoders(path)
     text = text or ""
-    if _PLAIN.fullmatch(text) and not _LONG_GAP.search(text):
+    if _PLAIN.fullmatch(text) and not _LONG_GAP.search(text) and not _added(path).search(text):
         return fast.encode_ordinary(text)
     return exact.encode(text, add_special_tokens=False).ids
 

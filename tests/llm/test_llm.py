@@ -400,6 +400,20 @@ def test_both_encoders_agree():
     assert packing.token_ids("a" + " " * 100000 + "b", vocabulary_path()) == exact.encode("a" + " " * 100000 + "b", add_special_tokens=False).ids
 
 
+def test_added_tokens_keep_their_ids(spark):
+    """The plain call of the tokenizer, also on texts that spell an added token."""
+    from tokenizers import Tokenizer
+
+    path = vocabulary_path()
+    plain = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "Éa <|endoftext|> ɐ 你好", prose(8, 700) + "<|endoftext|>" + prose(9, 700), "<|endoftext|" + " >"]
+    want = [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert want[0] == [64, 220, 50256, 275, 2]
+    rows = packing.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    got = sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
+    assert got == [(i, k, s, n, zlib.crc32(np.array(ids[s:s + n], "<u4").tobytes())) for i, ids in enumerate(want) for k, (s, n) in enumerate(packing.cut(len(ids), 1024))]
+
+
 # 9 classifier
 
 
