@@ -82,8 +82,14 @@ def _(spark, sf):
 
 @query("stream_act_distribution", "SELECT event_type, count(*) AS n FROM events WHERE ts < date_trunc('hour', (SELECT max(ts) FROM events) - INTERVAL 1 DAY) GROUP BY ALL")
 def _(spark, sf):
-    """Closed windows only: those that end before the watermark after the last batch."""
-    out = run_stream(spark, J.act_distribution(table_stream(spark, sf, "events"), "event_type"))
+    """All windows: every batch writes the counts so far, the last one of each window stands."""
+    base = f"{stage_dir(spark)}/stream-{uuid.uuid4().hex}"
+    q = (
+        J.act_distribution(table_stream(spark, sf, "events"), "event_type").writeStream.outputMode("complete").foreachBatch(J.report_sink(f"{base}/out"))
+        .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    out = J.report_table(spark, f"{base}/out", ("start", "event_type"))
     return out.groupBy("event_type").agg(F.sum("n").alias("n"))
 
 

@@ -63,3 +63,13 @@ def test_label_metrics_report(spark, tmp_path):
     q.awaitTermination()
     got = {r.label: (r.n, r.right) for r in J.report_table(spark, str(tmp_path / "report")).collect()}
     assert got == {0: (2, 1), 1: (1, 1)}
+
+
+def test_act_distribution_counts_all_events(spark):
+    """Also those of windows that the watermark has not closed."""
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.event_type: r.n for r in entry.queries()["stream_act_distribution"](spark, sf).collect()}
+    want = {r.event_type: r["count"] for r in spark.read.parquet(f"{sf}/events.parquet").groupBy("event_type").count().collect()}
+    assert got == want
