@@ -32,8 +32,15 @@ VARIANTS = 3
 PAGES_AT_ONCE = 400
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe object svg math textarea title select".split())
+_RAW = frozenset("script style noscript template iframe textarea title select".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+# Formulas, drawings and embedded objects stand in a line of text; their elements may end in "/>".
+_EMBEDDED = frozenset("math svg object".split())
+_INLINE |= _EMBEDDED | frozenset(
+    "mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mmultiscripts mtable mtr mtd mspace mstyle mpadded mphantom "
+    "menclose mfenced merror semantics annotation annotation-xml g path circle ellipse line polygon polyline rect use defs symbol tspan textpath desc "
+    "lineargradient radialgradient stop clippath mask pattern marker filter foreignobject image text".split()
+)
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("article section div main aside nav header footer table ul ol dl body form td th blockquote".split())
 _PART = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)", re.S)
@@ -130,11 +137,20 @@ def parse(page: str) -> Node:
                 up = up.parent
         node.parts.append(child := Node(name, m.group(3), node))
         node.children.append(child)
-        if not m.group(3).rstrip().endswith("/") or name not in ("p", "div", "span"):
+        if not m.group(3).rstrip().endswith("/") or name not in ("p", "div", "span") and not _embedded(child):
             node = child
     return root
 
 
+def _embedded(n: Node | None) -> bool:
+    """Whether an element is, or directly stands among, the parts of a formula, a drawing or an object."""
+    while n and n.tag in _INLINE:
+        if n.tag in _EMBEDDED:
+            return True
+        n = n.parent
+    return False
+
+
 def _measure(root: Node) -> list[Node]:
     """Elements in page order without inline ones; sums over what stands below each."""
     order, stack = [], [root]

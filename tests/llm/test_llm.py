@@ -309,6 +309,21 @@ def test_html_furniture_goes(spark):
     assert html_extract.extract([page, None, "", "<p"], model) == [f"Title & more\n{one}\nA second part here, {one}", "", "", ""]
 
 
+def test_html_embedded_elements_cost_no_text():
+    def text(page):
+        root = html_extract.parse(page)
+        for n in html_extract._measure(root):
+            n.kept = True
+        return html_extract.kept_text(root)
+
+    assert text('<p>one <svg width="1"/> two</p><p>three</p>') == "one two\nthree"
+    assert text('<p>one <object data="x"/> two</p><p>three</p>') == "one two\nthree"
+    assert text('<p>so <math><mi>a</mi><mo>=</mo><mspace width="1"/><mn>2</mn></math> holds</p>') == "so a=2 holds"
+    assert text("<p>a <svg><svg><path d='x'/></svg></svg> b</p><p>c</p>") == "a b\nc"
+    assert text("<p>a <svg><path d='x'> b</p><p>c</p>") == "a b\nc"
+    assert text("<p>a <script>x<b></script> b</p>") == "a b"
+
+
 def test_html_degenerate_tables(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u", ""), (2, "u", "plain text only")], "page_id long, url string, html string")
     assert len(html_extract.report(pages).collect()) == 3
