@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import exact_dedup, mixing, near_copies, packing, quality_classifier
+from colloquy.llm import exact_dedup, mixing, packing, quality_classifier, simhash
 from colloquy.llm.queries import table, vocabulary_path
 from colloquy.operators.staging import stage
 
@@ -24,8 +24,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
-    return near_copies.one_per_group(docs)
+    """Of each group that the SimHash operator links (three-word shingles, 3 differing bits) the smallest doc_id stays."""
+    return simhash.one_per_group(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
