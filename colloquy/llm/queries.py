@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import exact_dedup, html_extract, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, url_filters
+from colloquy.llm import exact_dedup, html_extract, mixing, packing, quality_classifier, quality_rules, secret_scan, simhash, source_audit, suffix_dedup, token_counts, url_filters, whitening
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -59,6 +59,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.report(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +81,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_source_mix, op3_exact_dedup, op4_url_filters, op5_simhash, op6_html_text,
-        op7_quality_rules, op8_best_fit_packing, op9_quality_classifier, op10_suffix_dedup, pipeline,
+        op7_quality_rules, op8_best_fit_packing, op9_quality_classifier, op10_suffix_dedup,
+        op11_source_audit, op12_whitening, op13_secret_scan, pipeline,
     )
 }
 ORACLES = {
@@ -77,4 +90,6 @@ ORACLES = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op4_url_filters": url_filters.SQL,
     "op7_quality_rules": quality_rules.SQL,
+    "op11_source_audit": source_audit.SQL,
+    "op13_secret_scan": secret_scan.SQL,
 }
