@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colloquy.functions.features import kb_memory, memory_triples
 from colloquy.operators.ordered import carry_last, running_sum
 from colloquy.operators.staging import stage
+from colloquy.sources.ranges import numbered_lines
 
 
-def dialogue_lines(text: DataFrame, value="value", source="source") -> DataFrame:
-    """(source, n, dialogue, kind, usr, bot, kb) of whole-file text rows; a blank line starts a new dialogue."""
-    lines = text.select(source, F.posexplode(F.split(value, "\n")).alias("n", "line"))
-    line = F.regexp_replace("line", r"^\s+|\s+$", "")
-    lines = lines.withColumn("line", line).withColumn("blank", (F.col("line") == "").cast("int"))
-    # one file is one wholetext row already, so this window adds no larger unit of work
-    d = lines.withColumn("dialogue", F.sum("blank").over(W.partitionBy(source).orderBy("n"))).filter("blank = 0")
+def dialogue_lines(lines: DataFrame, source="source") -> DataFrame:
+    """(source, n, dialogue, kind, usr, bot, kb) of numbered lines (``block``, ``n``, ``value``); a blank line starts a new dialogue."""
+    line = F.regexp_replace("value", r"^\s+|\s+$", "")
+    cut = lines.select(source, "block", "n", line.alias("line")).withColumn("blank", (F.col("line") == "").cast("int"))
+    d = running_sum(cut, [source], "n", F.col("block"), "blank", "dialogue").filter("blank = 0")
     body = F.regexp_replace("line", r"^\S+ ", "")
     talk = body.contains("\t")
     f = F.split(body, "\t")
@@ -27,8 +26,9 @@ def dialogue_lines(text: DataFrame, value="value", source="source") -> DataFrame
 
 
 def read_numbered_dialogues(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.text(path, wholetext=True).withColumn("source", F.input_file_name())
-    return dialogue_lines(text)
+    """Files of numbered lines, each read in byte ranges; a folder's files follow each other in the order of their names."""
+    lines = numbered_lines(spark, path, across=True)
+    return dialogue_lines(lines.select(F.lit(path).alias("source"), F.struct("source", "block").alias("block"), "n", "value"))
 
 
 def dialogue_totals(lines: DataFrame, source="source") -> DataFrame:
@@ -53,8 +53,8 @@ def memory_rows(lines: DataFrame, dialogue=("source", "dialogue"), width=4) -> D
     added afterwards. Spoken turns are numbered per dialogue.
     """
     keys = list(dialogue)
-    turn = F.sum((F.col("kind") == "talk").cast("int")).over(W.partitionBy(*keys).orderBy("n"))
-    t = lines.withColumn("turn", turn)
+    talk = lines.withColumn("_talk", (F.col("kind") == "talk").cast("int"))
+    t = stage(running_sum(talk, keys, "n", F.floor(F.col("n") / 4096), "_talk", "turn").drop("_talk"))
     usr = t.filter("kind = 'talk'").select(*keys, "n", F.lit(0).alias("block"), F.posexplode(memory_triples("usr", F.lit("$u"), "turn", width)).alias("k", "row"))
     bot = t.filter("kind = 'talk'").select(*keys, "n", F.lit(1).alias("block"), F.posexplode(memory_triples("bot", F.lit("$s"), "turn", width)).alias("k", "row"))
     kb = t.filter("kind = 'kb'").select(*keys, "n", F.lit(0).alias("block"), F.lit(0).alias("k"), kb_memory("kb", width).alias("row"))

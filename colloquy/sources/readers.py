@@ -1,10 +1,11 @@
-"""File readers. All return DataFrames; nothing is parsed on the driver."""
+"""File readers. All return DataFrames; nothing is parsed on the driver, and no file is one task (``ranges``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from colloquy import constants as K
+from colloquy.sources.ranges import json_entries, numbered_lines
 
 ACT_ARRAY = "array<array<string>>"
 STATE = "map<string,map<string,string>>"
@@ -15,16 +16,12 @@ SESSION = (
 
 
 def read_sessions(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """JSON object keyed by session id (optionally zipped): one row per session.
+    """JSON objects keyed by session id (optionally zipped): one row per session.
 
-    A zip member is one JSON document, so one archive is one task; archives are the
-    unit of parallelism. Convert once to parquet for repeated use.
+    A file is read in byte ranges and cut into sessions wherever it is; only a session has to fit in a task.
     """
-    if path.endswith(".zip"):
-        text = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_unzip, "value string")
-    else:
-        text = spark.read.text(path, wholetext=True)
-    sessions = text.select(F.explode(F.from_json("value", f"map<string,{SESSION}>")).alias("session_id", "s"))
+    member = F.concat(F.lit("{"), "entry", F.lit("}"))
+    sessions = json_entries(spark, path).select(F.explode(F.from_json(member, f"map<string,{SESSION}>")).alias("session_id", "s"))
     acts = lambda m: F.transform(
         m["dialog_act"],
         lambda a: F.struct(*[F.get(a, F.lit(i)).alias(n) for i, n in enumerate(("intent", "domain", "slot", "value"))]),
@@ -58,19 +55,6 @@ def tuple5(t) -> Column:
     )
 
 
-def _unzip(batches):
-    import io
-    import zipfile
-
-    import pandas as pd
-
-    for pdf in batches:
-        for blob in pdf["content"]:
-            with zipfile.ZipFile(io.BytesIO(blob)) as z:
-                for name in z.namelist():
-                    yield pd.DataFrame({"value": [z.read(name).decode("utf-8")]})
-
-
 def explode_turns(sessions: DataFrame, keep=("split", "session_id", "goal_type")) -> DataFrame:
     keep = [c for c in keep if c in sessions.columns]
     return sessions.select(*keep, F.posexplode("messages").alias("pos", "m")).select(*keep, "pos", "m.*")
@@ -82,13 +66,11 @@ def explode_acts(turns: DataFrame, acts="acts", keep=("session_id", "pos", "role
 
 def read_entities(spark: SparkSession, path: str) -> DataFrame:
     """JSON array of [name, attributes] (or of attribute objects): (name, ord, attrs variant), last entry per name."""
-    rows = spark.read.text(path, wholetext=True).select(
-        F.posexplode(F.from_json("value", "array<string>")).alias("ord", "item")
-    )
+    rows = json_entries(spark, path).select("ord", F.col("entry").alias("item"))
     item = F.parse_json("item")
     name = F.coalesce(F.try_variant_get(item, "$[0]", "string"), F.try_variant_get(item, f"$.{K.NAME}", "string"))
     attrs = F.when(F.col("item").startswith("["), F.try_variant_get(item, "$[1]", "variant")).otherwise(item)
-    return last_per_name(rows.select(name.alias("name"), F.col("ord").cast("bigint").alias("ord"), F.to_json(attrs).alias("attrs")))
+    return last_per_name(rows.select(name.alias("name"), "ord", F.to_json(attrs).alias("attrs")))
 
 
 def last_per_name(entities: DataFrame, name="name", order="ord") -> DataFrame:
@@ -145,28 +127,21 @@ def read_label_text(spark, path) -> DataFrame:
 
 
 def read_vocab(spark, path, sep=" ") -> DataFrame:
-    """(id, token): id is the line number, the token the first field."""
-    lines = F.split(F.regexp_replace("value", r"\n$", ""), "\n")
-    return spark.read.text(path, wholetext=True).select(F.posexplode(lines).alias("id", "line")).select(
-        F.col("id").cast("bigint").alias("id"), F.get(F.split("line", sep), F.lit(0)).alias("token")
-    )
+    """(id, token): id is the line number (across a folder's files, in the order of their names), the token the first field."""
+    lines = numbered_lines(spark, path, across=True)
+    return lines.select(F.col("n").alias("id"), F.get(F.split("value", sep), F.lit(0)).alias("token"))
 
 
 def read_vectors(spark, path, keyed=False, header=False) -> DataFrame:
-    """Whitespace floats: ``(key, vec)``; the key is the first field or the line number.
-
-    Keyed files are read line by line and split freely; a line-numbered file has to keep
-    its order and is read whole (one file, one task).
-    """
+    """Whitespace floats: ``(key, vec)``; the key is the first field or the line number. Blank lines hold no vector."""
     floats = lambda f: F.transform(f, lambda x: x.cast("double"))
-    fields = lambda c: F.split(F.trim(c), r"\s+")
+    fields = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
     if keyed:
         f = fields(F.col("value"))
         rows = spark.read.text(path).filter(F.size(f) > (2 if header else 1))
         return rows.select(F.get(f, F.lit(0)).alias("key"), floats(F.slice(f, 2, F.size(f))).alias("vec"))
-    lines = F.split(F.regexp_replace("value", r"\s+$", ""), "\n")
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(lines).alias("n", "line"))
-    return rows.select(F.col("n").cast("bigint").alias("key"), floats(fields(F.col("line"))).alias("vec"))
+    rows = numbered_lines(spark, path, across=True).filter(F.col("value").rlike(r"\S"))
+    return rows.select(F.col("n").alias("key"), floats(fields(F.col("value"))).alias("vec"))
 
 
 def with_extra_vectors(vectors: DataFrame, dim: int, count: int, extra=2, sd=0.1, seed=7) -> DataFrame:
@@ -197,12 +172,9 @@ def ontology_slots(keys: DataFrame, key="key", domains=K.EXPERIMENT_DOMAINS) ->
 
 
 def read_ontology(spark, path) -> DataFrame:
+    # an ontology holds one key per slot: a document as small as the data model
     keys = spark.read.text(path, wholetext=True).select(
         F.explode(F.map_keys(F.from_json("value", "map<string,string>"))).alias("key")
     )
     return ontology_slots(keys)
 
-
-def numbered_lines(text: DataFrame, value="value", source="source") -> DataFrame:
-    """Split whole-file text rows into (source, n, line)."""
-    return text.select(source, F.posexplode(F.split(value, "\n")).alias("n", "line"))

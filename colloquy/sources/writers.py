@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def prepared_corpus(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -15,9 +15,28 @@ def write_prepared_corpus(train, test, path, mode="overwrite"):
     prepared_corpus(train, test).write.mode(mode).partitionBy("part").option("sep", "\t").csv(path)
 
 
-def write_json(df: DataFrame, path: str, mode="overwrite", by=()):
-    w = df.write.mode(mode)
-    (w.partitionBy(*by) if by else w).json(path)
+def write_json_document(entries: DataFrame, path: str, entry: str, order, brackets="{}", parts=1, mode="overwrite"):
+    """JSON documents of many entries: one object or array per part, each of its own file.
+
+    ``entry`` is the text of a member (``"key": value``) or item, ``order`` the columns they are sorted by in a part.
+    """
+    opening, closing = brackets
+    keys = F.struct(*order)
+    rows = entries.select(F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int").alias("part"), keys.alias("_k"), F.col(entry).alias("value"))
+    rows = rows.withColumn("value", F.concat(F.lit(","), "value")).withColumn("_ord", F.lit(1))
+    # an entry follows its comma; the part's smallest one gets the opening bracket instead
+    first = rows.groupBy("part").agg(F.min("_k").alias("_k")).withColumn("_first", F.lit(True))
+    rows = rows.join(first, ["part", "_k"], "left")
+    rows = rows.withColumn("value", F.when(F.col("_first"), F.concat(F.lit(opening), F.substring("value", 2, 2**31 - 1))).otherwise(F.col("value")))
+    ends = first.select("part", "_k", F.lit(closing).alias("value"), F.lit(2).alias("_ord"))
+    both = rows.select("part", "_k", "value", "_ord").unionByName(ends)
+    both.repartition(parts, "part").sortWithinPartitions("part", "_ord", "_k").select("part", "value").write.mode(mode).partitionBy("part").text(path)
+
+
+def json_member(key, value) -> Column:
+    """``"key": value`` of one entry of an object."""
+    text = F.to_json(F.create_map(key, value))
+    return F.substring(text, F.lit(2), F.char_length(text) - 2)
 
 
 def write_report(df: DataFrame, path: str, mode="overwrite"):
