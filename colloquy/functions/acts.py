@@ -81,14 +81,14 @@ def domains_of(acts, *intents) -> Column:
     return F.transform(F.filter(_c(acts), lambda a: a["intent"].isin(*intents)), lambda a: a["domain"])
 
 
+def user_domain(usr) -> Column:
+    """Domain of the user's Select, else Request, else Inform."""
+    return F.coalesce(*[most_common(domains_of(usr, intent)) for intent in ("Select", "Request", "Inform")])
+
+
 def current_domain(usr, sys) -> Column:
-    """Domain of the user's Select, else Request, else Inform, else the system's Inform/Recommend."""
-    return F.coalesce(
-        most_common(domains_of(usr, "Select")),
-        most_common(domains_of(usr, "Request")),
-        most_common(domains_of(usr, "Inform")),
-        most_common(domains_of(sys, *K.SPAN_INTENTS)),
-    )
+    """The user's domain, else that of the system's Inform or Recommend."""
+    return F.coalesce(user_domain(usr), most_common(domains_of(sys, *K.SPAN_INTENTS)))
 
 
 # -- intent strings and templates ------------------------------------------------

@@ -32,15 +32,27 @@ def tracker_turns(turns: DataFrame, session="session_id") -> DataFrame:
     usr = turns.filter("role = 'usr'").select(session, "pos", F.col("acts").alias("usr"))
     sys = turns.filter("role = 'sys'").select(session, (F.col("pos") + 1).alias("pos"), F.col("acts").alias("sys"))
     t = usr.join(sys, [session, "pos"], "left").withColumn("sys", F.coalesce("sys", F.array().cast(_EMPTY_ACTS)))
-    said = lambda i: F.exists("sys", lambda a: a["intent"] == i)
-    return t.withColumn("cur_domain", current_domain("usr", "sys")).withColumn(
-        "no_offer", said("NoOffer") & ~said("Inform")
-    )
+    return t.withColumn("cur_domain", current_domain("usr", "sys")).withColumn("no_offer", no_offer("sys"))
 
 
-def _slot_value(a):
+def told(a):
+    """What an Inform does to the belief: struct(domain, slot, op, value), ``op`` being set, append or null for nothing."""
     facility = a["slot"].contains(K.FACILITY)
-    return F.when(facility, F.get(F.split(a["slot"], "-"), F.lit(1))).otherwise(a["value"])
+    op = F.when(a["slot"].isin(*K.OVERWRITE_SLOTS), "set").when((a["slot"] == K.DISH) | (facility & (a["value"] == K.YES)), "append")
+    slot = F.when(facility, F.lit(K.FACILITY)).otherwise(a["slot"])
+    value = F.when(facility, F.get(F.split(a["slot"], "-"), F.lit(1))).otherwise(a["value"])
+    return F.struct(a["domain"].alias("domain"), slot.alias("slot"), op.alias("op"), value.alias("value"))
+
+
+def no_offer(sys):
+    """A system turn that found nothing and informs of nothing: it clears the current domain."""
+    said = lambda i: F.exists(sys, lambda a: a["intent"] == i)
+    return said("NoOffer") & ~said("Inform")
+
+
+def answers(a):
+    """Whether a system act answers requests for its domain and slot."""
+    return a["intent"].isin(*K.SPAN_INTENTS)
 
 
 def _user_acts(t, keys):
@@ -92,18 +104,9 @@ def slot_events(t: DataFrame, keys, base: DataFrame | None = None, chunk=None, s
         *keys, "domain", F.col("at").withField("sub", F.lit(2)).alias("at"),
         F.concat(F.lit(K.NEARBY), "source").alias("slot"), F.lit("set").alias("op"), F.col("name").alias("value"),
     )
-    said = _user_acts(t, keys).filter("a.intent = 'Inform'").select(
-        *keys, F.col("a.domain").alias("domain"), _at(F.col("pos"), 2, F.col("ord"), 0), "a"
-    )
-    facility = F.col("a.slot").contains(K.FACILITY)
-    op = F.when(F.col("a.slot").isin(*K.OVERWRITE_SLOTS), "set").when(
-        (F.col("a.slot") == K.DISH) | (facility & (F.col("a.value") == K.YES)), "append"
-    )
-    told = said.withColumn("op", op).filter("op is not null").select(
-        *keys, "domain", "at", F.when(facility, F.lit(K.FACILITY)).otherwise(F.col("a.slot")).alias("slot"), "op",
-        _slot_value(F.col("a")).alias("value"),
-    )
-    events = wiped.unionByName(near).unionByName(told)
+    said = _user_acts(t, keys).filter("a.intent = 'Inform'").select(*keys, _at(F.col("pos"), 2, F.col("ord"), 0), told(F.col("a")).alias("e"))
+    informed = said.filter("e.op is not null").select(*keys, "e.domain", "at", "e.slot", "e.op", "e.value")
+    events = wiped.unionByName(near).unionByName(informed)
     if base is not None:
         events = events.unionByName(base.select(*keys, "domain", "at", "slot", F.lit("set").alias("op"), "value"))
     return events
@@ -176,7 +179,7 @@ def pending_requests(turns: DataFrame, session="session_id") -> DataFrame:
     )
     answered = (
         t.select(session, "pos", F.explode("sys").alias("a"))
-        .filter(F.col("a.intent").isin(*K.SPAN_INTENTS))
+        .filter(answers(F.col("a")))
         .groupBy(session, F.col("a.domain").alias("domain"), F.col("a.slot").alias("slot"))
         .agg(F.max("pos").alias("closed"))
     )

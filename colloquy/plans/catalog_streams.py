@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from colloquy import plugins as P
 from colloquy.functions import acts as A
 from colloquy.operators import metrics as M, state as S, vocab as Vo
-from colloquy.operators.staging import stage, stage_dir
+from colloquy.operators.staging import stage, stage_dir, stage_path
 from colloquy.plans import views as V
 from colloquy.plans.catalog_state import TRACK
 from colloquy.plans.registry import query
@@ -17,6 +17,9 @@ from colloquy.streaming import jobs as J
 from colloquy.streaming.tracker import stream_state_tracker
 
 
+BATCHES = 4
+
+
 def run_stream(spark, df, mode="append"):
     """Drive a stream over its available input into files next to its checkpoint and read them back."""
     base = f"{stage_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -28,10 +31,59 @@ def run_stream(spark, df, mode="append"):
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
-def table_stream(spark, sf, name):
-    """A table as a file stream."""
-    schema = V.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+def deliveries(spark, sf, copies=True, end=False):
+    """Events as they arrive in ``BATCHES`` batches: every 13th a day late, every 7th delivered again six hours later.
+
+    ``end`` adds a last batch with one event of no user, ten days on, that moves the watermark past all others.
+    """
+    e = V.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    again = F.when(F.col("event_id") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    e = e.withColumn("_copy", F.explode(again)) if copies else e.withColumn("_copy", F.lit(0))
+    late = F.when(F.col("event_id") % 13 == 0, 86_400).otherwise(0)
+    e = e.withColumn("_at", F.unix_micros("ts") + (late + F.col("_copy") * 21_600) * F.lit(1_000_000).cast("long"))
+    span = e.agg(F.min("_at").alias("_lo"), (F.max("_at") - F.min("_at") + 1).alias("_span"), F.max("ts").alias("_end"))
+    whole = e.crossJoin(span)  # one row
+    rows = whole.withColumn("batch", F.floor((F.col("_at") - F.col("_lo")) / F.col("_span") * BATCHES).cast("int")).select(*V.table(spark, sf, "events").columns, "batch")
+    if end:
+        none = {c: F.lit(None).cast(t) for c, t in rows.dtypes if c not in ("ts", "event_id", "batch")}
+        mark = span.select((F.col("_end") + F.expr("INTERVAL 10 DAYS")).alias("ts"), F.lit(-1).cast("long").alias("event_id"), F.lit(BATCHES).alias("batch"), *[c.alias(n) for n, c in none.items()])
+        rows = rows.unionByName(mark)
+    return stage(rows, "deliveries")
+
+
+def run_batches(spark, rows, start):
+    """Deliver batch by batch; the stream is started anew from its checkpoint for each."""
+    source, schema = stage_path(spark, "source"), rows.drop("batch").schema
+    own = J.stateful_session(spark)
+    for k in range(BATCHES + 1):
+        part = rows.filter(F.col("batch") == k).drop("batch")
+        if not part.isEmpty():
+            part.write.mode("append").parquet(source)
+            start(own.readStream.schema(schema).parquet(source)).trigger(availableNow=True).start().awaitTermination()
+
+
+def batched_files(spark, rows, make):
+    """Rows that the append stream ``make`` writes over all batches."""
+    base, schema = stage_path(spark, "stream"), []
+
+    def start(stream):
+        out = make(stream)
+        schema[:] = [out.schema]
+        return out.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
+
+    run_batches(spark, rows, start)
+    return spark.read.schema(schema[0]).parquet(f"{base}/out")
+
+
+def batched_report(spark, rows, make, keys, compact_every=2):
+    """Latest row per key that the update stream ``make`` writes over all batches."""
+    base = stage_path(spark, "report")
+    run_batches(
+        spark, rows,
+        lambda stream: make(stream).writeStream.outputMode("update").foreachBatch(J.report_sink(f"{base}/out", keys, compact_every))
+        .option("checkpointLocation", f"{base}/state"),
+    )
+    return J.report_table(spark, f"{base}/out", keys)
 
 
 @query("act_distribution_windows", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -45,13 +97,13 @@ def _text_time(df, *cols):
     return df
 
 
-@query(
-    "session_summary",
-    """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM events),
+_SESSIONS = """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM events),
 s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS turns, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS succeeded,
- max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS failed FROM s GROUP BY user_id, sid""",
-)
+ max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS failed FROM s GROUP BY user_id, sid"""
+
+
+@query("session_summary", _SESSIONS)
 def _(spark, sf):
     return _text_time(J.session_summary(V.table(spark, sf, "events")).drop("end"), "start")
 
@@ -80,17 +132,43 @@ def _(spark, sf):
     return J.dedup_turns(twice).select("session_id", "pos")
 
 
-@query("stream_act_distribution", "SELECT event_type, count(*) AS n FROM events WHERE ts < date_trunc('hour', (SELECT max(ts) FROM events) - INTERVAL 1 DAY) GROUP BY ALL")
+@query("stream_act_distribution", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _(spark, sf):
-    """All windows: every batch writes the counts so far, the last one of each window stands."""
-    base = f"{stage_dir(spark)}/stream-{uuid.uuid4().hex}"
-    q = (
-        J.act_distribution(table_stream(spark, sf, "events"), "event_type").writeStream.outputMode("complete").foreachBatch(J.report_sink(f"{base}/out"))
-        .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    out = J.report_table(spark, f"{base}/out", ("start", "event_type"))
-    return out.groupBy("event_type").agg(F.sum("n").alias("n"))
+    """All windows: late events change theirs in update mode, the last count of each stands."""
+    rows = deliveries(spark, sf, copies=False)
+    out = batched_report(spark, rows, lambda s: J.act_distribution(s, "event_type", delay="2 days"), ("start", "event_type"))
+    return _text_time(out, "start")
+
+
+@query("stream_session_summary", _SESSIONS)
+def _(spark, sf):
+    """Repeated deliveries go, late events join their session, and what an idle gap closes is written once."""
+
+    def make(stream):
+        once = J.dedup_turns(stream, ("event_id",), delay="2 days")
+        return J.session_summary(once.filter("user_id is not null"), delay=None)
+
+    return _text_time(batched_files(spark, deliveries(spark, sf, end=True), make).drop("end"), "start")
+
+
+@query(
+    "stream_label_metrics",
+    """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, label, count(*) AS n,
+ CAST(sum(CASE WHEN list_position(trs, list_max(trs)) - 1 = label THEN 1 ELSE 0 END) AS BIGINT) AS "right" FROM events JOIN v_scores ON id = event_id GROUP BY ALL""",
+    ("v_scores",),
+)
+def _(spark, sf):
+    """Metrics per window and label, upserted as predictions arrive."""
+    s = V.scores(spark, sf).select(F.col("id").alias("event_id"), "label", F.col("trs").alias("scores"))
+    rows = deliveries(spark, sf, copies=False).join(s, "event_id").select("ts", "label", "scores", "batch")
+    return _text_time(batched_report(spark, stage(rows), lambda p: J.label_metrics(p, width="1 day", delay="2 days"), ("start", "label")), "start")
+
+
+@query("stream_dedup", "SELECT event_id, user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM events")
+def _(spark, sf):
+    """Deliveries repeated within the watermark, also in a later batch after a restart, pass once."""
+    out = batched_files(spark, deliveries(spark, sf), lambda s: J.dedup_turns(s, ("event_id",), delay="2 days"))
+    return _text_time(out.select("event_id", "user_id", "event_type", "ts"), "ts")
 
 
 @query(
@@ -103,13 +181,14 @@ SELECT * FROM g WHERE value <> ''""",
 )
 def _(spark, sf):
     """The online tracker over all sessions; its rows carry the belief after every user turn."""
-    t = stage(V.act_turns(V.named_acts(spark, sf)).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("pos") * 60)))
-    src = f"{stage_dir(spark)}/turns-{uuid.uuid4().hex}"
-    t.write.parquet(src)
-    stream = spark.readStream.schema(t.schema).parquet(src)
-    out = run_stream(spark, stream_state_tracker(stream))
-    rows = out.select("session_id", "pos", F.explode(F.from_json("belief", "map<string,map<string,string>>")).alias("domain", "held"))
-    return rows.select("session_id", "pos", "domain", F.explode("held").alias("slot", "value"))
+    t = V.act_turns(V.named_acts(spark, sf)).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("pos") * 60))
+    # turns come in several batches, some of them before their predecessors, some twice
+    late = F.col("pos") + F.when((F.col("session_id") + F.col("pos")) % 5 == 0, 4).otherwise(0)
+    seen = F.when(F.col("pos") % 7 == 0, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0)))
+    t = t.withColumn("batch", F.least(F.lit(BATCHES - 1), F.expr("pos div 8")).cast("int")).withColumn("_more", F.explode(seen))
+    t = t.withColumn("batch", F.least(F.lit(BATCHES), F.greatest(F.col("batch"), F.least(F.lit(BATCHES - 1), F.floor(late / 8))) + F.col("_more")).cast("int")).drop("_more")
+    out = batched_files(spark, stage(t), lambda s: stream_state_tracker(s, delay="30 days", idle_ms=30 * 86_400_000))
+    return out.select("session_id", "pos", F.inline("belief"))
 
 
 @query(

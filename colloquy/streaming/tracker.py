@@ -1,135 +1,141 @@
 """Belief tracking as turns arrive.
 
-State per session: the belief, the last system acts, pending requests, the next expected
-position and turns that arrived early. Turns are applied in position order; a turn that
-was already applied is ignored; early turns wait until the gap closes or the session goes
-idle past the watermark, after which the session's state is dropped.
+The rules are those of the batch tracker (``operators.state``): column expressions turn every turn into what it does to a
+belief, and the stateful operator only applies that in the order of positions. Per session it keeps a map from (domain,
+slot) to value, the open requests, what the last system turn left behind and a map of turns that arrived early. A batch
+touches the entries its turns change. A turn that was already applied is ignored; early turns wait until the gap closes
+or the session goes idle past the watermark, after which its state is dropped.
 """
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from colloquy import constants as K
-
-OUTPUT = "session_id long, pos long, cur_domain string, belief string, pending string"
-STATE = "belief string, sys_acts string, pending string, next_pos long"
-EARLY = "pos long, role string, acts string"
-
-
-def empty_session():
-    return {"belief": {}, "sys": [], "pending": []}
-
-
-def _mode(domains):
-    """Most frequent, first seen among equals."""
-    return max(dict.fromkeys(domains), key=domains.count) if domains else None
-
-
-def apply_user_turn(session, acts):
-    """One user turn on a session dict; returns the current domain."""
-    belief, sys = session["belief"], session["sys"]
-    pick = lambda rows, *names: [a[1] for a in rows if a[0] in names]
-    cur = (
-        _mode(pick(acts, "Select")) or _mode(pick(acts, "Request")) or _mode(pick(acts, "Inform")) or _mode(pick(sys, *K.SPAN_INTENTS))
-    )
-    said = {a[0] for a in sys}
-    if "NoOffer" in said and "Inform" not in said and cur:
-        belief.pop(cur, None)
-    answered = {(a[1], a[2]) for a in sys if a[0] in K.SPAN_INTENTS}
-    session["pending"] = [p for p in session["pending"] if tuple(p) not in answered]
-    for intent, domain, _, value in acts:
-        if intent == "Select":
-            name = belief.get(value, {}).get(K.NAME)
-            if name:
-                if domain == value:
-                    belief.pop(domain, None)
-                belief.setdefault(domain, {})[K.NEARBY + value] = name
-    for intent, domain, slot, value in acts:
-        if intent == "Request":
-            session["pending"].append([domain, slot])
-        if intent != "Inform":
-            continue
-        held = belief.setdefault(domain, {})
-        if slot in K.OVERWRITE_SLOTS:
-            held[slot] = value
-        elif slot == K.DISH:
-            held[slot] = (held.get(slot, "") + " " + value).strip() if held.get(slot) else value
-        elif K.FACILITY in slot and value == K.YES:
-            held[K.FACILITY] = (held[K.FACILITY] + " " if held.get(K.FACILITY) else "") + slot.split("-")[1]
-    return cur
+from colloquy.functions.acts import domains_of, most_common, user_domain
+from colloquy.operators import state as S
+
+EVENT = "struct<domain:string,slot:string,op:string,value:string>"
+PAIR = "struct<domain:string,slot:string>"
+TURN = f"role string, domain string, no_offer boolean, events array<{EVENT}>, requests array<{PAIR}>"
+OUTPUT = f"session_id long, pos long, cur_domain string, belief array<struct<domain:string,slot:string,value:string>>, pending array<{PAIR}>"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def turn_effects(role, acts) -> list[Column]:
+    """What a turn does: its domain, whether it clears, its events in the order they apply, and what it requests or answers."""
+    pair = lambda a: F.struct(a["domain"].alias("domain"), a["slot"].alias("slot"))
+    of = lambda *names: F.filter(acts, lambda a: a["intent"].isin(*names))
+    move = lambda a: F.struct(a["domain"].alias("domain"), a["value"].alias("slot"), F.lit("move").alias("op"), F.lit("").alias("value"))
+    events = F.concat(F.transform(of("Select"), move), F.filter(F.transform(of("Inform"), S.told), lambda e: e["op"].isNotNull()))
+    usr = F.col(role) == "usr"
+    return [
+        F.col(role).alias("role"),
+        F.when(usr, user_domain(acts)).otherwise(most_common(domains_of(acts, *K.SPAN_INTENTS))).alias("domain"),
+        S.no_offer(acts).alias("no_offer"),
+        F.when(usr, events).otherwise(F.array().cast(f"array<{EVENT}>")).alias("events"),
+        F.transform(F.filter(acts, lambda a: F.when(usr, a["intent"] == "Request").otherwise(S.answers(a))), pair).alias("requests"),
+    ]
 
 
 class SessionTracker(StatefulProcessor):
     """Turns of one session in, one row per applied user turn out."""
 
-    def __init__(self, idle_ms=3_600_000, apply=apply_user_turn):
+    def __init__(self, idle_ms=3_600_000):
         self.idle_ms = idle_ms
-        self.apply = apply
 
     def init(self, handle):
         self.handle = handle
-        self.state = handle.getValueState("session", STATE)
-        self.early = handle.getListState("early", EARLY)
-
-    def _load(self):
-        if not self.state.exists():
-            return empty_session(), 0
-        belief, sys, pending, nxt = self.state.get()
-        return {"belief": json.loads(belief), "sys": json.loads(sys), "pending": json.loads(pending)}, nxt
-
-    def _advance(self, session, nxt, waiting, key, force=False):
-        """Apply contiguous turns (all of them when forced); returns rows, next position, leftovers."""
-        out = []
-        for pos in sorted(waiting):
-            if pos < nxt:
+        self.next = handle.getValueState("next", "pos long")
+        self.slots = handle.getMapState("slots", "domain string, slot string", "value string")
+        self.open = handle.getListState("open", "domain string, slot string")
+        self.left = handle.getValueState("left", "pos long, " + TURN)  # by the system turn just before
+        self.early = handle.getMapState("early", "pos long", TURN)
+
+    def _apply(self, turns, key):
+        """Apply ``turns`` (pos, turn) in order; only entries that change are written."""
+        belief = {(k[0], k[1]): v[0] for k, v in self.slots.iterator()}
+        before = dict(belief)
+        pending = opened = [tuple(p) for p in self.open.get()] if self.open.exists() else []
+        left, out = None, []
+        if self.left.exists():
+            pos, *turn = self.left.get()
+            left = pos, _plain(turn)
+        for pos, turn in turns:
+            role, domain, _, events, requests = turn
+            if role != "usr":
+                left = pos, turn
                 continue
-            if pos > nxt and not force:
-                break
-            role, acts = waiting[pos]
-            acts = [list(a) for a in json.loads(acts)]
-            if role == "usr":
-                cur = self.apply(session, acts)
-                belief = {d: {s: v for s, v in sv.items() if v} for d, sv in session["belief"].items()}
-                out.append((key, pos, cur, json.dumps(belief, ensure_ascii=False, sort_keys=True), json.dumps(session["pending"], ensure_ascii=False)))
-            else:
-                session["sys"] = acts
-            nxt = pos + 1
-        return out, nxt, {p: t for p, t in waiting.items() if p >= nxt}
+            if left and left[0] == pos - 1:
+                _, fallback, clears, _, answered = left[1]
+                domain = domain or fallback
+                if clears and domain:
+                    belief = {k: v for k, v in belief.items() if k[0] != domain}
+                pending = [p for p in pending if p not in answered]
+            for to, slot, op, value in events:
+                if op == "set":
+                    belief[to, slot] = value
+                elif op == "append":
+                    belief[to, slot] = " ".join(v for v in (belief.get((to, slot)), value) if v)
+                elif name := belief.get((slot, K.NAME)):  # the name held by the domain that is pointed at
+                    if slot == to:
+                        belief = {k: v for k, v in belief.items() if k[0] != to}
+                    belief[to, K.NEARBY + slot] = name
+            pending = pending + requests
+            held = [(d, s, v) for (d, s), v in sorted(belief.items()) if v]
+            out.append((key, pos, domain, [dict(zip(("domain", "slot", "value"), h)) for h in held], [dict(zip(("domain", "slot"), p)) for p in pending]))
+        for k in before.keys() - belief.keys():
+            self.slots.removeKey(k)
+        for k, v in belief.items():
+            if before.get(k) != v:
+                self.slots.updateValue(k, (v,))
+        if pending != opened:
+            self.open.put(pending) if pending else self.open.clear()
+        if left:
+            self.left.update((left[0], *left[1]))
+        return out
 
     def _frame(self, rows):
         return pd.DataFrame(rows, columns=["session_id", "pos", "cur_domain", "belief", "pending"])
 
     def handleInputRows(self, key, rows, timerValues):
-        session, nxt = self._load()
-        waiting = {r[0]: (r[1], r[2]) for r in self.early.get()} if self.early.exists() else {}
-        latest = 0
+        at = self.next.get()[0] if self.next.exists() else 0
+        new, latest = {}, 0
         for pdf in rows:
             latest = max(latest, int(pdf["ms"].max()))
-            for pos, role, acts in zip(pdf["pos"], pdf["role"], pdf["acts"]):
-                waiting.setdefault(int(pos), (role, acts))
-        out, nxt, left = self._advance(session, nxt, waiting, key[0])
-        self.state.update((json.dumps(session["belief"]), json.dumps(session["sys"]), json.dumps(session["pending"]), nxt))
-        self.early.clear()
-        if left:
-            self.early.put([(p, r, a) for p, (r, a) in left.items()])
+            for pos, *turn in zip(pdf["pos"], pdf["role"], pdf["domain"], pdf["no_offer"], pdf["events"], pdf["requests"]):
+                if pos >= at:
+                    new.setdefault(int(pos), _plain(turn))
+        ready = []
+        while True:
+            turn = new.pop(at, None)
+            if self.early.containsKey((at,)):
+                turn = _plain(self.early.getValue((at,)))  # the first delivery counts
+                self.early.removeKey((at,))
+            if turn is None:
+                break
+            ready.append((at, turn))
+            at += 1
+        for pos, turn in new.items():
+            if not self.early.containsKey((pos,)):
+                self.early.updateValue((pos,), turn)
+        if ready:
+            self.next.update((at,))
         for t in list(self.handle.listTimers()):
             latest = max(latest, t - self.idle_ms)
             self.handle.deleteTimer(t)
         self.handle.registerTimer(latest + self.idle_ms)
+        out = self._apply(ready, key[0]) if ready else []
         if out:
             yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        session, nxt = self._load()
-        waiting = {r[0]: (r[1], r[2]) for r in self.early.get()} if self.early.exists() else {}
-        out, _, _ = self._advance(session, nxt, waiting, key[0], force=True)
-        self.state.clear()
-        self.early.clear()
+        waiting = sorted((k[0], _plain(v)) for k, v in self.early.iterator()) if self.early.exists() else []
+        out = self._apply(waiting, key[0]) if waiting else []
+        for state in (self.next, self.slots, self.open, self.left, self.early):
+            state.clear()
         if out:
             yield self._frame(out)
 
@@ -137,17 +143,21 @@ class SessionTracker(StatefulProcessor):
         pass
 
 
-def stream_state_tracker(turns: DataFrame, delay="10 minutes", idle_ms=3_600_000, apply=apply_user_turn) -> DataFrame:
-    """``turns(session_id, pos, role, acts array<act>, ts)`` stream -> belief after every user turn."""
-    # several state variables per session need the RocksDB store
-    turns.sparkSession.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    packed = turns.withWatermark("ts", delay).select(
-        "session_id", F.col("pos").cast("bigint").alias("pos"), "role", "ts", F.unix_millis("ts").alias("ms"),
-        F.to_json(F.transform("acts", lambda a: F.array(a["intent"], a["domain"], a["slot"], a["value"]))).alias("acts"),
-    )
-    return packed.groupBy("session_id").transformWithStateInPandas(
-        SessionTracker(idle_ms, apply), OUTPUT, "Append", "EventTime"
+def _plain(turn) -> tuple:
+    """A turn of rows, dicts or arrays as plain tuples."""
+    role, domain, clears, events, requests = turn
+    rows = lambda xs, names: [tuple(x[n] for n in names) for x in xs]
+    return role, domain, bool(clears), rows(events, ("domain", "slot", "op", "value")), rows(requests, ("domain", "slot"))
+
+
+def stream_state_tracker(turns: DataFrame, delay="10 minutes", idle_ms=3_600_000) -> DataFrame:
+    """``turns(session_id, pos, role, acts array<act>, ts)`` stream -> belief after every user turn.
+
+    The stream's session has to keep several state variables per key: ``jobs.stateful_session`` gives one that does.
+    """
+    if not turns.sparkSession.conf.get(PROVIDER).endswith("RocksDBStateStoreProvider"):
+        raise ValueError(f"read the turns from jobs.stateful_session(spark): {PROVIDER} has to be RocksDB")
+    effects = turns.withWatermark("ts", delay).select(
+        "session_id", F.col("pos").cast("bigint").alias("pos"), "ts", F.unix_millis("ts").alias("ms"), *turn_effects("role", F.col("acts"))
     )
+    return effects.groupBy("session_id").transformWithStateInPandas(SessionTracker(idle_ms), OUTPUT, "Append", "EventTime")
