@@ -137,16 +137,21 @@ def belief_scores(df: DataFrame, n_slots: int, pred="pred", gold="gold") -> Data
     missed, extra = F.array_except(g, p), F.array_except(p, g)
     missed_slots = F.transform(missed, last_dash_prefix)
     wrong = F.size(F.filter(extra, lambda x: ~F.array_contains(missed_slots, last_dash_prefix(x))))
-    hit = F.size(g) - F.size(missed)
-    precision, recall = _ratio(hit, F.size(p)), _ratio(hit, F.size(g))
+    return count_scores(df.select(F.size(g).alias("gold"), F.size(p).alias("pred"), (F.size(g) - F.size(missed)).alias("hits"), wrong.alias("wrong")), n_slots)
+
+
+def count_scores(counts: DataFrame, n_slots: int) -> DataFrame:
+    """The scores of :func:`belief_scores` from numbers per turn: slots set in ``gold``, in ``pred``, alike, in ``pred`` alone."""
+    missed = F.col("gold") - F.col("hits")
+    precision, recall = _ratio(F.col("hits"), F.col("pred")), _ratio(F.col("hits"), F.col("gold"))
     f1 = (
-        F.when((F.size(g) == 0) & (F.size(p) == 0), F.lit(1.0))
-        .when(F.size(g) == 0, F.lit(0.0))
+        F.when((F.col("gold") == 0) & (F.col("pred") == 0), F.lit(1.0))
+        .when(F.col("gold") == 0, F.lit(0.0))
         .otherwise(_ratio(2.0 * precision * recall, precision + recall))
     )
-    per = df.select(
-        ((F.size(missed) == 0) & (F.size(extra) == 0)).cast("int").alias("joint"),
-        ((F.lit(n_slots) - F.size(missed) - wrong) / F.lit(float(n_slots))).alias("turn"),
+    per = counts.select(
+        ((missed == 0) & (F.col("pred") == F.col("hits"))).cast("int").alias("joint"),
+        ((F.lit(n_slots) - missed - F.col("wrong")) / F.lit(float(n_slots))).alias("turn"),
         f1.alias("f1"),
     )
     return per.agg(
@@ -155,6 +160,16 @@ def belief_scores(df: DataFrame, n_slots: int, pred="pred", gold="gold") -> Data
     )
 
 
+def count_accuracy(counts: DataFrame, n_slots: int, by=()) -> DataFrame:
+    """:func:`joint_state_accuracy` from numbers per turn: a slot differs that is missed or set in ``pred`` alone."""
+    differ = F.col("gold") - F.col("hits") + F.col("wrong")
+    return counts.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("turns"),
+        F.round(F.coalesce(F.avg((differ == 0).cast("int")), F.lit(0.0)), 6).alias("joint_acc"),
+        F.round(F.coalesce(F.sum(F.lit(n_slots) - differ) / (F.count(F.lit(1)) * n_slots), F.lit(0.0)), 6).alias("slot_acc"),
+    )
+
+
 # -- class scores ------------------------------------------------------------------------
 
 

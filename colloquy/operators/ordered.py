@@ -79,8 +79,37 @@ def carry_last(df: DataFrame, keys, order: str, chunk: Column, value: str, out:
     )
 
 
-def running_sum(df: DataFrame, keys, order: str, chunk: Column, value: str, out: str, inclusive=True) -> DataFrame:
-    """Sum of ``value`` up to (or strictly before) each row, along ``order`` per key."""
+def carry_around(df: DataFrame, keys, order: str, chunk: Column, values, prefix="prev_", following=None) -> DataFrame:
+    """Several columns carried in one pass: ``values`` become their last non-null value up to each row.
+
+    ``prefix`` + name holds the one strictly before it; ``following`` names the next row's ``order``. Null where there is none.
+    """
+    keys, values = list(keys), list(values)
+    cut = df.withColumn("_chunk", chunk)
+    within = W.partitionBy(*keys, "_chunk").orderBy(order)
+    here, before = within.rowsBetween(W.unboundedPreceding, 0), within.rowsBetween(W.unboundedPreceding, -1)
+    rest = [c for c in df.columns if c not in values]
+    local = cut.select(
+        *rest, "_chunk", F.lead(order).over(within).alias("_next"),
+        *[F.last(v, ignorenulls=True).over(here).alias(f"_h_{v}") for v in values], *[F.last(v, ignorenulls=True).over(before).alias(f"_b_{v}") for v in values],
+    )
+    along = W.partitionBy(*keys).orderBy("_chunk")
+    tails = cut.groupBy(*keys, "_chunk").agg(F.min(order).alias("_first"), *[F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(f"_t_{v}") for v in values])
+    tails = tails.select(
+        *keys, "_chunk", F.lead("_first").over(along).alias("_later"),
+        *[F.last(f"_t_{v}", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, -1)).alias(f"_c_{v}") for v in values],
+    )
+    out = local.join(tails, [*keys, "_chunk"])
+    return out.select(
+        *rest, *[F.coalesce(f"_h_{v}", f"_c_{v}").alias(v) for v in values], *[F.coalesce(f"_b_{v}", f"_c_{v}").alias(prefix + v) for v in values],
+        *([F.coalesce("_next", "_later").alias(following)] if following else []),
+    )
+
+
+def running_sum(df: DataFrame, keys, order: str, chunk: Column, value, out, inclusive=True) -> DataFrame:
+    """Sum of ``value`` up to (or strictly before) each row, along ``order`` per key; lists of both give several sums."""
+    if not isinstance(value, str):
+        return _running_sums(df, list(keys), order, chunk, list(value), list(out), inclusive)
     keys = list(keys)
     cut = df.withColumn("_chunk", chunk)
     upto = 0 if inclusive else -1
@@ -97,6 +126,17 @@ def running_sum(df: DataFrame, keys, order: str, chunk: Column, value: str, out:
     )
 
 
+def _running_sums(df, keys, order, chunk, values, outs, inclusive) -> DataFrame:
+    cut = df.withColumn("_chunk", chunk)
+    within = W.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    chunks = cut.groupBy(*keys, "_chunk").agg(*[F.sum(v).alias(f"_s{i}") for i, v in enumerate(values)])
+    chunks = chunks.select(*keys, "_chunk", *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_p{i}") for i in range(len(values))])
+    local = cut.select("*", *[F.coalesce(F.sum(v).over(within), F.lit(0)).alias(f"_l{i}") for i, v in enumerate(values)])
+    added = {o: F.col(f"_l{i}") + F.col(f"_p{i}") for i, o in enumerate(outs)}
+    return local.join(chunks, [*keys, "_chunk"]).select(*[c for c in df.columns if c not in added], *[c.alias(o) for o, c in added.items()])
+
+
 def seeded_order(seed, *cols) -> Column:
     """Portable pseudo-random sort key."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))

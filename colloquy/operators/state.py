@@ -9,11 +9,13 @@ resolved first, on the name events alone. All running computations are split by
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from colloquy import constants as K
 from colloquy.functions.acts import current_domain
-from colloquy.operators.ordered import carry_last, with_preceding
+from colloquy.operators.ordered import carry_around, carry_last, running_sum, with_preceding
 from colloquy.operators.staging import stage
 
 APPEND_SLOTS = (K.DISH, K.FACILITY)
@@ -141,24 +143,92 @@ def running_values(events: DataFrame, keys, chunk=None) -> DataFrame:
     return out.select(*by, "at", value.alias("value"))
 
 
+def slot_values(events: DataFrame, keys, chunk=None) -> DataFrame:
+    """Value of the slot after each event; only slots that are appended to look at events before."""
+    adds = F.col("slot").isin(*APPEND_SLOTS)
+    plain = events.filter(~adds).select(*keys, "domain", "slot", "at", "value")
+    return plain.unionByName(running_values(events.filter(adds), keys, chunk))
+
+
 def state_changes(turns: DataFrame, session="session_id") -> DataFrame:
     """(session, pos, domain, slot, value): value of every slot a user turn touched, after that turn."""
     t = stage(tracker_turns(turns, session))
-    values = running_values(stage(slot_events(t, [session])), [session])
+    values = slot_values(stage(slot_events(t, [session])), [session])
     return values.groupBy(session, F.col("at.pos").alias("pos"), "domain", "slot").agg(F.max_by("value", "at").alias("value"))
 
 
-def final_state(changes: DataFrame, session="session_id") -> DataFrame:
-    """Last value per slot, unset slots left out."""
-    return (
-        changes.groupBy(session, "domain", "slot").agg(F.max_by("value", "pos").alias("value")).filter("value <> ''")
-    )
+def final_state(turns: DataFrame, session="session_id") -> DataFrame:
+    """Last value per slot, unset slots left out: only what came after the last clearing of a domain is put together."""
+    t = stage(tracker_turns(turns, session))
+    events = stage(slot_events(t, [session], slots=("",)))
+    cleared = events.filter("op = 'clear'").groupBy(session, "domain").agg(F.max("at").alias("_cleared"))
+    kept = events.filter("op <> 'clear'").join(cleared, [session, "domain"], "left").filter("_cleared is null or at > _cleared")
+    said = F.array_sort(F.collect_list(F.when((F.col("op") == "append") & (F.col("value") != ""), F.struct("at", "value"))))
+    text = F.array_join(F.transform(said, lambda x: x["value"]), " ")
+    last = F.max_by(F.when(F.col("op") == "set", F.col("value")), "at")
+    value = F.when(F.col("slot").isin(*APPEND_SLOTS), text).otherwise(last).alias("value")
+    return kept.groupBy(session, "domain", "slot").agg(value).filter("value <> ''")
 
 
 def belief_slots(table=K.BELIEF_SLOTS):
     return F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(s).alias("slot")) for d, ss in table.items() for s in ss])
 
 
+def in_slots(table=K.BELIEF_SLOTS):
+    """Whether (domain, slot) is in the list."""
+    of = [(F.col("domain") == d) & F.col("slot").isin(*ss) for d, ss in table.items()]
+    return reduce(lambda a, b: a | b, of)
+
+
+# -- beliefs as spans --------------------------------------------------------------------
+# A change holds from its position to that of the slot's next one, so states are compared span by span, never slot by
+# slot at every turn.
+
+
+def _pos_chunk():
+    return F.floor(F.col("pos") / 256)
+
+
+def span_ends(turns: DataFrame, session="session_id") -> DataFrame:
+    """(session, end): the position after the last turn."""
+    return turns.groupBy(session).agg((F.max("pos") + 1).alias("end"))
+
+
+def slot_spans(changes: DataFrame, turns: DataFrame, session="session_id") -> DataFrame:
+    """(session, domain, slot, value, pos, end): where a slot holds a value."""
+    spans = carry_around(changes, [session, "domain", "slot"], "pos", _pos_chunk(), [], following="_next").filter("value <> ''")
+    spans = spans.join(span_ends(turns, session), session)
+    return spans.withColumn("end", F.coalesce("_next", "end")).drop("_next")
+
+
+def at_turns(spans: DataFrame, turns: DataFrame, session="session_id") -> DataFrame:
+    """One row per span and user turn in it."""
+    cells = spans.filter("pos < end").withColumn("pos", F.explode(F.sequence(F.col("pos").cast("bigint"), F.col("end") - 1))).drop("end")
+    return cells.join(turns.filter("role = 'usr'").select(session, "pos"), [session, "pos"])
+
+
+def compared_spans(gold: DataFrame, pred: DataFrame, session="session_id") -> DataFrame:
+    """Changes of two trackers merged: what either holds (``gold``, ``pred``) from each change on, what it held before, and the next change."""
+    keys = [session, "domain", "slot", "pos"]
+    both = gold.select(*keys, F.col("value").alias("gold")).join(pred.select(*keys, F.col("value").alias("pred")), keys, "full_outer")
+    out = carry_around(stage(both), [session, "domain", "slot"], "pos", _pos_chunk(), ["gold", "pred"], following="next")
+    return out.na.fill("", ["gold", "pred", "prev_gold", "prev_pred"])
+
+
+def turn_counts(gold: DataFrame, pred: DataFrame, turns: DataFrame, session="session_id") -> DataFrame:
+    """Per user turn: slots set in ``gold``, in ``pred``, set alike (``hits``), and set in ``pred`` alone (``wrong``).
+
+    Every change adds or takes one; the counts at a turn are the sums up to it.
+    """
+    on = lambda g, p: [g != "", p != "", (g == p) & (g != ""), (p != "") & (g == "")]
+    names = ["gold", "pred", "hits", "wrong"]
+    now, then = on(F.col("gold"), F.col("pred")), on(F.col("prev_gold"), F.col("prev_pred"))
+    steps = compared_spans(gold, pred, session).select(session, "pos", F.lit(0).alias("turn"), *[(a.cast("int") - b.cast("int")).alias(n) for a, b, n in zip(now, then, names)])
+    marks = turns.filter("role = 'usr'").select(session, "pos", F.lit(1).alias("turn"), *[F.lit(0).alias(n) for n in names])
+    per = stage(steps.unionByName(marks).groupBy(session, "pos").agg(F.max("turn").alias("turn"), *[F.sum(n).alias(n) for n in names]))
+    return running_sum(per, [session], "pos", _pos_chunk(), names, names).filter("turn = 1").drop("turn")
+
+
 def states_at_turns(turns: DataFrame, changes: DataFrame, session="session_id", slots=None) -> DataFrame:
     """Long-form belief after every user turn for a fixed slot list ('' = unset)."""
     grid = turns.filter("role = 'usr'").select(session, "pos", F.inline(slots if slots is not None else belief_slots()))
@@ -209,7 +279,7 @@ def teacher_forced_states(turns: DataFrame, sys_state: DataFrame, session="sessi
         _at(F.lit(-1), 0, F.lit(0), 0),
     ).join(sys, key, "left_semi")
     one = F.lit(0)
-    values = running_values(stage(slot_events(t, key, stage(base), one)), key, one)
+    values = slot_values(stage(slot_events(t, key, stage(base), one)), key, one)
     return (
         values.groupBy(session, F.col("i").alias("pos"), "domain", "slot")
         .agg(F.max_by("value", "at").alias("value"))

@@ -119,7 +119,7 @@ def _(spark, sf):
     ("v_named",),
 )
 def _(spark, sf):
-    return S.final_state(S.state_changes(named_turns(spark, sf)))
+    return S.final_state(named_turns(spark, sf))
 
 
 @query(
@@ -134,12 +134,33 @@ def _(spark, sf):
     return S.pending_requests(named_turns(spark, sf))
 
 
+N_SLOTS = sum(map(len, K.BELIEF_SLOTS.values()))
+
 _PERTURB = "CASE WHEN (session_id + pos + length(slot)) % 7 = 0 AND value <> '' THEN value || 'x' ELSE value END"
 
 
-def _noisy():
-    hit = ((F.col("session_id") + F.col("pos") + F.length("slot")) % 7 == 0) & (F.col("value") != "")
-    return F.when(hit, F.concat("value", F.lit("x"))).otherwise(F.col("value"))
+def compared(spark, sf, keep=None):
+    """User turns, changes of the tracked belief, and those of a copy that is wrong at every seventh position of a slot.
+
+    Where ``keep`` (of session and value) is false the copy has nothing.
+    """
+    t = named_turns(spark, sf)
+    gold = stage(S.state_changes(t).filter(S.in_slots()))
+    spans = S.slot_spans(gold, t)
+    if keep is not None:
+        spans = spans.filter(keep)
+    spans = stage(spans)
+    # the first wrong position at or after the start of the span, and every seventh after it
+    first = F.col("pos") + F.pmod(-(F.col("session_id") + F.col("pos") + F.length("slot")), F.lit(7))
+    key = ["session_id", "domain", "slot"]
+    wrong = spans.filter(first < F.col("end")).select(*key, F.explode(F.sequence(first, F.col("end") - 1, F.lit(7).cast("bigint"))).alias("pos"), "end", "value")
+    off = wrong.select(*key, "pos", F.concat("value", F.lit("x")).alias("value"))
+    back = wrong.filter("pos + 1 < end").select(*key, F.expr("pos + 1").alias("pos"), "value")
+    right = spans.filter(first != F.col("pos")).select(*key, "pos", "value")
+    noisy = off.unionByName(back).unionByName(right)
+    # what ends without a successor is unset in the copy too
+    ends = spans.select(*key, F.col("end").alias("pos")).join(spans.select(*key, "pos"), [*key, "pos"], "left_anti").withColumn("value", F.lit(""))
+    return t, gold, noisy.unionByName(ends.select(*key, "pos", "value"))
 
 
 @query(
@@ -151,10 +172,9 @@ SELECT goal_type, count(*) AS turns, round(avg(ok), 6) AS joint_acc, round(CAST(
     ("v_named",),
 )
 def _(spark, sf):
-    t = named_turns(spark, sf)
-    s = S.states_at_turns(t, S.state_changes(t)).withColumn("goal_type", F.concat(F.lit("g"), F.col("session_id") % 5))
-    s = s.withColumn("pred", _noisy()).withColumnRenamed("value", "gold")
-    return M.joint_state_accuracy(s, ["session_id", "pos"], ["domain", "slot"], by=["goal_type"])
+    t, gold, noisy = compared(spark, sf)
+    counts = S.turn_counts(gold, noisy, t).withColumn("goal_type", F.concat(F.lit("g"), F.col("session_id") % 5))
+    return M.count_accuracy(counts, N_SLOTS, by=["goal_type"])
 
 
 _STRINGS = TRACK + GRID + f""", b AS (SELECT session_id, pos,
@@ -178,7 +198,8 @@ SELECT count(*) AS turns, round(avg(CASE WHEN len(miss) = 0 AND len(extra) = 0 T
     ("v_named",),
 )
 def _(spark, sf):
-    return M.belief_scores(belief_strings(spark, sf), 26)
+    t, gold, noisy = compared(spark, sf, "(session_id + length(value)) % 5 <> 0")
+    return M.count_scores(S.turn_counts(gold, noisy, t), N_SLOTS)
 
 
 @query(
@@ -189,25 +210,13 @@ SELECT session_id, pos, array_to_string(miss, ' ') AS missing, array_to_string(e
     ("v_named",),
 )
 def _(spark, sf):
-    b = belief_strings(spark, sf)
-    miss, extra = F.array_sort(F.array_except("gold", "pred")), F.array_sort(F.array_except("pred", "gold"))
-    return b.select(
-        "session_id", "pos", F.array_join(miss, " ").alias("missing"), F.array_join(extra, " ").alias("extra"),
-        (F.size(miss) + F.size(extra) == 0).alias("equal"),
-    )
-
-
-def belief_strings(spark, sf):
-    """Gold and perturbed ``domain.slot-value`` strings per user turn."""
-    t = named_turns(spark, sf)
-    s = S.states_at_turns(t, S.state_changes(t))
-    name = F.concat(F.col("domain"), F.lit("."), F.col("slot"), F.lit("-"))
-    keep = (F.col("session_id") + F.length("value")) % 5 != 0
-    on = F.col("value") != ""
-    return s.groupBy("session_id", "pos").agg(
-        F.collect_list(F.when(on, F.concat(name, "value"))).alias("gold"),
-        F.collect_list(F.when(on & keep, F.concat(name, _noisy()))).alias("pred"),
-    )
+    t, gold, noisy = compared(spark, sf, "(session_id + length(value)) % 5 <> 0")
+    spans = S.compared_spans(gold, noisy).filter("gold <> pred").join(S.span_ends(t), "session_id").withColumn("end", F.coalesce("next", "end"))
+    name = lambda v: F.when(F.col(v) != "", F.concat("domain", F.lit("."), "slot", F.lit("-"), v))
+    cells = S.at_turns(spans, t).groupBy("session_id", "pos").agg(F.array_sort(F.collect_list(name("gold"))).alias("miss"), F.array_sort(F.collect_list(name("pred"))).alias("extra"))
+    text = lambda c: F.coalesce(F.array_join(c, " "), F.lit(""))
+    all_turns = t.filter("role = 'usr'").select("session_id", "pos").join(cells, ["session_id", "pos"], "left")
+    return all_turns.select("session_id", "pos", text("miss").alias("missing"), text("extra").alias("extra"), F.col("miss").isNull().alias("equal"))
 
 
 @query(
@@ -241,8 +250,8 @@ SELECT * FROM (SELECT r1.session_id, r1.i AS pos, r1.domain, r1.slot, coalesce(s
 )
 def _(spark, sf):
     t = named_turns(spark, sf)
-    gold = S.states_at_turns(t, S.state_changes(t)).withColumn("pos", F.col("pos") + 1)
-    return S.teacher_forced_states(t, gold)
+    spans = S.slot_spans(S.state_changes(t).filter(S.in_slots()), t)
+    return S.teacher_forced_states(t, S.at_turns(spans, t).withColumn("pos", F.col("pos") + 1))
 
 
 _USR_VOC = [f"Inform+{d}+{s}+{n}" for d in K.DOMAINS for s in sorted(set(V.NAMED_SLOTS[d])) for n in (1, 2)]

@@ -125,7 +125,7 @@ def test_tracker_equals_sequential_fold(spark, partitions):
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
         t = spark.createDataFrame(rows, f"session_id long, pos long, role string, acts {ACTS}")
-        got = {(r.session_id, r.domain, r.slot): r.value for r in S.final_state(S.state_changes(t)).collect()}
+        got = {(r.session_id, r.domain, r.slot): r.value for r in S.final_state(t).collect()}
         open_requests = {(r.session_id, r.domain, r.slot): r.n for r in S.pending_requests(t).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
