@@ -137,7 +137,8 @@ def belief_scores(df: DataFrame, n_slots: int, pred="pred", gold="gold") -> Data
     missed, extra = F.array_except(g, p), F.array_except(p, g)
     missed_slots = F.transform(missed, last_dash_prefix)
     wrong = F.size(F.filter(extra, lambda x: ~F.array_contains(missed_slots, last_dash_prefix(x))))
-    return count_scores(df.select(F.size(g).alias("gold"), F.size(p).alias("pred"), (F.size(g) - F.size(missed)).alias("hits"), wrong.alias("wrong")), n_slots)
+    sizes = df.select(F.size(g).alias("_g"), F.size(p).alias("_p"), (F.size(g) - F.size(missed)).alias("_h"), wrong.alias("_w"))
+    return count_scores(sizes.toDF("gold", "pred", "hits", "wrong"), n_slots)
 
 
 def count_scores(counts: DataFrame, n_slots: int) -> DataFrame:

@@ -12,7 +12,6 @@ from colloquy.functions import acts as A, encode as E, features as Fe
 from colloquy.operators import entities as N, filters as Fi, generation as G, goals as Go, metrics as M, state as S, tagging as Tg, text as X
 from colloquy.operators import ordered as O, sampling as Sa
 from colloquy.sources import dialogues as D, readers as R, writers as Wr
-from colloquy.streaming.tracker import apply_user_turn, empty_session
 
 ACTS = "array<struct<intent:string,domain:string,slot:string,value:string>>"
 
@@ -101,6 +100,34 @@ def test_entity_search_against_brute_force(spark):
     assert len(got) == len(want) and {(r.query_id, r.entity) for r in got} == want
 
 
+def test_counts_of_spans_equal_counts_of_slots(spark):
+    """Two trackers with unequal spans: counts at every user turn, over several chunks, against a plain replay."""
+    rnd = random.Random(3)
+    slots = [("d", "a"), ("d", "b"), ("e", "a")]
+    turns = [(s, p, "usr" if rnd.random() < 0.6 else "sys") for s in range(6) for p in range(700 if s == 0 else 40)]
+    def changes():
+        return [(s, p, d, sl, rnd.choice(["", "x", "y"])) for s, p, _ in turns for d, sl in slots if rnd.random() < 0.05]
+    gold, pred = changes(), changes()
+    frame = lambda rows: spark.createDataFrame(rows, "session_id long, pos long, domain string, slot string, value string")
+    t = spark.createDataFrame(turns, "session_id long, pos long, role string")
+    got = {(r.session_id, r.pos): (r.gold, r.pred, r.hits, r.wrong) for r in S.turn_counts(frame(gold), frame(pred), t).collect()}
+    held = S.at_turns(S.slot_spans(frame(gold), t), t).collect()
+    g, p = {(x[0], x[1], x[2], x[3]): x[4] for x in gold}, {(x[0], x[1], x[2], x[3]): x[4] for x in pred}
+    now, want, cells, session = ({}, {}), {}, set(), None
+    for s, pos, role in turns:
+        if s != session:
+            now, session = ({}, {}), s
+        for at in slots:
+            for state, new in zip(now, (g, p)):
+                state[at] = new.get((s, pos, *at), state.get(at, ""))
+        if role == "usr":
+            pairs = [(now[0][at], now[1][at]) for at in slots]
+            want[s, pos] = (sum(a != "" for a, _ in pairs), sum(b != "" for _, b in pairs), sum(a == b != "" for a, b in pairs), sum(a == "" != b for a, b in pairs))
+            cells |= {(s, pos, *at, now[0][at]) for at in slots if now[0][at]}
+    assert got == want
+    assert len(held) == len(cells) and {(r.session_id, r.pos, r.domain, r.slot, r.value) for r in held} == cells
+
+
 def random_sessions(n=120, turns=12):
     rnd = random.Random(11)
     slots = {"景点": ["名称", "门票"], "餐馆": ["名称", "推荐菜"], "酒店": ["名称", "酒店设施-wifi", "价格"], "地铁": ["出发地", "目的地"]}
@@ -118,6 +145,36 @@ def random_sessions(n=120, turns=12):
     return out
 
 
+def fold(turns):
+    """Belief {(domain, slot): value} and open requests after the last user turn, act by act."""
+    belief, asked, left = {}, [], []
+    for _, role, acts in turns:
+        if role == "sys":
+            left = acts
+            continue
+        groups = [[a[1] for a in source if a[0] in intents] for source, intents in ((acts, ["Select"]), (acts, ["Request"]), (acts, ["Inform"]), (left, ["Inform", "Recommend"]))]
+        domain = next((max(g, key=lambda d: (g.count(d), -g.index(d))) for g in groups if g), None)
+        intents = [a[0] for a in left]
+        if "NoOffer" in intents and "Inform" not in intents:
+            belief = {at: v for at, v in belief.items() if at[0] != domain}
+        asked = [r for r in asked if r not in [(a[1], a[2]) for a in left if a[0] in ("Inform", "Recommend")]]
+        for _, to, _, source in [a for a in acts if a[0] == "Select"]:
+            name = belief.get((source, K.NAME))
+            if name and to == source:
+                belief = {at: v for at, v in belief.items() if at[0] != to}
+            if name:
+                belief[to, K.NEARBY + source] = name
+        for _, to, slot, value in [a for a in acts if a[0] == "Inform"]:
+            if K.FACILITY in slot and value == K.YES:
+                slot, value = K.FACILITY, slot.split("-")[1]
+            if slot in (K.DISH, K.FACILITY):
+                belief[to, slot] = f"{belief.get((to, slot)) or ''} {value}".strip()
+            elif slot in K.OVERWRITE_SLOTS:
+                belief[to, slot] = value
+        asked += [(a[1], a[2]) for a in acts if a[0] == "Request"]
+    return belief, asked
+
+
 @pytest.mark.parametrize("partitions", ["1", "13"])
 def test_tracker_equals_sequential_fold(spark, partitions):
     rows = random_sessions()
@@ -131,13 +188,9 @@ def test_tracker_equals_sequential_fold(spark, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     want, pending = {}, {}
     for s in {r[0] for r in rows}:
-        session = empty_session()
-        for _, _, role, acts in [r for r in rows if r[0] == s]:
-            if role == "usr":
-                apply_user_turn(session, acts)
-            else:
-                session["sys"] = acts
-        want.update({(s, d, sl): v for d, sv in session["belief"].items() for sl, v in sv.items() if v})
+        belief, asked = fold([r[1:] for r in rows if r[0] == s])
+        want.update({(s, *at): v for at, v in belief.items() if v})
+        session = {"pending": asked}
         for d, sl in session["pending"]:
             pending[(s, d, sl)] = pending.get((s, d, sl), 0) + 1
     assert got == want
