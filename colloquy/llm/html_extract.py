@@ -9,7 +9,9 @@ The model is fitted on a bounded sample: ``SAMPLE_PAGES`` pages (smallest hash o
 an ``article`` element, and ``VARIANTS`` rearrangements of each with other element names, attributes and added page
 furniture, so that no single mark decides. Every page is then read whole, in one scan without a shuffle.
 
-A null html counts as empty and gives an empty text.
+Reading is linear in a page, whatever is left open in it. Quotes count at the start of an attribute's value only; an
+unclosed one ends with its tag. A null html counts as empty and gives an empty text; repeated rows and identifiers return as
+often as they occur; an empty table gives no rows; without a page that marks its article the texts are empty.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import html as entities
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +35,10 @@ VARIANTS = 3
 PAGES_AT_ONCE = 400
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe textarea title select".split())
+_RAW = frozenset("script style textarea title".split())
+# Elements whose whole content goes, and those of a choice list, which a block ends.
+_DROPPED = frozenset("noscript template iframe select".split())
+_CHOICE = frozenset("select option optgroup".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 # Formulas, drawings and embedded objects stand in a line of text; their elements may end in "/>".
 _EMBEDDED = frozenset("math svg object".split())
@@ -41,9 +47,9 @@ _INLINE |= _EMBEDDED | frozenset(
     "menclose mfenced merror semantics annotation annotation-xml g path circle ellipse line polygon polyline rect use defs symbol tspan textpath desc "
     "lineargradient radialgradient stop clippath mask pattern marker filter foreignobject image text".split()
 )
-_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 _SCOPE = frozenset("article section div main aside nav header footer table ul ol dl body form td th blockquote".split())
-_PART = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)", re.S)
+_PART = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^>])*+)(>|$)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _NAMES = re.compile(r"[a-z]+|[0-9]+")
 
@@ -81,7 +87,7 @@ _TAG_KIND = {tag: k for k, names in enumerate(TAGS.values()) for tag in names}
 class Node:
     """An element; ``parts`` are its texts and child elements in page order."""
 
-    __slots__ = ("tag", "attrs", "parts", "parent", "depth", "chars", "links", "tags", "paras", "stops", "kept", "children")
+    __slots__ = ("tag", "attrs", "parts", "parent", "block", "box", "drawn", "open", "depth", "chars", "links", "tags", "paras", "stops", "kept", "children")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
@@ -89,12 +95,23 @@ class Node:
         self.children: list[Node] = []
         self.depth = parent.depth + 1 if parent else 0
         self.kept = False
+        # nearest element, itself included, that is not inline; nearest one that stray end tags do not leave
+        self.block: Node = parent.block if parent and tag in _INLINE else self
+        self.box: Node = parent.box if parent and tag not in _SCOPE else self
+        # whether it is, or directly stands among, the parts of a formula, a drawing or an object
+        self.drawn: bool = tag in _EMBEDDED or tag in _INLINE and parent is not None and parent.drawn
+        self.open: Counter = Counter() if self.box is self else self.box.open  # open elements of the box by tag
 
 
 def parse(page: str) -> Node:
     """Element tree of a page. Scripts, styles, comments and other markup are left out; references are decoded."""
     root = node = Node("body", "", None)
     at, size = 0, len(page)
+    boxes: Counter = Counter()  # open boxes of the page by tag
+
+    def close(n: Node) -> Node:
+        (boxes if n.tag in _SCOPE else n.open)[n.tag] -= 1
+        return n.parent
 
     def add(text: str) -> None:
         if text:
@@ -111,14 +128,12 @@ def parse(page: str) -> Node:
         if not name or name in ("html", "body", "head"):
             continue
         if m.group(1):
-            up = node
-            while up.parent and up.tag != name:
-                if up.tag in _SCOPE and name not in _SCOPE:  # a stray end tag inside a box
-                    up = root
-                    break
-                up = up.parent
-            if up.parent:
-                node = up.parent
+            # an end tag without a start tag, or a stray one inside a box, is left out; all others close what they leave
+            if (boxes if name in _SCOPE else node.open)[name]:
+                while True:
+                    tag, node = node.tag, close(node)
+                    if tag == name:
+                        break
             continue
         if name in _RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -129,28 +144,23 @@ def parse(page: str) -> Node:
         if name in _VOID:
             continue
         closes = _CLOSES.get(name, ())
-        if name not in _INLINE:
-            up = node
-            while up.parent and (up.tag in _INLINE or up.tag == "p" or up.tag in closes or up.tag in TAGS["title"]):
-                if up.tag not in _INLINE:
-                    node = up.parent
-                up = up.parent
-        node.parts.append(child := Node(name, m.group(3), node))
-        node.children.append(child)
-        if not m.group(3).rstrip().endswith("/") or name not in ("p", "div", "span") and not _embedded(child):
+        if name not in _INLINE and name not in _DROPPED and name not in _CHOICE:
+            up = node.block
+            while up.parent and (up.tag == "p" or up.tag in closes or up.tag in TAGS["title"] or up.tag in _CHOICE):
+                while node is not up:
+                    node = close(node)
+                node = close(up)
+                up = node.block
+        child = Node(name, m.group(3), node)
+        if name not in _DROPPED:
+            node.parts.append(child)
+            node.children.append(child)
+        if not m.group(3).rstrip().endswith("/") or name not in ("p", "div", "span") and not child.drawn:
             node = child
+            (boxes if name in _SCOPE else child.open)[name] += 1
     return root
 
 
-def _embedded(n: Node | None) -> bool:
-    """Whether an element is, or directly stands among, the parts of a formula, a drawing or an object."""
-    while n and n.tag in _INLINE:
-        if n.tag in _EMBEDDED:
-            return True
-        n = n.parent
-    return False
-
-
 def _measure(root: Node) -> list[Node]:
     """Elements in page order without inline ones; sums over what stands below each."""
     order, stack = [], [root]
