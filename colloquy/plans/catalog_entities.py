@@ -221,19 +221,18 @@ def placeholder_acts(spark, sf):
     a = V.named_acts(spark, sf).filter("role = 'sys'")
     span = F.col("intent").isin("Inform", "Recommend")
     return a.select(
-        (F.col("session_id") * 100000 + F.col("pos")).alias("query_id"), F.col("act_ord").alias("ord"), "intent", "domain", "slot",
+        "session_id", "pos", F.col("act_ord").alias("ord"), "intent", "domain", "slot",
         F.when(span & (F.col("slot").contains("周边") | F.col("slot").isin("推荐菜", "名称")), (F.col("k") % 4 + 1).cast("string"))
         .when(span, "1").otherwise(F.col("value")).alias("value"),
-        "session_id", F.when(F.col("intent").isin("Inform", "Recommend", "General", "NoOffer"), F.col("domain")).alias("cur_domain"),
+        # the talk has moved on in some turns
+        F.when((F.col("session_id") + F.col("pos")) % 6 == 0, "酒店").otherwise(F.col("domain")).alias("cur_domain"),
     ).filter(F.col("intent").isin("Inform", "Recommend", "General", "NoOffer"))
 
 
 def ranked_results(spark, sf):
     """Each query sees up to three parts of its session as results."""
-    q = placeholder_acts(spark, sf).select("query_id", "session_id").distinct()
-    r = q.select("query_id", "session_id", F.explode(F.sequence(F.lit(0), (F.col("query_id") % 4).cast("int") - 1)).alias("rank")).filter(
-        "rank >= 0 and query_id % 4 > 0"
-    )
+    q = placeholder_acts(spark, sf).select("session_id", "pos").distinct()
+    r = q.select("session_id", "pos", F.explode(F.sequence(F.lit(0), (F.col("pos") % 4).cast("int") - 1)).alias("rank")).filter("rank >= 0 and pos % 4 > 0")
     e = V.table(spark, sf, "part").select(
         F.col("p_partkey").alias("key"), F.col("p_name").alias("name"),
         F.create_map(
@@ -250,21 +249,22 @@ def ranked_results(spark, sf):
     )
     end = F.when(F.col("rank") == 0, "(起点) ").when(F.col("rank") == 1, "(终点) ").otherwise("")
     return r.withColumn("key", F.col("session_id") + F.col("rank")).join(e, "key").select(
-        "query_id", "rank", F.concat(end, "name").alias("name"), "scalars", "lists"
+        "session_id", "pos", "rank", F.concat(end, "name").alias("name"), "scalars", "lists"
     )
 
 
 @query(
     "lexicalize_acts",
-    """WITH a AS (SELECT session_id * 100000 + pos AS query_id, act_ord AS ord, intent, domain, slot, session_id,
+    """WITH a AS (SELECT session_id, pos, act_ord AS ord, intent, domain, slot,
  CASE WHEN intent IN ('Inform', 'Recommend') AND (contains(slot, '周边') OR slot IN ('推荐菜', '名称')) THEN CAST(k % 4 + 1 AS VARCHAR)
   WHEN intent IN ('Inform', 'Recommend') THEN '1' ELSE value END AS value
- FROM v_named WHERE role = 'sys' AND intent IN ('Inform', 'Recommend', 'General', 'NoOffer')),
-n AS (SELECT *, query_id % 4 AS size, CASE WHEN intent IN ('Inform', 'Recommend') THEN CAST(value AS BIGINT) - 1 END AS i FROM a),
+ FROM v_named WHERE role = 'sys' AND intent IN ('Inform', 'Recommend', 'General', 'NoOffer')
+  AND (intent IN ('General', 'NoOffer') OR (session_id + pos) % 6 <> 0 OR domain = '酒店')),
+n AS (SELECT *, pos % 4 AS size, CASE WHEN intent IN ('Inform', 'Recommend') THEN CAST(value AS BIGINT) - 1 END AS i FROM a),
 j AS (SELECT n.*, p.p_name AS first_name, CASE i WHEN 0 THEN '(起点) ' WHEN 1 THEN '(终点) ' ELSE '' END || q.p_name AS nth_name, p2.p_brand AS second_brand, p.p_size, p.p_type, p.p_brand, p.p_partkey FROM n
  LEFT JOIN part p ON size > 0 AND p.p_partkey = session_id LEFT JOIN part q ON i < size AND q.p_partkey = session_id + i
  LEFT JOIN part p2 ON size > 1 AND p2.p_partkey = session_id + 1),
-v AS (SELECT query_id, ord, intent, domain, slot, size, i, CASE
+v AS (SELECT session_id, pos, ord, intent, domain, slot, size, i, CASE
  WHEN intent IN ('General', 'NoOffer') THEN value
  WHEN domain = '地铁' THEN coalesce(CASE WHEN slot IN ('出发地附近地铁站', '出发地') THEN p_brand ELSE second_brand END, '无')
  WHEN domain = '出租' AND slot = '名称' THEN first_name
@@ -276,9 +276,9 @@ v AS (SELECT query_id, ord, intent, domain, slot, size, i, CASE
  WHEN contains(slot, '酒店设施') THEN CASE WHEN (p_partkey % 2 = 0) = (slot = '酒店设施-叫醒服务') THEN '是' ELSE '否' END
  WHEN slot IN ('门票', '价格', '人均消费') THEN p_size || '元' WHEN slot = '评分' THEN CAST(p_size / 10.0 AS VARCHAR) || '分'
  WHEN slot IN ('游玩时间', '酒店类型') THEN p_type WHEN slot = '名称' THEN first_name END AS value FROM j)
-SELECT query_id, ord, intent, domain, slot, value FROM v WHERE intent IN ('General', 'NoOffer') OR domain IN ('出租', '地铁')
+SELECT session_id, pos, ord, intent, domain, slot, value FROM v WHERE intent IN ('General', 'NoOffer') OR domain IN ('出租', '地铁')
  OR (size > i AND NOT (intent = 'Recommend' AND value IS NULL) AND NOT (contains(slot, '周边') AND value IS NULL))""",
     ("v_named",),
 )
 def _(spark, sf):
-    return N.lexicalize(placeholder_acts(spark, sf).drop("session_id"), ranked_results(spark, sf))
+    return N.lexicalize(placeholder_acts(spark, sf), ranked_results(spark, sf), keys=("session_id", "pos"))

@@ -472,26 +472,55 @@ def _(spark, sf):
     return out.select("id", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
 
 
-@query(
-    "corpus_profile",
-    r"""WITH a AS (SELECT session_id, count(*) AS acts, bool_or(intent = 'NoOffer') AS no, bool_or(intent = 'Select') AS se, max(pos) AS mp FROM v_named GROUP BY session_id),
-t AS (SELECT 'g' || (s.session_id % 5) AS goal_type, s.session_id, s.pos, list_filter(regexp_split_to_array(content, '\s+'), lambda w: w <> '') AS w FROM v_said s),
+_SPLIT_SQL = "CASE WHEN session_id % 10 < 8 THEN 'train' WHEN session_id % 10 = 8 THEN 'val' ELSE 'test' END"
+_PROFILE = r"""WITH t AS (SELECT 'g' || (s.session_id % 5) AS goal_type, """ + _SPLIT_SQL + r""" AS split, s.session_id, s.pos, list_filter(regexp_split_to_array(content, '\s+'), lambda w: w <> '') AS w FROM v_said s),
 n AS (SELECT session_id, pos, count(*) AS a, bool_or(intent = 'NoOffer') AS no, bool_or(intent = 'Select') AS se FROM v_named GROUP BY ALL),
-p AS (SELECT goal_type, t.session_id, count(*) AS t, sum(len(w)) AS w, sum(a) AS a, max(CASE WHEN no THEN 1 ELSE 0 END) AS no, max(CASE WHEN se THEN 1 ELSE 0 END) AS se FROM t JOIN n ON n.session_id = t.session_id AND n.pos = t.pos GROUP BY ALL),
+p0 AS (SELECT goal_type, split, t.session_id, count(*) AS t, sum(len(w)) AS w, sum(a) AS a, max(CASE WHEN no THEN 1 ELSE 0 END) AS no, max(CASE WHEN se THEN 1 ELSE 0 END) AS se FROM t JOIN n ON n.session_id = t.session_id AND n.pos = t.pos GROUP BY ALL),
 g AS (SELECT goal_id AS session_id, count(DISTINCT id) AS sub_goals, count(*) AS tuples, max(CASE WHEN ref IS NOT NULL THEN 1 ELSE 0 END) AS gc FROM v_tuples GROUP BY goal_id),
-v AS (SELECT goal_type, count(*) AS vocabulary FROM (SELECT DISTINCT goal_type, unnest(w) AS w FROM t) GROUP BY goal_type)
-SELECT p.goal_type, count(*) AS dialogues, CAST(sum(t) AS BIGINT) AS turns, round(avg(sub_goals), 4) AS mean_sub_goals, round(avg(tuples), 4) AS mean_tuples, round(avg(t), 4) AS mean_turns,
- round(sum(w) / sum(t), 4) AS mean_tokens, round(sum(a) / sum(t), 4) AS mean_acts, round(avg(no), 4) AS no_offer_rate, round(avg(se), 4) AS multi_query_rate, round(avg(gc), 4) AS goal_change_rate, any_value(vocabulary) AS vocabulary
-FROM p JOIN g ON g.session_id = p.session_id JOIN v ON v.goal_type = p.goal_type GROUP BY p.goal_type""",
-    ("v_said", "v_tuples"),
-)
-def _(spark, sf):
+p AS (SELECT p0.*, coalesce(sub_goals, 0) AS sub_goals, coalesce(tuples, 0) AS tuples, coalesce(gc, 0) AS gc FROM p0 LEFT JOIN g ON g.session_id = p0.session_id),
+"""
+_PROFILE_COLS = """count(*) AS dialogues, CAST(sum(t) AS BIGINT) AS turns, round(avg(sub_goals), 4) AS mean_sub_goals, round(avg(tuples), 4) AS mean_tuples, round(avg(t), 4) AS mean_turns,
+ round(sum(w) / sum(t), 4) AS mean_tokens, round(sum(a) / sum(t), 4) AS mean_acts, round(avg(no), 4) AS no_offer_rate, round(avg(se), 4) AS multi_query_rate, round(avg(gc), 4) AS goal_change_rate"""
+
+
+def profiled(spark, sf):
     from colloquy.operators.goals import goal_tuples
-    from colloquy.operators.profile import corpus_profile
 
-    t = stage(V.said(spark, sf).select("session_id", "pos", "acts", V.words(F.col("content")).alias("tokens"), F.concat(F.lit("g"), F.col("session_id") % 5).alias("goal_type")))
+    split = F.when(F.col("session_id") % 10 < 8, "train").when(F.col("session_id") % 10 == 8, "val").otherwise("test")
+    t = stage(V.said(spark, sf).select(
+        "session_id", "pos", "acts", V.words(F.col("content")).alias("tokens"), F.concat(F.lit("g"), F.col("session_id") % 5).alias("goal_type"), split.alias("split")
+    ))
     g = V.goals(spark, sf).select(
         F.col("goal_id").alias("session_id"), F.size("subs").alias("sub_goals"), F.size(goal_tuples("subs")).alias("tuples"),
         F.exists("subs", lambda s: s["ref"].isNotNull()).cast("int").alias("goal_change"),
     )
+    return t, g
+
+
+@query(
+    "corpus_profile",
+    _PROFILE + f"""v AS (SELECT goal_type, count(DISTINCT x) AS vocabulary FROM (SELECT goal_type, unnest(w) AS x FROM t) GROUP BY goal_type)
+SELECT p.goal_type, {_PROFILE_COLS}, any_value(vocabulary) AS vocabulary FROM p JOIN v ON v.goal_type = p.goal_type GROUP BY p.goal_type""",
+    ("v_said", "v_tuples"),
+)
+def _(spark, sf):
+    """By goal type; sessions without a goal count with none."""
+    from colloquy.operators.profile import corpus_profile
+
+    t, g = profiled(spark, sf)
     return corpus_profile(t, g, "goal_type")
+
+
+@query(
+    "corpus_profile_splits",
+    _PROFILE + f"""v AS (SELECT split, goal_type, count(DISTINCT x) AS vocabulary FROM (SELECT split, goal_type, unnest(w) AS x FROM t) GROUP BY CUBE (split, goal_type)),
+o AS (SELECT split, goal_type, {_PROFILE_COLS} FROM p GROUP BY CUBE (split, goal_type))
+SELECT o.*, vocabulary FROM o JOIN v ON o.split IS NOT DISTINCT FROM v.split AND o.goal_type IS NOT DISTINCT FROM v.goal_type""",
+    ("v_said", "v_tuples"),
+)
+def _(spark, sf):
+    """Split by goal type with all totals in one pass."""
+    from colloquy.operators.profile import corpus_profile
+
+    t, g = profiled(spark, sf)
+    return corpus_profile(t, g, ["split", "goal_type"], totals=True)
