@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.functions.encode import pad_or_cut
-from colloquy.operators.ordered import dense_position, global_rank, order_rank, seeded_order
+from colloquy.operators.ordered import dense_position, global_rank, order_rank, running_sum, seeded_order
 
 
 def seeded_shuffle(df: DataFrame, key, seed=42, out="rank") -> DataFrame:
@@ -26,10 +26,15 @@ def batch_assign(df: DataFrame, key, batch: int, epochs: int = 1, shuffle=True,
     return ranked.withColumn("batch", F.floor((F.col("_r") - 1) / batch)).drop("_r")
 
 
-def sort_batch_by_length(df: DataFrame, batch: str, length: str, ties) -> DataFrame:
-    """Longest first inside a batch (batches are small by construction)."""
-    w = W.partitionBy(batch).orderBy(F.col(length).desc(), *ties)
-    return df.withColumn("rank", F.row_number().over(w))
+def sort_batch_by_length(df: DataFrame, batch: str, length: str, ties, part: Column | None = None) -> DataFrame:
+    """Longest first inside a batch: rows of longer lengths are counted, only those of one length are ordered.
+
+    With ``part``, an expression that never decreases along the second and later ``ties`` of equal first ones, rows of one
+    length are cut by the first tie and ``part`` as well. Keys must not be null; a null length comes last.
+    """
+    falling = -F.coalesce(F.col(length).cast("bigint"), F.lit(-1))
+    chunk = F.struct(falling.alias("l")) if part is None else F.struct(falling.alias("l"), F.col(ties[0]).alias("t"), part.alias("p"))
+    return dense_position(df, [batch], [F.col(length).desc(), *ties], chunk, out="rank", start=1)
 
 
 def balanced_resample(df: DataFrame, label: str, n: int, key, seed=0) -> DataFrame:
@@ -49,30 +54,25 @@ def balanced_resample(df: DataFrame, label: str, n: int, key, seed=0) -> DataFra
     return d.join(members, [label, "_m"]).drop("_m")
 
 
-def uniform_resample(df: DataFrame, n: int, key, seed=0) -> DataFrame:
-    """n uniform draws with replacement."""
-    return balanced_resample(df.withColumn("_one", F.lit(0)), "_one", n, key, seed).drop("_one")
-
-
 def weighted_choice(weights: DataFrame, draws: DataFrame, item="item", weight="weight", draw="draw", seed=0) -> DataFrame:
-    """One category per draw, proportional to its weight.
+    """One category per draw, proportional to its weight; null where no category has any.
 
-    The cumulative weights are one row of the (small) weight table; each draw finds its
-    interval inside the row.
+    Categories lie side by side on a line in their own order, each as long as its weight (kept to nine decimals, so that
+    sums are exact). The line is cut into as many equal cells as there are categories. A category is listed in every
+    cell it touches, at most two a category on average, and a draw looks only at those of its cell.
     """
-    table = weights.groupBy().agg(F.sort_array(F.collect_list(F.struct(item, F.col(weight).cast("double").alias("w")))).alias("t"))
+    kept = weights.filter(F.col(item).isNotNull() & (F.col(weight) > 0)).select(F.col(item).cast("string").alias(item), F.col(weight).cast("decimal(28,9)").alias("_w"))
+    kept = kept.withColumn("_all", F.lit(0))
+    upto = running_sum(kept, ["_all"], item, F.substring(item, 1, 16), "_w", "_hi")
+    line = upto.select(item, (F.col("_hi") - F.col("_w")).cast("double").alias("_lo"), F.col("_hi").cast("double").alias("_hi"))
+    size = kept.agg(F.sum("_w").cast("double").alias("_total"), F.count(F.lit(1)).alias("_cells"))
+    cell = lambda x: F.least(F.floor(F.col(x) / F.col("_total") * F.col("_cells")), F.col("_cells") - 1)
+    listed = line.crossJoin(F.broadcast(size)).select(item, "_lo", "_hi", F.explode(F.sequence(cell("_lo"), cell("_hi"))).alias("_cell"))
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(draw).cast("string"))), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
-    total = F.aggregate("t", F.lit(0.0), lambda a, x: a + x["w"])
-    goal = F.col("_u") * total
-    hit = F.aggregate(
-        "t",
-        F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("string").alias("item")),
-        lambda s, x: F.struct(
-            (s["sum"] + x["w"]).alias("sum"),
-            F.when(s["item"].isNull() & (goal < s["sum"] + x["w"]), x[item].cast("string")).otherwise(s["item"]).alias("item"),
-        ),
-    )
-    return draws.withColumn("_u", u).crossJoin(F.broadcast(table)).withColumn(item, hit["item"]).drop("_u", "t")
+    aimed = draws.crossJoin(F.broadcast(size)).withColumn("_goal", u * F.col("_total")).withColumn("_cell", cell("_goal")).drop("_total", "_cells")
+    inside = (F.col("_goal") >= F.col("_lo")) & (F.col("_goal") < F.col("_hi"))
+    hit = aimed.join(listed.withColumnRenamed("_cell", "_at"), (F.col("_cell") == F.col("_at")) & inside, "left")
+    return hit.drop("_goal", "_cell", "_at", "_lo", "_hi")
 
 
 def top_hypotheses(nbest: DataFrame, n: int, utt="utt_id", rank="rank") -> DataFrame:

@@ -305,16 +305,23 @@ def pair_turns(turns: DataFrame, session="session_id", content="content") -> Dat
     )
 
 
-def dialog_history(pairs: DataFrame, session="session_id") -> DataFrame:
+def dialog_history(pairs: DataFrame, session="session_id", chunk_rows=512) -> DataFrame:
     """Running ``sys ; usr ; `` text per exchange and the exchange itself.
 
     ``pairs(session, i, sys, usr)``. The result repeats all earlier text in every row, so
-    its size is quadratic in the exchanges of a session whatever the plan.
+    its size is quadratic in the exchanges of a session whatever the plan. Exchanges are joined
+    within spans of ``chunk_rows`` values of ``i``; along the session only one text per span is carried.
     """
-    w = W.partitionBy(session).orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    piece = F.concat(F.col("sys"), F.lit(" ; "), F.col("usr"))
-    text = F.concat(F.array_join(F.collect_list(piece).over(w), " ; "), F.lit(" ;"))
-    return pairs.withColumn("history", F.trim(text)).withColumn("turn_text", F.trim(piece))
+    piece = F.concat(F.col("sys"), F.lit(" ; "), F.col("usr"), F.lit(" ; "))
+    cut = pairs.withColumn("_chunk", F.floor(F.col("i") / chunk_rows)).withColumn("_piece", piece)
+    within = W.partitionBy(session, "_chunk").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    along = W.partitionBy(session).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    local = cut.withColumn("_local", F.array_join(F.collect_list("_piece").over(within), ""))
+    spans = cut.groupBy(session, "_chunk").agg(F.array_sort(F.collect_list(F.struct("i", "_piece"))).alias("_all"))
+    spans = spans.select(session, "_chunk", F.array_join(F.transform("_all", lambda x: x["_piece"]), "").alias("_text"))
+    earlier = spans.select(session, "_chunk", F.array_join(F.collect_list("_text").over(along), "").alias("_earlier"))
+    out = local.join(earlier, [session, "_chunk"]).withColumn("history", F.trim(F.concat("_earlier", "_local")))
+    return out.withColumn("turn_text", F.trim(F.concat(F.col("sys"), F.lit(" ; "), F.col("usr")))).drop("_chunk", "_piece", "_local", "_earlier")
 
 
 def state_diff(states: DataFrame, keys=("session_id",)) -> DataFrame:

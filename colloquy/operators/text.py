@@ -8,6 +8,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.functions.binding import let
+from colloquy.operators.lookups import token_maps
 
 # -- fixed values: character classes of the basic tokeniser -----------------------------
 CJK = r"[一-鿿㐀-䶿豈-﫿\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{2F800}-\x{2FA1F}]"
@@ -87,6 +88,7 @@ def _as_chars(tokens, alphabet) -> Column:
     """Tokens of a pair as characters of one string, so that edit distance runs inside the JVM.
 
     Characters come from U+3401 on without the surrogates; a pair with more distinct tokens than those is an error.
+    The string is decoded once, not token by token.
     """
 
     def code(t):
@@ -94,8 +96,8 @@ def _as_chars(tokens, alphabet) -> Column:
         at = F.when(at < 0xD800, at).otherwise(at + 0x800)
         return F.when(at <= 0x10FFFF, at).otherwise(F.raise_error(F.lit("too many distinct tokens in one pair")).cast("bigint"))
 
-    one = lambda t: F.decode(F.unhex(F.lpad(F.hex(code(t)), 8, "0")), "UTF-32")
-    return F.array_join(F.transform(tokens, one), "")
+    digits = F.transform(tokens, lambda t: F.lpad(F.hex(code(t)), 8, "0"))
+    return F.decode(F.unhex(F.array_join(digits, "")), "UTF-32")
 
 
 def edit_distance(a, b) -> Column:
@@ -141,9 +143,7 @@ def wordpiece(df: DataFrame, tokens: str, vocab: DataFrame, key, out="pieces", u
     equi-join keeps those in the vocabulary; the longest match per start is followed from
     position 1. Only distinct tokens are cut, then looked up per row.
     """
-    keys = list(key)
-    need = df.select(*keys, F.explode(F.array_distinct(tokens)).alias("token"))
-    types = need.select("token").distinct()
+    types = df.select(F.explode(F.array_distinct(tokens)).alias("token")).distinct()
     widest = vocab.agg(F.max(F.length(F.regexp_replace("token", "^##", ""))).cast("int").alias("_w"))
     n = F.length("token")
     starts = types.filter((n > 0) & (n <= longest)).crossJoin(F.broadcast(widest)).select("token", "_w", F.explode(F.sequence(F.lit(1), n)).alias("s"))
@@ -164,11 +164,5 @@ def wordpiece(df: DataFrame, tokens: str, vocab: DataFrame, key, out="pieces", u
         ).otherwise(a),
     )
     cut = steps.withColumn("_a", walk).select("token", F.when(F.col("_a.at") == n + 1, F.col("_a.out")).otherwise(F.array(F.lit(unk))).alias("p"))
-    known = need.join(cut, "token").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("token", "p"))).alias("_m"))
     looked_up = F.flatten(F.transform(F.col(tokens), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.coalesce(F.try_element_at("_m", t), F.array(F.lit(unk))))))
-    return (
-        df.join(known, keys, "left")
-        .withColumn("_m", F.coalesce("_m", F.create_map().cast("map<string,array<string>>")))
-        .withColumn(out, looked_up)
-        .drop("_m")
-    )
+    return token_maps(df, tokens, cut.withColumnRenamed("p", "value"), key).withColumn(out, looked_up).drop("_m")

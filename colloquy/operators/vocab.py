@@ -6,32 +6,28 @@ run on the vocabulary, never on the corpus.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from colloquy.constants import EXPERIMENT_DOMAINS, GENERATOR_SPECIALS
 from colloquy.functions.acts import delexicalize
+from colloquy.operators.lookups import spread_join
 from colloquy.operators.ordered import dense_position
 
 
-def _numbered(vocab: DataFrame, *order, out="id", start=0, groups=(), chunk=None) -> DataFrame:
-    """Consecutive ids over distinct vocabulary entries.
+def numbered(vocab: DataFrame, *order, chunk, out="id", start=0, groups=()) -> DataFrame:
+    """Consecutive ids over distinct vocabulary entries, chunk by chunk.
 
     A vocabulary is one row per distinct entry, so the numbering handles type counts,
-    not token counts. With ``chunk`` (never decreasing along the order) an open-ended
-    vocabulary is numbered chunk by chunk instead of in one task.
+    not token counts. ``chunk`` never decreases along the order.
     """
-    if chunk is not None:
-        staged = vocab if groups else vocab.withColumn("_all", F.lit(0))
-        return dense_position(staged, list(groups) or ["_all"], order, chunk, out=out, start=start).drop("_all")
-    return vocab.withColumn(
-        out, (F.row_number().over(W.partitionBy(*(groups or [F.lit(0)])).orderBy(*order)) + F.lit(start - 1)).cast("bigint")
-    )
+    staged = vocab if groups else vocab.withColumn("_all", F.lit(0))
+    return dense_position(staged, list(groups) or ["_all"], order, chunk, out=out, start=start).drop("_all")
 
 
 def act_vocabulary(turns: DataFrame, acts="acts", side="role") -> DataFrame:
     """Sorted distinct delexicalised acts per side with ids."""
     rows = turns.select(side, F.explode(delexicalize(acts)).alias("act")).distinct()
-    return _numbered(rows, "act", groups=[side])
+    return numbered(rows, "act", groups=[side], chunk=F.substring("act", 1, 16))
 
 
 def distribution(df: DataFrame, col: str) -> DataFrame:
@@ -49,7 +45,7 @@ def token_vocabulary(df: DataFrame, tokens: str, min_freq=3, specials=GENERATOR_
     spark = df.sparkSession
     kept = token_counts(df, tokens).filter((F.col("freq") > min_freq) & (F.trim("token") != ""))
     chunk = F.struct("freq", F.substring("token", 1, 2))
-    body = _numbered(kept, "freq", "token", start=len(specials), chunk=chunk).select("id", "token", "freq")
+    body = numbered(kept, "freq", "token", start=len(specials), chunk=chunk).select("id", "token", "freq")
     head = spark.range(len(specials)).select(
         F.col("id"), F.get(F.array(*[F.lit(s) for s in specials]), F.col("id").cast("int")).alias("token"),
         F.lit(None).cast("bigint").alias("freq"),
@@ -67,13 +63,18 @@ def first_seen_vocabulary(df: DataFrame, items: str, order, specials=(), span=10
     if specials:
         first = first.filter(~F.col("item").isin(*specials))
     chunk = F.floor(F.col("first")[order[0]] / F.lit(span))
-    return _numbered(first, "first", start=len(specials), chunk=chunk).select("item", "id", "freq")
+    return numbered(first, "first", start=len(specials), chunk=chunk).select("item", "id", "freq")
 
 
 def length_histogram(df: DataFrame, length: str, by=()) -> DataFrame:
-    """Sorted counts of lengths and, per group, the largest one."""
+    """Counts of lengths and, per group, the largest one."""
+    by = list(by)
     counts = df.groupBy(*by, F.col(length).cast("bigint").alias("length")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("longest", F.max("length").over(W.partitionBy(*(by or [F.lit(0)]))))
+    longest = counts.groupBy(*[F.col(b).alias(f"_{b}") for b in by]).agg(F.max("length").alias("longest"))
+    if not by:
+        return counts.crossJoin(F.broadcast(longest))
+    same = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]
+    return counts.join(longest, same).drop(*[f"_{b}" for b in by])
 
 
 def intent_pos_weight(df: DataFrame, intents: str, vocab: DataFrame | None = None) -> DataFrame:
@@ -105,7 +106,9 @@ def domain_counter(df: DataFrame, domain="domain", domains=EXPERIMENT_DOMAINS) -
 def feature_cardinality(names: DataFrame, col="name") -> DataFrame:
     """Distinct feature strings, descending, with their line id."""
     d = names.select(col).distinct()
-    return _numbered(d, F.col(col).desc())
+    rising = numbered(d, col, chunk=F.substring(col, 1, 16))
+    size = d.agg(F.count(F.lit(1)).alias("_size"))
+    return rising.crossJoin(F.broadcast(size)).withColumn("id", F.col("_size") - 1 - F.col("id")).drop("_size")
 
 
 def feature_offsets(cardinality: DataFrame, col="name") -> DataFrame:
@@ -125,10 +128,9 @@ def feature_offsets(cardinality: DataFrame, col="name") -> DataFrame:
 def unknown_sentence_ratio(df: DataFrame, tokens: str, vocab: DataFrame, key) -> DataFrame:
     """Share of sentences with at least one token outside ``vocab(token)``."""
     keys = list(key)
-    # distinct tokens per sentence, looked up by an equi-join on the token
     rows = df.select(*keys, F.explode(F.array_distinct(tokens)).alias("token"))
     unknown = rows.select("token").distinct().join(vocab.select("token"), "token", "left_anti")
-    hit = rows.join(unknown.select("token"), "token").select(*keys).distinct()
+    hit = spread_join(rows, unknown, "token", keys).select(*keys).distinct()
     bad = hit.agg(F.count(F.lit(1)).alias("bad"))
     total = df.agg(F.count(F.lit(1)).alias("total"))
     return total.crossJoin(bad).select("total", "bad", F.round(F.col("bad") / F.col("total"), 6).alias("ratio"))

@@ -191,6 +191,30 @@ def _(spark, sf):
     return L.cooccurrence(basket_items(spark, sf), "l_orderkey", "p_name")
 
 
+@query(
+    "edge_weights",
+    """WITH x AS (SELECT DISTINCT l_orderkey, p_name AS item FROM lineitem JOIN part ON l_partkey = p_partkey),
+c AS (SELECT item, count(*) AS c FROM x GROUP BY item), t AS (SELECT count(DISTINCT l_orderkey) AS t FROM x),
+n AS (SELECT a.item, b.item AS other, count(*) AS n FROM x a JOIN x b ON a.l_orderkey = b.l_orderkey AND a.item < b.item GROUP BY ALL HAVING count(*) >= 2)
+SELECT * FROM (SELECT n.item, other, n, round(ln(n * CAST(t AS DOUBLE) / (CAST(c.c AS DOUBLE) * CAST(d.c AS DOUBLE))), 6) AS pmi
+ FROM n JOIN c ON c.item = n.item JOIN c d ON d.item = other, t) WHERE pmi > 0""",
+)
+def _(spark, sf):
+    return L.edge_weights(basket_items(spark, sf), "l_orderkey", "p_name")
+
+
+@query(
+    "label_edges",
+    r"""WITH x AS (SELECT id, label, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS token FROM v_labelled),
+k AS (SELECT token, count(DISTINCT id) AS k FROM x GROUP BY token HAVING count(DISTINCT id) >= 2), t AS (SELECT count(DISTINCT id) AS t FROM x)
+SELECT x.token, label, count(*) AS n, round(count(*) * ln(any_value(t) / any_value(k)), 6) AS weight FROM x JOIN k ON k.token = x.token, t GROUP BY x.token, label""",
+    ("v_labelled",),
+)
+def _(spark, sf):
+    d = V.labelled(spark, sf).select("id", "label", F.explode(V.words(F.col("text"))).alias("token"))
+    return L.label_edges(d, "token", "label", "id")
+
+
 def basket_items(spark, sf):
     li = V.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
     p = V.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")

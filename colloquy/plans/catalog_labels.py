@@ -79,7 +79,7 @@ def _(spark, sf):
 
 @query("label_vocabulary", "SELECT label, row_number() OVER (ORDER BY label) - 1 AS id FROM (SELECT DISTINCT label FROM v_labelled)", _L)
 def _(spark, sf):
-    return Vo._numbered(V.labelled(spark, sf).select("label").distinct(), "label")
+    return Vo.numbered(V.labelled(spark, sf).select("label").distinct(), "label", chunk=F.substring("label", 1, 16))
 
 
 # -- filters and class balance ---------------------------------------------------------------------

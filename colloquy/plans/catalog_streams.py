@@ -228,10 +228,38 @@ def _(spark, sf):
     return P.track_sessions(V.act_turns(V.named_acts(spark, sf)), make, "session_id long, pos long, acts long")
 
 
-@query("intent_baseline")
-def _(spark, sf):
-    """Weighted classifier trained on the train split, reported per label on the test split."""
-    d = V.labelled(spark, sf).select("id", "text", "label", "split")
+_BAYES = r"""
+WITH tk AS (SELECT id, label, split, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS t FROM v_labelled),
+c AS (SELECT label, t, count(*) AS n FROM tk WHERE split = 'train' GROUP BY ALL),
+r AS (SELECT label, count(*) AS n FROM v_labelled WHERE split = 'train' GROUP BY label),
+w AS (SELECT label, n, round(1 - n / (SELECT sum(n) FROM r), 6) AS w FROM r),
+s AS (SELECT label, sum(n) AS said FROM c GROUP BY label),
+m AS (SELECT w.label, w, CAST(round(ln(n * w / (SELECT sum(n * w) FROM w)) * 1000000) AS BIGINT) AS prior,
+ CAST(round(ln(coalesce(said, 0) * w + (SELECT count(DISTINCT t) FROM c)) * 1000000) AS BIGINT) AS base FROM w LEFT JOIN s ON s.label = w.label),
+g AS (SELECT c.label, t, CAST(round(ln(n * w + 1) * 1000000) AS BIGINT) AS gain FROM c JOIN m ON m.label = c.label),
+x AS (SELECT id, t, count(*) AS n FROM tk WHERE split = 'test' GROUP BY ALL),
+k AS (SELECT id, sum(n) AS n FROM x WHERE t IN (SELECT t FROM c) GROUP BY id),
+a AS (SELECT id, label, sum(n * gain) AS gain FROM x JOIN g ON g.t = x.t GROUP BY ALL),
+sc AS (SELECT d.id, d.label AS truth, m.label, CAST(prior + coalesce(a.gain, 0) - coalesce(k.n, 0) * base AS BIGINT) AS score
+ FROM v_labelled d CROSS JOIN m LEFT JOIN a ON a.id = d.id AND a.label = m.label LEFT JOIN k ON k.id = d.id WHERE split = 'test'),
+p AS (SELECT id, truth, first(label ORDER BY score DESC, label) AS pred FROM sc GROUP BY ALL)
+"""
+
+
+def baseline(spark, sf):
+    """Trained on the train split with balanced classes, scored on the test split."""
+    d = V.labelled(spark, sf).select("id", V.words(F.col("text")).alias("tokens"), "label", "split")
     train = d.filter("split = 'train'")
-    out = P.intent_baseline(train, d.filter("split = 'test'"), weights=Vo.label_weight(train, "label"))
-    return M.class_report(out, "label", "pred")[0]
+    return P.intent_baseline(train, d.filter("split = 'test'"), weights=Vo.label_weight(train, "label"))
+
+
+@query("intent_baseline", _BAYES + "SELECT truth AS label, count(*) AS n, round(avg(CASE WHEN truth = pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM p GROUP BY truth", ("v_labelled",))
+def _(spark, sf):
+    return M.class_report(baseline(spark, sf), "label", "pred")[0]
+
+
+@query("intent_scores", _BAYES + "SELECT sc.id, sc.label, score, sc.label = pred AS best FROM sc JOIN p ON p.id = sc.id", ("v_labelled",))
+def _(spark, sf):
+    """Every class score of every test text."""
+    b = baseline(spark, sf).select("id", "pred", F.inline("scores"))
+    return b.select("id", "label", "score", (F.col("label") == F.col("pred")).alias("best"))

@@ -8,7 +8,7 @@ from colloquy import constants as K
 from colloquy.functions import acts as A, encode as E, features as Fe
 from colloquy.operators import lookups as L, metrics as M, tagging as G, text as X, vocab as Vo
 from colloquy.operators.ordered import with_preceding
-from colloquy.operators.sampling import top_hypotheses
+from colloquy.operators.sampling import sort_batch_by_length, top_hypotheses
 from colloquy.operators.staging import stage
 from colloquy.plans import views as V
 from colloquy.plans.registry import query
@@ -93,14 +93,12 @@ FROM v_said s LEFT JOIN tags t ON t.session_id = s.session_id AND t.pos = s.pos
 def _(spark, sf):
     t = stage(tagged(spark, sf).select("session_id", "pos", "tags"))
     names = t.select(F.explode("tags").alias("tag")).filter("tag not like 'I%'").distinct()
-    # the tag vocabulary is one small row shared by every turn
-    one = names.agg(F.sort_array(F.collect_set("tag")).alias("names"))
-    j = t.crossJoin(F.broadcast(one))
-    vocab = F.map_from_entries(F.transform("names", lambda n, i: F.struct(n, i)))
-    ids = j.withColumn("vocab", vocab).withColumn("ids", E.tags_to_ids("tags", F.col("vocab")))
+    vocab = Vo.numbered(names, "tag", chunk=F.substring("tag", 1, 16)).select(F.col("tag").alias("token"), F.col("id").cast("int").alias("value"))
+    mapped = L.token_maps(t, "tags", vocab, ["session_id", "pos"])
+    back = F.map_from_arrays(F.map_values("_m"), F.map_keys("_m"))
+    ids = mapped.withColumn("ids", E.tags_to_ids("tags", F.col("_m"))).withColumn("names", F.transform("ids", lambda i: F.try_element_at(back, i)))
     return ids.select(
-        "session_id", "pos", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"),
-        F.array_join(E.ids_to_tags("ids", "names"), " ").alias("names"),
+        "session_id", "pos", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"), F.array_join("names", " ").alias("names")
     )
 
 
@@ -201,10 +199,8 @@ def _(spark, sf):
     ("v_turns",),
 )
 def _(spark, sf):
-    from colloquy.operators.sampling import sort_batch_by_length
-
     t = V.turns(spark, sf).withColumn("batch", F.expr("session_id div 16")).withColumn("len", F.size(V.words(F.col("content"))))
-    return sort_batch_by_length(t, "batch", "len", ["session_id", "pos"]).select("batch", "session_id", "pos", F.col("rank").cast("bigint").alias("rank"))
+    return sort_batch_by_length(t, "batch", "len", ["session_id", "pos"], F.expr("pos div 1024")).select("batch", "session_id", "pos", "rank")
 
 
 @query(
@@ -445,7 +441,7 @@ def _(spark, sf):
         F.col("p_partkey").alias("id"), F.array("p_brand", F.lit("is"), "p_type", F.lit("size"), F.col("p_size").cast("string"), "p_name").alias("tokens")
     )
     d = stage(L.delexicalize_sentences(p, "tokens", types, ["id"]).select("id", "delex"))
-    ids = Vo._numbered(d.select("delex").distinct(), "delex", out="candidate")
+    ids = Vo.numbered(d.select("delex").distinct(), "delex", out="candidate", chunk=F.substring("delex", 1, 32))
     return d.join(ids, "delex").select("id", "delex", "candidate")
 
 

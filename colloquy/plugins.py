@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from colloquy.operators import bayes
+
 ACTS = "array<struct<intent:string,domain:string,slot:string,value:string>>"
 
 
@@ -62,32 +64,9 @@ def tokenizer(make: Callable[[], Callable]) -> Callable[[Column], Column]:
     return cut
 
 
-def intent_baseline(train: DataFrame, test: DataFrame, text="text", label="label", weights=None, max_iter=20, features=1 << 14):
-    """Class scores of a weighted linear text classifier: ``test`` plus ``scores`` and ``pred`` columns.
+def intent_baseline(train: DataFrame, test: DataFrame, tokens="tokens", label="label", weights=None, key=("id",)) -> DataFrame:
+    """Class scores of a naive Bayes text classifier: ``test`` plus ``scores`` and ``pred`` columns.
 
-    Tokens are hashed, so no vocabulary is collected; ``weights(label, weight)`` balances
-    the classes.
+    All tokens of ``train`` count, each as itself; ``weights(label, weight)`` balances the classes.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import HashingTF, RegexTokenizer, StringIndexer
-    from pyspark.ml.functions import vector_to_array
-
-    if weights is not None:
-        train = train.join(F.broadcast(weights.select(label, F.col("weight").alias("_w"))), label)
-    else:
-        train = train.withColumn("_w", F.lit(1.0))
-    stages = [
-        StringIndexer(inputCol=label, outputCol="_y", handleInvalid="keep", stringOrderType="alphabetAsc"),
-        RegexTokenizer(inputCol=text, outputCol="_t", pattern=r"\s+"),
-        HashingTF(inputCol="_t", outputCol="_x", numFeatures=features),
-        LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=max_iter, regParam=0.01),
-    ]
-    model = Pipeline(stages=stages).fit(train)
-    names = F.array(*[F.lit(x) for x in model.stages[0].labels])
-    return (
-        model.transform(test)
-        .withColumn("scores", vector_to_array("probability"))
-        .withColumn("pred", F.get(names, F.col("prediction").cast("int")))
-        .drop("_y", "_t", "_x", "rawPrediction", "probability", "prediction")
-    )
+    return bayes.scores(bayes.fit(train, tokens, label, weights), test, tokens, key)
