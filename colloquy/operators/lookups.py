@@ -80,25 +80,26 @@ def item_pairs(rows: DataFrame, key: str, item: str, min_support: int = 1, part:
     """(item, other, n): in how many lists two different items lie together, both directions.
 
     ``rows(key, item)`` holds one row per list element; null items count nowhere. An item in fewer than ``min_support``
-    lists cannot be in a pair of that many and leaves before pairs are formed; pairs below it leave afterwards. The items
-    of a list are dealt into parts of about ``part`` and every two parts of a list meet on their own, so that a
-    long list spreads over many tasks and none holds its square. Equal lists are met once and counted.
+    lists cannot be in a pair of that many and leaves before pairs are formed; pairs below it leave afterwards. Lists of
+    up to ``part`` items form their pairs inside a row, equal ones only once. The items of a longer list are dealt into parts
+    of about ``part`` and every two parts meet on their own, so that it spreads over many tasks and none holds its square.
     """
     distinct = rows.filter(F.col(item).isNotNull()).select(F.col(key).alias("key"), F.col(item).alias("item")).distinct()
+    distinct = stage(distinct)
     if min_support > 1:
         common = distinct.groupBy("item").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_support).select("item")
         distinct = distinct.join(common, "item", "left_semi")
-    # a list is named by the sums of two hashes of its items and its length: no list is held whole
-    h = lambda seed: F.xxhash64(F.lit(seed), "item").cast("decimal(38,0)")
-    names = distinct.groupBy("key").agg(F.sum(h(1)).alias("a"), F.sum(h(2)).alias("b"), F.count(F.lit(1)).alias("size"))
-    lists = stage(names.groupBy("a", "b", "size").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("times")).drop("a", "b").filter("size > 1"))
-    parts = F.ceil(F.col("size") / part).cast("int")
-    held = distinct.join(lists, "key").withColumn("parts", parts).withColumn("p", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"))
+    long = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > part)
+    long = stage(long.select("key", F.ceil(F.col("_size") / part).cast("int").alias("parts")))
+    short = distinct.join(long, "key", "left_anti").groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("_d"))
+    short = short.groupBy("_d").agg(F.count(F.lit(1)).alias("times"))
+    inside = short.select(F.explode("_d").alias("item"), "_d", "times").select("item", F.explode("_d").alias("other"), "times")
+    held = distinct.join(long, "key").withColumn("p", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"))
     others = F.sequence(F.lit(0), F.col("parts") - 1)
-    left = held.select("key", "times", "item", "p", F.explode(others).alias("q"))
+    left = held.select("key", "item", "p", F.explode(others).alias("q"))
     right = held.select("key", F.col("item").alias("other"), F.col("p").alias("q"), F.explode(others).alias("p"))
-    met = left.join(right, ["key", "p", "q"]).filter("item <> other")
-    pairs = met.groupBy("item", "other").agg(F.sum("times").alias("n"))
+    across = left.join(right, ["key", "p", "q"]).select("item", "other", F.lit(1).cast("bigint").alias("times"))
+    pairs = inside.unionByName(across).filter("item <> other").groupBy("item", "other").agg(F.sum("times").alias("n"))
     return pairs.filter(F.col("n") >= min_support) if min_support > 1 else pairs
 
 

@@ -84,31 +84,39 @@ def expand_contractions(tokens, pairs) -> Column:
     return F.transform(_c(tokens), lambda t: F.coalesce(F.try_element_at(pairs, t), t))
 
 
-def _as_chars(tokens, alphabet) -> Column:
-    """Tokens of a pair as characters of one string, so that edit distance runs inside the JVM.
+_CODES = 1_000_000  # tokens of a pair become characters from U+3401 on, without the surrogates
+
+
+def _as_chars(tokens, code) -> Column:
+    """Tokens as characters of one string, so that edit distance runs inside the JVM; ``code`` counts from 1.
 
-    Characters come from U+3401 on without the surrogates; a pair with more distinct tokens than those is an error.
     The string is decoded once, not token by token.
     """
 
-    def code(t):
-        at = F.array_position(alphabet, t) + 0x3400
+    def point(t):
+        at = code(t) + 0x3400
         at = F.when(at < 0xD800, at).otherwise(at + 0x800)
         return F.when(at <= 0x10FFFF, at).otherwise(F.raise_error(F.lit("too many distinct tokens in one pair")).cast("bigint"))
 
-    digits = F.transform(tokens, lambda t: F.lpad(F.hex(code(t)), 8, "0"))
+    digits = F.transform(tokens, lambda t: F.lpad(F.hex(point(t)), 8, "0"))
     return F.decode(F.unhex(F.array_join(digits, "")), "UTF-32")
 
 
 def edit_distance(a, b) -> Column:
-    """Token Levenshtein distance of two arrays."""
+    """Token Levenshtein distance of two arrays.
+
+    A token's character is a hash of it, found without a search; a pair in which two tokens share a hash
+    takes the tokens' places in the list of its distinct ones instead.
+    """
+    hashed = lambda t: F.pmod(F.xxhash64(t), F.lit(_CODES)) + 1
+    distance = lambda p, code: F.levenshtein(_as_chars(p["a"], code), _as_chars(p["b"], code))
+
+    def compared(p, types):
+        clear = F.size(F.array_distinct(F.transform(types, hashed))) == F.size(types)
+        return F.when(clear, distance(p, hashed)).otherwise(distance(p, lambda t: F.array_position(types, t)))
+
     pair = F.struct(_c(a).alias("a"), _c(b).alias("b"))
-    return let(
-        pair,
-        lambda p: let(
-            F.array_distinct(F.concat(p["a"], p["b"])), lambda alpha: F.levenshtein(_as_chars(p["a"], alpha), _as_chars(p["b"], alpha))
-        ),
-    )
+    return let(pair, lambda p: let(F.array_distinct(F.concat(p["a"], p["b"])), lambda types: compared(p, types)))
 
 
 def wer(df: DataFrame, ref: str, hyp: str) -> DataFrame:

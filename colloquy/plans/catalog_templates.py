@@ -311,7 +311,37 @@ def _(spark, sf):
     return out.select("session_id", "pos", "template")
 
 
-@query("realise_turns")
+_REALISE = _rec("found") + _KEYS + r""", lib AS (SELECT DISTINCT key, delex AS template FROM lastr l JOIN keys k ON k.session_id = l.session_id AND k.pos = l.pos WHERE usable AND l.session_id % 3 <> 0),
+num AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5(template), template) - 1 AS j, count(*) OVER (PARTITION BY key) AS cnt FROM lib),
+pk AS (SELECT session_id, pos, role, key, CAST('0x' || substr(md5('0|' || session_id || '|' || pos), 1, 8) AS BIGINT) AS h FROM keys),
+auto AS (SELECT pk.session_id, pk.pos, pk.role, num.template FROM pk LEFT JOIN num ON num.key = pk.key AND num.j = pk.h % num.cnt),
+held AS (SELECT session_id, pos, role, istr, count(*) AS n, min(act_ord) AS f FROM v_intent GROUP BY ALL),
+named AS (SELECT session_id, pos, role, f, CASE WHEN n > 1 AND regexp_matches(istr, 'Recommend|名称|推荐菜|周边')
+ THEN istr || '1+' || array_to_string(list_transform(range(2, n + 1), lambda k: string_split(istr, '+')[-1] || k), '+') ELSE istr END AS name FROM held),
+ranked AS (SELECT n.*, rnk, bool_or(rnk IS NULL) OVER (PARTITION BY session_id, pos) AS unknown FROM named n LEFT JOIN ord ON ord.role = n.role
+ AND ord.base = CASE WHEN contains(string_split(name, '1')[1], 'Inform') AND contains(string_split(name, '1')[1], '无') THEN 'Inform+主体+属性+无' ELSE string_split(name, '1')[1] END),
+placed AS (SELECT session_id, pos, name, row_number() OVER (PARTITION BY session_id, pos ORDER BY CASE WHEN unknown THEN 0 ELSE rnk END, regexp_matches(name, '1\+[^+]*2'), f) AS i,
+ count(*) OVER (PARTITION BY session_id, pos) AS n FROM ranked),
+part AS (SELECT session_id, pos, i, n, '有[' || k.name || ']' AS s FROM (SELECT *, CASE WHEN contains(name, 'Inform') AND contains(name, '无') THEN 'Inform+主体+属性+无' ELSE name END AS looked FROM placed) p
+ LEFT JOIN (SELECT DISTINCT name FROM named) k ON k.name = looked),
+man AS (SELECT session_id, pos, CASE WHEN count(s) = count(*) THEN string_agg(CASE WHEN regexp_matches(b, '[!?！？]$') THEN b ELSE b || CASE WHEN i = n THEN '。' ELSE '，' END END, '' ORDER BY i) END AS template
+ FROM (SELECT *, regexp_replace(regexp_replace(s, '^[。.，, ]+', ''), '[。.，, ]+$', '') AS b FROM part) GROUP BY ALL),
+chosen AS (SELECT a.session_id, a.pos, a.role, coalesce(a.template, man.template) AS template FROM auto a JOIN man ON man.session_id = a.session_id AND man.pos = a.pos),
+f AS (
+ SELECT session_id, pos, CAST(-1 AS BIGINT) AS i, template AS text, CAST([] AS VARCHAR[]) AS seen FROM chosen
+ UNION ALL
+ SELECT session_id, pos, i, replace(replace(CASE WHEN absent THEN replace(replace(text, '[主体]', domain), '[属性]', slot) ELSE text END,
+   '[' || nm || ']', surf), '[' || nm || '1]', surf), seen
+ FROM (SELECT *, CASE WHEN n > 1 THEN istr || n ELSE istr END AS nm FROM (SELECT *, len(list_filter(seen, lambda x: x = istr)) AS n FROM (
+  SELECT r.session_id, r.pos, r.i + 1 AS i, r.text, list_append(r.seen, a.istr) AS seen, a.istr, a.surf, a.domain, a.slot,
+   a.intent = 'Inform' AND a.value = '无' AS absent
+  FROM f r JOIN v_intent a ON a.session_id = r.session_id AND a.pos = r.pos AND a.act_ord = r.i + 1)))),
+said AS (SELECT session_id, pos, list(text ORDER BY i)[-1] AS text FROM f GROUP BY session_id, pos)
+SELECT c.session_id, c.pos, c.role, template, text FROM chosen c JOIN said ON said.session_id = c.session_id AND said.pos = c.pos
+"""
+
+
+@query("realise_turns", _REALISE, _S)
 def _(spark, sf):
     """Whole-key templates mined from two thirds of the sessions, one plain sentence per intent otherwise."""
     t = V.said(spark, sf)

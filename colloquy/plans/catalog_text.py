@@ -162,7 +162,7 @@ SELECT v.session_id, v.pos, coalesce(ids, '2') AS ids FROM v_turns v LEFT JOIN r
     ("v_turns",),
 )
 def _(spark, sf):
-    t = V.turns(spark, sf).select("session_id", "pos", V.words(F.col("content")).alias("tokens"))
+    t = stage(V.turns(spark, sf).select("session_id", "pos", V.words(F.col("content")).alias("tokens")))
     voc = Vo.token_vocabulary(t, "tokens")
     out = L.token_ids(t, "tokens", voc, 3, ["session_id", "pos"], append=[2])
     return out.select("session_id", "pos", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
