@@ -77,15 +77,15 @@ def multi_hot(items, labels) -> Column:
 
 
 def multi_hot_ids(ids, dim) -> Column:
-    at = F.sequence(F.lit(0), F.lit(dim - 1))
+    """0/1 per id below ``dim`` (a number or a column); 0 gives an empty vector."""
+    dim = F.lit(dim).cast("int")
+    at = F.when(dim > 0, F.sequence(F.lit(0), F.greatest(dim, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
     return let(_c(ids), lambda held: F.transform(at, lambda i: F.array_contains(held, i).cast("int")))
 
 
-def hot_names(vector, labels) -> Column:
-    """Inverse of :func:`multi_hot`: names at the set positions."""
-    names = F.array(*[F.lit(x) for x in labels])
-    named = let(_c(vector), lambda v: F.transform(names, lambda l, i: F.when(F.get(v, i) == 1, l)))
-    return F.filter(named, lambda x: x.isNotNull())
+def hot_ids(vector) -> Column:
+    """Inverse of :func:`multi_hot_ids`: the set positions."""
+    return F.filter(F.transform(_c(vector), lambda x, i: F.when(x == 1, i)), lambda x: x.isNotNull())
 
 
 def result_bucket(n) -> Column:

@@ -4,22 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from colloquy.functions.acts import delexicalize
-from colloquy.functions.encode import multi_hot, multi_hot_ids, result_bucket
+from colloquy.functions.encode import multi_hot_ids, result_bucket
 
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def state_vector(user_acts, system_acts, filled, n_results, terminated, user_vocab, system_vocab) -> Column:
-    """User acts, system acts, filled-slot flags, result bucket and the terminated flag as one 0/1 vector."""
-    empty = F.array().cast("array<string>")
-    usr = F.coalesce(delexicalize(user_acts), empty)
-    sys = F.coalesce(delexicalize(system_acts), empty)
+def state_vector(user_ids, system_ids, filled, n_results, terminated, user_dim, system_dim) -> Column:
+    """User acts, system acts, filled-slot flags, result bucket and the terminated flag as one 0/1 vector.
+
+    Acts come as vocabulary ids; a null list counts as empty.
+    """
+    empty = F.array().cast("array<int>")
     return F.concat(
-        multi_hot(usr, user_vocab),
-        multi_hot(sys, system_vocab),
+        multi_hot_ids(F.coalesce(_c(user_ids), empty), user_dim),
+        multi_hot_ids(F.coalesce(_c(system_ids), empty), system_dim),
         _c(filled),
         multi_hot_ids(F.array(result_bucket(n_results)), 4),
         F.array(_c(terminated).cast("int")),

@@ -41,13 +41,6 @@ def repair_labels(belief, slots=None) -> Column:
     return F.transform_values(b, lambda s, v: F.when(F.array_contains(listed, s), fixed(s, v)).otherwise(v))
 
 
-def repair_label(slot, value) -> Column:
-    """The same repair for one long-form (slot, value) row."""
-    s = F.col(slot) if isinstance(slot, str) else slot
-    v = F.col(value) if isinstance(value, str) else value
-    return F.get(F.map_values(repair_labels(F.create_map(s, v))), F.lit(0))
-
-
 def belief_list_to_map(belief) -> Column:
     """[(slot, value), ...] -> map; a repeated slot keeps its last value."""
     b = F.col(belief) if isinstance(belief, str) else belief
@@ -77,13 +70,6 @@ def domain_filter(dials: DataFrame, only="", exclude="", split="train", domains=
     return d.withColumn(belief, F.map_filter(belief, test))
 
 
-def slots_in_scope(slots, only="", exclude="", split="train"):
-    """Slot list of the same rule, as a plain list."""
-    if exclude:
-        return [s for s in slots if (exclude in s) == (split not in ("train", "dev"))]
-    return [s for s in slots if only in s] if only else list(slots)
-
-
 def cap_label(df: DataFrame, label: str, capped: str, n: int, order, chunk: Column) -> DataFrame:
     """First ``n`` rows (by ``order``) of one label, all rows of the others."""
     rest = df.filter(F.col(label) != capped)

@@ -46,13 +46,6 @@ def manual_intents(acts, role: Column) -> Column:
     return F.when(role == "usr", A.canonical_order(m, "usr")).otherwise(A.canonical_order(m, "sys"))
 
 
-def repeated_key(base, n) -> Column:
-    """``base`` for one mention, ``base1+slot2+...`` for more."""
-    slot = F.element_at(F.split(base, r"\+"), -1)
-    rest = F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda k: F.concat(slot, k.cast("string")))
-    return F.when(n <= 1, base).otherwise(F.concat(base, F.lit("1+"), F.array_join(rest, "+")))
-
-
 def split_repeated(rows: DataFrame, library: DataFrame, base="base", n="n") -> DataFrame:
     """Cut a repetition count into the longest pieces the library holds: ``pieces`` array, null when impossible.
 

@@ -17,11 +17,3 @@ def pool(df: DataFrame, key, vec: str, how="max") -> DataFrame:
     keys = [key] if isinstance(key, str) else list(key)
     agg = {"max": F.max, "mean": F.avg}[how]
     return df.select(*keys, F.posexplode(vec).alias("dim", "x")).groupBy(*keys, "dim").agg(agg("x").alias("value"))
-
-
-def as_arrays(pooled: DataFrame, key, dim_count: int) -> DataFrame:
-    """Back to one array per key (``dim_count`` entries)."""
-    keys = [key] if isinstance(key, str) else list(key)
-    return pooled.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("vec")
-    )

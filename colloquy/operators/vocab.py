@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from colloquy.constants import EXPERIMENT_DOMAINS, GENERATOR_SPECIALS
 from colloquy.functions.acts import delexicalize
-from colloquy.operators.lookups import spread_join
+from colloquy.operators.lookups import spread_join, token_maps
 from colloquy.operators.ordered import dense_position
 
 
@@ -30,6 +30,25 @@ def act_vocabulary(turns: DataFrame, acts="acts", side="role") -> DataFrame:
     return numbered(rows, "act", groups=[side], chunk=F.substring("act", 1, 16))
 
 
+def act_ids(turns: DataFrame, vocab: DataFrame, key, acts="acts", side="role", out="act_ids", names="act_names") -> DataFrame:
+    """Vocabulary ids of each turn's delexicalised acts and a map from those ids back to the acts.
+
+    ``vocab(role, act, id)`` as :func:`act_vocabulary` makes it; acts outside it have no id. ``key`` tells turns apart.
+    """
+    of = lambda act: F.concat_ws("\u0001", F.col(side), act)
+    entries = vocab.select(of(F.col("act")).alias("token"), F.struct(F.col("id").cast("int").alias("id"), "act").alias("value"))
+    said = turns.withColumn("_acts", F.transform(delexicalize(acts), of))
+    found = F.filter(F.transform("_acts", lambda t: F.try_element_at("_m", t)), lambda x: x.isNotNull())
+    back = F.map_from_entries(F.transform(F.map_values("_m"), lambda v: F.struct(v["id"], v["act"])))
+    return token_maps(said, "_acts", entries, key).withColumn(out, F.transform(found, lambda x: x["id"])).withColumn(names, back).drop("_acts", "_m")
+
+
+def act_dims(vocab: DataFrame, side="role") -> DataFrame:
+    """One row: the number of acts of the user and of the system."""
+    of = lambda r: F.coalesce(F.sum((F.col(side) == r).cast("int")), F.lit(0)).cast("int")
+    return vocab.agg(of("usr").alias("user_dim"), of("sys").alias("system_dim"))
+
+
 def distribution(df: DataFrame, col: str) -> DataFrame:
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("_t"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colloquy import constants as K
-from colloquy.functions import acts as A, encode as E
-from colloquy.operators import metrics as M, state as S
+from colloquy.functions import encode as E, features as Fe
+from colloquy.operators import entities as N, metrics as M, state as S, vocab as Vo
 from colloquy.operators.filters import filter_role
 from colloquy.operators.ordered import with_preceding
 from colloquy.operators.staging import stage
 from colloquy.plans import views as V
+from colloquy.plans.catalog_entities import _E, _MATCH, constraints, searchable
 from colloquy.plans.registry import query
 
 SLOTS_SQL = "[" + ", ".join(f"'{s}'" for s in S.TRACKED_SLOTS) + "]"
@@ -254,51 +255,60 @@ def _(spark, sf):
     return S.teacher_forced_states(t, S.at_turns(spans, t).withColumn("pos", F.col("pos") + 1))
 
 
-_USR_VOC = [f"Inform+{d}+{s}+{n}" for d in K.DOMAINS for s in sorted(set(V.NAMED_SLOTS[d])) for n in (1, 2)]
-_SYS_VOC = [f"Recommend+{d}+名称+1" for d in K.DOMAINS] + [f"Inform+{d}+{s}+1" for d in K.DOMAINS for s in sorted(set(V.NAMED_SLOTS[d]))]
+_ACTS = """dx AS (SELECT session_id, pos, role, intent || '+' || domain || '+' || slot || '+' || CASE WHEN intent IN ('Inform', 'Recommend') THEN
+ CAST(row_number() OVER (PARTITION BY session_id, pos, intent, domain, slot ORDER BY act_ord) AS VARCHAR) ELSE value END AS a FROM v_named),
+"""
+
+
+def _hot_sql(side, col):
+    return f"list_transform({side}.l, lambda x: CASE WHEN list_contains({col}, x) THEN 1 ELSE 0 END)"
 
 
-def _hot_sql(voc, col):
-    return "list_transform([" + ", ".join(f"'{v}'" for v in voc) + f"], lambda l: CASE WHEN list_contains({col}, l) THEN 1 ELSE 0 END)"
+def act_ids(spark, sf):
+    """Turns with the ids of their acts in the vocabulary of all acts, and that vocabulary."""
+    t = stage(named_turns(spark, sf))
+    vocab = stage(Vo.act_vocabulary(t))
+    return t, Vo.act_ids(t, vocab, ["session_id", "pos"]), vocab
 
 
 @query(
     "policy_examples",
-    TRACK + GRID + f""", dx AS (SELECT session_id, pos, role, act_ord, intent || '+' || domain || '+' || slot || '+' || CASE WHEN intent IN ('Inform', 'Recommend') THEN
- CAST(row_number() OVER (PARTITION BY session_id, pos, intent, domain, slot ORDER BY act_ord) AS VARCHAR) ELSE value END AS a FROM v_named),
-tl AS (SELECT session_id, pos, role, list(a) AS acts FROM dx GROUP BY ALL),
-fl AS (SELECT session_id, pos, list(CASE WHEN value <> '' THEN 1 ELSE 0 END ORDER BY domain, slot) AS filled,
-  count(*) FILTER (value <> '') AS n_filled FROM grid GROUP BY ALL),
+    _MATCH + ", hits AS (SELECT query_id, count(*) AS n FROM found GROUP BY query_id), top AS (SELECT max(p_partkey) AS k FROM part), "
+    + TRACK.strip().removeprefix("WITH").strip() + GRID + ", " + _ACTS + f"""tl AS (SELECT session_id, pos, role, list(a) AS acts FROM dx GROUP BY ALL),
+ul AS (SELECT coalesce(list(a ORDER BY a), []) AS l FROM (SELECT DISTINCT a FROM dx WHERE role = 'usr')),
+sl AS (SELECT coalesce(list(a ORDER BY a), []) AS l FROM (SELECT DISTINCT a FROM dx WHERE role = 'sys')),
+fl AS (SELECT session_id, pos, list(CASE WHEN value <> '' THEN 1 ELSE 0 END ORDER BY domain, slot) AS filled FROM grid GROUP BY ALL),
 mx AS (SELECT session_id, max(pos) AS last FROM tl GROUP BY ALL),
-v AS (SELECT s.session_id, s.pos, {_hot_sql(_USR_VOC, 'u.acts')} || {_hot_sql(_SYS_VOC, 'coalesce(b.acts, [])')} || fl.filled
-  || CASE WHEN n_filled = 0 THEN [1, 0, 0, 0] WHEN n_filled = 1 THEN [0, 1, 0, 0] WHEN n_filled < 5 THEN [0, 0, 1, 0] ELSE [0, 0, 0, 1] END
-  || [CASE WHEN s.pos = last THEN 1 ELSE 0 END] AS state, {_hot_sql(_SYS_VOC, 's.acts')} AS act
+v AS (SELECT s.session_id, s.pos, {_hot_sql('ul', 'u.acts')} || {_hot_sql('sl', 'coalesce(b.acts, [])')} || fl.filled
+  || CASE WHEN coalesce(h.n, 0) = 0 THEN [1, 0, 0, 0] WHEN h.n = 1 THEN [0, 1, 0, 0] WHEN h.n < 5 THEN [0, 0, 1, 0] ELSE [0, 0, 0, 1] END
+  || [CASE WHEN s.pos = last THEN 1 ELSE 0 END] AS state, {_hot_sql('sl', 's.acts')} AS act
  FROM tl s JOIN tl u ON u.session_id = s.session_id AND u.pos = s.pos - 1 LEFT JOIN tl b ON b.session_id = s.session_id AND b.pos = s.pos - 2
- JOIN fl ON fl.session_id = s.session_id AND fl.pos = s.pos - 1 JOIN mx ON mx.session_id = s.session_id WHERE s.role = 'sys')
+ JOIN fl ON fl.session_id = s.session_id AND fl.pos = s.pos - 1 JOIN mx ON mx.session_id = s.session_id, ul, sl, top
+ LEFT JOIN hits h ON h.query_id = (s.session_id * 31 + s.pos) % top.k + 1 WHERE s.role = 'sys')
 SELECT session_id, pos, array_to_string(state, '') AS state, array_to_string(act, '') AS action FROM v""",
-    ("v_named",),
+    ("v_named", *_E),
 )
 def _(spark, sf):
-    from colloquy.functions.features import state_vector
-
-    t = named_turns(spark, sf)
-    p = S.policy_examples(t, S.state_changes(t))
-    n = F.aggregate("filled", F.lit(0), lambda a, x: a + x)
-    v = state_vector("user_action", "system_action", "filled", n, "terminated", _USR_VOC, _SYS_VOC)
-    return p.select(
-        "session_id", "pos", F.array_join(v, "").alias("state"),
-        F.array_join(E.multi_hot(A.delexicalize("action"), _SYS_VOC), "").alias("action"),
-    )
+    """Vectors over the acts of the data; the search of a turn is the one its session and position fall on."""
+    t, coded, vocab = act_ids(spark, sf)
+    p = S.policy_examples(coded.drop("acts", "act_names").withColumnRenamed("act_ids", "acts"), S.state_changes(t))
+    c = constraints(spark, sf)
+    hits = stage(N.result_counts(c, N.entity_search(c, searchable(spark, sf))).select("query_id", "n"))
+    top = V.table(spark, sf, "part").agg(F.max("p_partkey").alias("top"))
+    p = p.crossJoin(F.broadcast(top)).withColumn("query_id", (F.col("session_id") * 31 + F.col("pos")) % F.col("top") + 1).join(hits, "query_id", "left")
+    p = p.crossJoin(F.broadcast(Vo.act_dims(vocab)))
+    v = Fe.state_vector("user_action", "system_action", "filled", F.coalesce("n", F.lit(0)), "terminated", F.col("user_dim"), F.col("system_dim"))
+    action = E.multi_hot_ids("action", F.col("system_dim"))
+    return p.select("session_id", "pos", F.array_join(v, "").alias("state"), F.array_join(action, "").alias("action"))
 
 
 @query(
     "action_names",
-    f"""WITH dx AS (SELECT DISTINCT session_id, pos, intent || '+' || domain || '+' || slot || '+1' AS a FROM v_named WHERE intent IN ('Inform', 'Recommend') AND role = 'sys'),
-voc AS (SELECT unnest([{', '.join(f"'{v}'" for v in _SYS_VOC)}]) AS a, generate_subscripts([{', '.join(f"'{v}'" for v in _SYS_VOC)}], 1) AS i)
-SELECT session_id, pos, string_agg(dx.a, ' ' ORDER BY i) AS names FROM dx JOIN voc ON voc.a = dx.a GROUP BY ALL""",
+    "WITH " + _ACTS.strip().rstrip(",") + "SELECT session_id, pos, string_agg(DISTINCT a, ' ' ORDER BY a) AS names FROM dx WHERE role = 'sys' GROUP BY ALL",
     ("v_named",),
 )
 def _(spark, sf):
-    t = named_turns(spark, sf).filter("role = 'sys'")
-    v = t.withColumn("vec", E.multi_hot(A.delexicalize("acts"), _SYS_VOC))
-    return v.select("session_id", "pos", F.array_join(E.hot_names("vec", _SYS_VOC), " ").alias("names")).filter("names <> ''")
+    """Action vectors of the system turns, read back as act names."""
+    _, coded, vocab = act_ids(spark, sf)
+    v = coded.filter("role = 'sys'").crossJoin(F.broadcast(Vo.act_dims(vocab))).withColumn("vec", E.multi_hot_ids("act_ids", F.col("system_dim")))
+    return v.select("session_id", "pos", F.array_join(F.transform(E.hot_ids("vec"), lambda i: F.try_element_at("act_names", i)), " ").alias("names"))

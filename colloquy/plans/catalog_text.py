@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from colloquy import constants as K
 from colloquy.functions import acts as A, encode as E, features as Fe
-from colloquy.operators import lookups as L, metrics as M, tagging as G, text as X, vocab as Vo
+from colloquy.operators import lookups as L, tagging as G, text as X, vocab as Vo
 from colloquy.operators.ordered import with_preceding
 from colloquy.operators.sampling import sort_batch_by_length, top_hypotheses
 from colloquy.operators.staging import stage

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from colloquy.functions import encode as E, features as Fe
 from colloquy.operators import bayes, lookups as L, sampling as Sa, state as St, text as X, vocab as Vo
 
 
@@ -140,3 +141,20 @@ def test_history_across_spans(spark):
             text[s] += f"{a} ; {b} ; "
             want[s, i] = (text[s].strip(" "), f"{a} ; {b}".strip(" "))
         assert got == want
+
+
+def test_act_ids_and_vectors_of_the_data(spark):
+    """Acts outside the vocabulary have no id; an absent list is an empty one; ids read back as names."""
+    act = "struct<intent:string,domain:string,slot:string,value:string>"
+    rows = [(1, "usr", [("Inform", "d", "s", "v"), ("Request", "d", "t", "")]), (2, "sys", [("Inform", "d", "s", "w"), ("Inform", "d", "s", "x")]), (3, "sys", [])]
+    turns = spark.createDataFrame(rows, f"pos long, role string, acts array<{act}>")
+    vocab = Vo.act_vocabulary(turns)
+    assert sorted(map(tuple, vocab.collect())) == [("sys", "Inform+d+s+1", 0), ("sys", "Inform+d+s+2", 1), ("usr", "Inform+d+s+1", 0), ("usr", "Request+d+t+", 1)]
+    more = turns.unionByName(spark.createDataFrame([(4, "usr", [("Select", "d", "s", "new"), ("Request", "d", "t", "")]), (5, "usr", None)], turns.schema))
+    got = {r.pos: (r.act_ids, r.act_names) for r in Vo.act_ids(more, vocab, ["pos"]).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: [0, 1], 2: [0, 1], 3: [], 4: [1], 5: None}
+    assert got[4][1] == {1: "Request+d+t+"}
+    assert tuple(Vo.act_dims(vocab).first()) == (2, 2) and tuple(Vo.act_dims(vocab.limit(0)).first()) == (0, 0)
+    ids = lambda *x: F.array(*[F.lit(i) for i in x]).cast("array<int>")
+    one = spark.range(1).select(Fe.state_vector(ids(1), F.lit(None).cast("array<int>"), ids(1, 0), F.lit(3), F.lit(1), 2, 3).alias("v"), E.hot_ids(ids(0, 1, 1)).alias("h"), E.multi_hot_ids(ids(), 0).alias("z")).first()
+    assert (one.v, one.h, one.z) == ([0, 1, 0, 0, 0, 1, 0, 0, 0, 1, 0, 1], [1, 2], [])
