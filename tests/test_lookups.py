@@ -111,6 +111,12 @@ def test_edit_distance_of_empty_and_shortened(spark):
     a = F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: (i * 750).cast("string"))
     row = spark.range(1).select(X.edit_distance(a, F.slice(a, 2, 58)).alias("e"), X.edit_distance(a, none).alias("none"), X.edit_distance(none, none).alias("zero"))
     assert tuple(row.first()) == (2, 60, 0)
+    # among 3,000 tokens some share a hash
+    many = F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda i: F.concat(F.lit("t"), i.cast("string")))
+    pair = spark.range(1).select(many.alias("a"), F.slice(many, 2, 2998).alias("b"))
+    codes = pair.select(F.size(F.array_distinct(F.transform("a", lambda t: F.pmod(F.xxhash64(t), F.lit(X._CODES))))).alias("n")).first().n
+    assert codes < 3000
+    assert pair.select(X.edit_distance("a", "b").alias("e")).first().e == 2
 
 
 def test_item_pairs_of_long_and_equal_lists(spark):

@@ -431,7 +431,7 @@ def test_accents_of_every_script(spark):
 def test_edit_distance_beyond_the_surrogates(spark):
     n = 45_000
     a = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("t"), i.cast("string")))
-    r = one(spark.range(1).select(X._as_chars(F.array(F.lit("t41983"), F.lit("t41984"), F.lit("t45000")), a).alias("c")))
+    r = one(spark.range(1).select(X._as_chars(F.array(F.lit("t41983"), F.lit("t41984"), F.lit("t45000")), lambda t: F.array_position(a, t)).alias("c")))
     assert len(set(r.c)) == 3 and "?" not in r.c and "\ufffd" not in r.c
 
 
