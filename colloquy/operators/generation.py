@@ -26,6 +26,7 @@ def bleu_counts(df: DataFrame, key: str, hyp: str, ref: str, row_key, most=4) ->
     reduced to the largest count per (key, n-gram) and the distinct lengths per key
     before they meet any hypothesis, and equal hypotheses of a key are counted once with
     their multiplicity, so a popular key costs its distinct content, not its pairs.
+    The joins are merged: the n-grams are many times the staged file that Spark would judge them by.
     """
     rows = df.select(key, F.md5(F.array_join(hyp, "\u0001")).alias("_h"), F.md5(F.array_join(ref, "\u0001")).alias("_r"), hyp, ref)
     hyps = stage(rows.groupBy(key, "_h").agg(F.count(F.lit(1)).alias("copies"), F.first(hyp).alias("tokens")))
@@ -33,7 +34,7 @@ def bleu_counts(df: DataFrame, key: str, hyp: str, ref: str, row_key, most=4) ->
     most_seen = _gram_counts(refs, [key, "_r"], "tokens", most).groupBy(key, "n", "gram").agg(F.max("c").alias("limit"))
     mine = _gram_counts(hyps.select(key, "_h", "copies", "tokens"), [key, "_h", "copies"], "tokens", most)
     clipped = (
-        mine.join(most_seen, [key, "n", "gram"], "left")
+        mine.join(most_seen.hint("merge"), [key, "n", "gram"], "left")
         .groupBy("n")
         .agg(
             F.sum(F.col("copies") * F.least("c", F.coalesce("limit", F.lit(0)))).alias("hit"),
@@ -43,7 +44,7 @@ def bleu_counts(df: DataFrame, key: str, hyp: str, ref: str, row_key, most=4) ->
     hyp_lengths = hyps.groupBy(key, F.size("tokens").alias("hl")).agg(F.sum("copies").alias("copies"))
     ref_lengths = refs.select(key, F.size("tokens").alias("rl")).distinct()
     closest = (
-        hyp_lengths.join(ref_lengths, key)
+        hyp_lengths.join(ref_lengths.hint("merge"), key)
         .groupBy(key, "hl", "copies")
         .agg(F.min(F.struct(F.abs(F.col("hl") - F.col("rl")), "rl")).alias("m"))
     )

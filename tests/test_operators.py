@@ -240,6 +240,16 @@ def test_absent_value_makes_turn_unusable_and_unknown_intent_keeps_order(spark):
     assert got == [["Inform+餐馆+名称", "General+bye+none"], ["General+bye+none", "Foo+x+y", "Inform+餐馆+名称"]]
 
 
+def test_bleu_broadcasts_no_ngrams(spark):
+    """Staged tokens compress well, so their file size says nothing of their n-grams: they must not be sent to the driver."""
+    df = spark.createDataFrame([("k", ["a", "b", "a"], ["a", "b"]), ("k", ["b"], ["c", "d"]), (None, ["a"], ["a"])], "key string, h array<string>, r array<string>")
+    counts = G.bleu_counts(df, "key", "h", "r", [])
+    joins = [line for line in counts._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    assert joins and not [line for line in joins if "BroadcastHashJoin" in line]
+    r = one(counts)
+    assert (r.hit1, r.total1, r.hit2, r.total2, r.hyp_len, r.ref_len) == (3, 5, 1, 2, 4, 4)
+
+
 def test_bleu_rules(spark):
     df = spark.createDataFrame([("k", ["a", "b", "c"], ["a", "b", "c", "d"]), ("k", ["a", "b"], ["a", "x"])], "key string, h array<string>, r array<string>")
     c = one(G.bleu_counts(df, "key", "h", "r", []))
