@@ -5,6 +5,9 @@ from __future__ import annotations
 import sys
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.functions.binding import let
@@ -172,5 +175,32 @@ def wordpiece(df: DataFrame, tokens: str, vocab: DataFrame, key, out="pieces", u
         ).otherwise(a),
     )
     cut = steps.withColumn("_a", walk).select("token", F.when(F.col("_a.at") == n + 1, F.col("_a.out")).otherwise(F.array(F.lit(unk))).alias("p"))
-    looked_up = F.flatten(F.transform(F.col(tokens), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.coalesce(F.try_element_at("_m", t), F.array(F.lit(unk))))))
-    return token_maps(df, tokens, cut.withColumnRenamed("p", "value"), key).withColumn(out, looked_up).drop("_m")
+    found = token_maps(df, tokens, cut.withColumnRenamed("p", "value"), key)
+    return found.withColumn(out, _joined_lists(unk)(F.col(tokens), F.map_keys("_m"), F.map_values("_m"))).drop("_m")
+
+
+def _joined_lists(unk: str):
+    """The lists of a row's tokens in a row: ``unk`` for a token without one, nothing for an empty token.
+
+    Spark looks through a map entry by entry, which is quadratic in a text; the rows are looked up by hash instead.
+    """
+
+    @F.arrow_udf("array<string>")
+    def look_up(tokens: pa.Array, names: pa.Array, lists: pa.Array) -> pa.Array:
+        entries = lists.flatten()
+        unknown, nothing = len(entries), len(entries) + 1
+        entries = pa.concat_arrays([entries, pa.array([[unk], []], entries.type)])
+        base, at, sizes = 0, [], []
+        for row, held in zip(tokens, names):
+            sizes.append(len(row.values) if row.is_valid else 0)
+            if sizes[-1]:
+                place = pc.add(pc.index_in(row.values, value_set=held.values), base)
+                place = pc.fill_null(place, unknown)
+                at.append(pc.if_else(pc.fill_null(pc.equal(row.values, ""), False), nothing, place).cast(pa.int64()))
+            base += len(held.values)
+        taken = entries.take(pa.concat_arrays(at) if at else pa.array([], pa.int64()))
+        ends = np.concatenate([[0], np.cumsum(taken.value_lengths().to_numpy(zero_copy_only=False).astype("int64"))])
+        offsets = ends[np.concatenate([[0], np.cumsum(sizes)]).astype("int64")]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), taken.flatten(), mask=tokens.is_null())
+
+    return look_up

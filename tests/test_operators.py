@@ -377,6 +377,31 @@ def test_wordpiece(spark):
     assert one(X.wordpiece(df, "t", vocab, ["id"])).pieces == want
 
 
+def test_wordpiece_looks_up_by_hash(spark):
+    """Null and empty tokens, null and empty rows; no token searches the map of its row entry by entry."""
+    vocab = spark.createDataFrame([(w,) for w in ("a", "##b", "c")], "token string")
+    rows = [(1, ["ab", None, "", "c", "ab"]), (2, None), (3, []), (4, ["x"]), (5, [""]), (6, ["c"])]
+    out = X.wordpiece(spark.createDataFrame(rows, "id int, t array<string>").coalesce(1), "t", vocab, ["id"])
+    got = {r.id: r.pieces for r in out.collect()}
+    assert got == {1: ["a", "##b", "[UNK]", "c", "a", "##b"], 2: None, 3: [], 4: ["[UNK]"], 5: [], 6: ["c"]}
+    assert "ArrowEvalPython" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_state_diff_moves_states_once(spark):
+    """Turns at the edges of spans, one that came twice, a first turn and a null session; one shuffle and no join."""
+    state = lambda *on: [(i, f"s{i}", e) for i, e in enumerate(on)]
+    rows = [(1, p, state(p % 4 == 0, True)) for p in range(0, 20, 2)] + [(2, 0, state(True)), (2, 0, state(False)), (2, 2, state(True, False)), (2, 6, state(False))]
+    rows += [(None, 0, state(True)), (None, 2, state(False))]
+    df = spark.createDataFrame(rows, "session_id long, pos long, state array<struct<id:int,slot:string,expressed:boolean>>")
+    out = S.state_diff(df, chunk_rows=4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    got = sorted(((r.session_id or 0, r.pos, [c.slot for c in r.changed], r.last_id) for r in out.collect()), key=str)
+    want = [(1, p, ["s0"] if p else [], 1) for p in range(0, 20, 2)]
+    want += [(2, 0, [], 0), (2, 0, [], 1), (2, 2, [], 0), (2, 2, ["s0"], 0), (2, 6, [], 1), (0, 0, [], 0), (0, 2, [], 1)]
+    assert got == sorted(want, key=str)
+
+
 def test_basic_tokens_variants(spark):
     df = spark.createDataFrame([("Héllo,你好 [SEP] [unused1] a_b\x00!",)], "t string")
     assert one(df.select(X.basic_tokens("t").alias("x"))).x == ["hello", ",", "你", "好", "[SEP]", "[unused1]", "a", "_", "b", "!"]
