@@ -324,13 +324,24 @@ def dialog_history(pairs: DataFrame, session="session_id", chunk_rows=512) -> Da
     return out.withColumn("turn_text", F.trim(F.concat(F.col("sys"), F.lit(" ; "), F.col("usr")))).drop("_chunk", "_piece", "_local", "_earlier")
 
 
-def state_diff(states: DataFrame, keys=("session_id",)) -> DataFrame:
+def state_diff(states: DataFrame, keys=("session_id",), chunk_rows=512) -> DataFrame:
     """Tuples that differ from the user's previous turn (by position) and the last expressed sub-goal id.
 
-    ``states(session, pos, state)`` holds user turns only, pos counting every second turn.
+    ``states(session, pos, state)`` holds user turns only, pos counting every second turn. Sessions are cut into spans of
+    ``chunk_rows`` positions; the last turns of a span are also sent to the next one. The states are moved once, and
+    not at all where they lie by session already. A turn whose predecessor came twice is returned twice.
     """
-    prev = states.select(*keys, (F.col("pos") + 2).alias("pos"), F.col("state").alias("prev"))
-    both = states.join(prev, [*keys, "pos"], "left")
+    keys = list(keys)
+    chunk = F.floor(F.col("pos") / chunk_rows)
+    places = F.array(
+        F.struct(chunk.alias("_chunk"), F.lit(True).alias("_own")),
+        F.when(F.pmod(F.col("pos"), F.lit(chunk_rows)) >= chunk_rows - 2, F.struct((chunk + 1).alias("_chunk"), F.lit(False).alias("_own"))),
+    )
+    cut = states.withColumn("_p", F.explode(F.filter(places, lambda p: p.isNotNull()))).select(*states.columns, "_p._chunk", "_p._own")
+    two_before = W.partitionBy(*keys, "_chunk").orderBy("pos").rangeBetween(-2, -2)
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, "pos")])
+    both = cut.withColumn("_prev", F.collect_list(F.struct("state")).over(two_before)).filter("_own")
+    both = both.select(*states.columns, F.explode_outer(F.when(known, F.col("_prev"))).alias("_prev")).select(*states.columns, F.col("_prev.state").alias("prev"))
     changed = F.filter(
         F.transform("state", lambda x, i: F.when(
             F.col("prev").isNotNull() & (i < F.size("prev")) & ~x.eqNullSafe(F.get("prev", i)), x)),

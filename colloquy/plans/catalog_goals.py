@@ -233,6 +233,6 @@ SELECT session_id, pos, coalesce(changed, '') AS changed, coalesce(last_id, 1) A
 def _(spark, sf):
     g = gstate(spark, sf).select(F.col("goal_id").alias("session_id"), "state", F.explode(F.array(*[F.lit(i).cast("bigint") for i in (0, 2, 4)])).alias("pos"))
     st = F.transform("state", lambda t, i: t.withField("expressed", (F.col("session_id") + i + F.expr("pos div 2")) % 5 != 0))
-    d = S.state_diff(stage(g.withColumn("state", st)))
+    d = S.state_diff(g.withColumn("state", st))
     text = F.transform("changed", lambda t: F.concat_ws(":", t["slot"], t["expressed"].cast("string")))
     return d.select("session_id", "pos", F.array_join(text, " ").alias("changed"), F.col("last_id").cast("bigint").alias("last_id"))
