@@ -14,6 +14,8 @@ def stateful_session(spark: SparkSession) -> SparkSession:
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # no space reserved by every partition's store
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")  # a batch saves its changes, not its files
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", "false")  # counting rows reads every key before it is written
     for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         own.conf.set(name, spark.conf.get(name))
     return own
