@@ -293,7 +293,7 @@ def _(spark, sf):
     t, coded, vocab = act_ids(spark, sf)
     p = S.policy_examples(coded.drop("acts", "act_names").withColumnRenamed("act_ids", "acts"), S.state_changes(t))
     c = constraints(spark, sf)
-    hits = stage(N.result_counts(c, N.entity_search(c, searchable(spark, sf), counts=True)).select("query_id", "n"))
+    hits = stage(N.result_counts(c, N.entity_search(c, searchable(spark, sf), counted=True)).select("query_id", "n"))
     top = V.table(spark, sf, "part").agg(F.max("p_partkey").alias("top"))
     p = p.crossJoin(F.broadcast(top)).withColumn("query_id", (F.col("session_id") * 31 + F.col("pos")) % F.col("top") + 1).join(hits, "query_id", "left")
     p = p.crossJoin(F.broadcast(Vo.act_dims(vocab)))

@@ -98,7 +98,7 @@ def test_entity_search_against_brute_force(spark):
     want = {(q, ent[0]) for q in {x[0] for x in qs} for ent in ents if all(ok(ent, x) for x in qs if x[0] == q)}
     got = N.entity_search(c, terms).collect()
     assert len(got) == len(want) and {(r.query_id, r.entity) for r in got} == want
-    counted = N.entity_search(c, terms, counts=True)
+    counted = N.entity_search(c, terms, counted=True)
     assert {(r.query_id, r.n) for r in counted.collect()} == {(q, sum(q == k for k, _ in want)) for q, _ in want}
     assert {(r.query_id, r.n) for r in N.result_counts(c, counted).collect()} == {(x[0], sum(x[0] == k for k, _ in want)) for x in qs}
 
