@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.functions.binding import let
-from colloquy.operators.lookups import token_maps
+from colloquy.operators.staging import stage
 
 # -- fixed values: character classes of the basic tokeniser -----------------------------
 CJK = r"[一-鿿㐀-䶿豈-﫿\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{2F800}-\x{2FA1F}]"
@@ -147,17 +150,35 @@ def split_delex(text, segment=None) -> Column:
     )
 
 
-def wordpiece(df: DataFrame, tokens: str, vocab: DataFrame, key, out="pieces", unk="[UNK]", longest=100) -> DataFrame:
+BLOCK_TOKENS = 1 << 23  # rows with about so many tokens share one dictionary
+BLOCKS = 32  # at least, so that small inputs spread too
+ENTRY, KEYED, UNKEYED = 0, 1, 2  # of a block: tokens with the sizes of their pieces, then rows, last rows without a key
+
+
+def wordpiece(df: DataFrame, tokens: str, vocab: DataFrame, key, out="pieces", unk="[UNK]", longest=100, place=None) -> DataFrame:
     """Greedy longest-match pieces with ``##`` continuations; an empty token has no pieces.
 
     Every distinct token lists its substrings up to the longest vocabulary piece; an
     equi-join keeps those in the vocabulary; the longest match per start is followed from
     position 1. Only distinct tokens are cut, then looked up per row.
+
+    Rows are dealt to blocks, and a block asks once for each of its distinct tokens. So what is shuffled beside the rows are
+    the dictionaries of the blocks, not a row per text and token, and no token has more rows than there are blocks. ``place``
+    names a column in which rows that are stored together have near numbers, as ``monotonically_increasing_id`` gives them
+    while a table is staged; without it rows are dealt by a hash. A row with a null in ``key`` finds no token.
     """
-    types = df.select(F.explode(F.array_distinct(tokens)).alias("token")).distinct()
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size(tokens)).alias("tokens")).first()
+    per = max(1, size.rows // max(BLOCKS, (size.tokens or 0) // BLOCK_TOKENS))
+    at = F.coalesce(F.col(place), F.lit(0)) if place else F.pmod(F.xxhash64(*key, tokens), F.lit(max(1, size.rows)))
+    keyed = reduce(and_, [F.col(k).isNotNull() for k in key])
+    blocks = df.withColumn("_block", at - F.pmod(at, F.lit(per))).withColumn("_kind", F.when(keyed, KEYED).otherwise(UNKEYED))
+    need = blocks.filter(F.col("_kind") == KEYED).select("_block", F.explode(F.array_distinct(tokens)).alias("token"))
+    need = stage(need.filter("token <> ''").distinct())
+
+    types = need.select("token").distinct()
     widest = vocab.agg(F.max(F.length(F.regexp_replace("token", "^##", ""))).cast("int").alias("_w"))
     n = F.length("token")
-    starts = types.filter((n > 0) & (n <= longest)).crossJoin(F.broadcast(widest)).select("token", "_w", F.explode(F.sequence(F.lit(1), n)).alias("s"))
+    starts = types.filter(n <= longest).crossJoin(F.broadcast(widest)).select("token", "_w", F.explode(F.sequence(F.lit(1), n)).alias("s"))
     pieces = starts.select("token", "s", F.explode(F.sequence(F.lit(1), F.least("_w", n - F.col("s") + 1))).alias("l")).withColumn(
         "piece", F.concat(F.when(F.col("s") > 1, "##").otherwise(""), F.substring(F.col("token"), F.col("s"), F.col("l")))
     )
@@ -165,42 +186,76 @@ def wordpiece(df: DataFrame, tokens: str, vocab: DataFrame, key, out="pieces", u
     steps = best.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("s", "l"))).alias("m"))
     walk = F.aggregate(
         F.sequence(F.lit(1), n),
-        F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out")),
+        F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out")),
         lambda a, i: F.when(
             (a["at"] == i) & F.try_element_at("m", i).isNotNull(),
             F.struct(
                 (i + F.try_element_at("m", i)).alias("at"),
-                F.array_append(a["out"], F.concat(F.when(i > 1, "##").otherwise(""), F.substring(F.col("token"), i, F.try_element_at("m", i)))).alias("out"),
+                F.array_append(a["out"], F.octet_length(F.substring(F.col("token"), i, F.try_element_at("m", i)))).alias("out"),
             ),
         ).otherwise(a),
     )
-    cut = steps.withColumn("_a", walk).select("token", F.when(F.col("_a.at") == n + 1, F.col("_a.out")).otherwise(F.array(F.lit(unk))).alias("p"))
-    found = token_maps(df, tokens, cut.withColumnRenamed("p", "value"), key)
-    return found.withColumn(out, _joined_lists(unk)(F.col(tokens), F.map_keys("_m"), F.map_values("_m"))).drop("_m")
+    # a token that cannot be cut is left out, as unknown as one that the vocabulary does not begin
+    cut = steps.withColumn("_a", walk).filter(F.col("_a.at") == n + 1).select("token", F.col("_a.out").alias("_sizes"))
+
+    # a block's entries come before its rows; both are a string and the bytes of its parts, which takes less room than arrays
+    entries = need.join(cut, "token").select("_block", F.lit(ENTRY).alias("_kind"), F.col("token").alias("_text"), "_sizes")
+    sizes = F.transform(tokens, lambda t: F.coalesce(F.octet_length(t), F.lit(-1)))
+    rows = blocks.withColumn("_text", F.array_join(tokens, "")).withColumn("_sizes", sizes)
+    dealt = rows.unionByName(entries, allowMissingColumns=True).repartition("_block").sortWithinPartitions("_block", "_kind")
+    found = dealt.withColumn("_found", _joined_lists(unk)("_block", "_kind", "_text", "_sizes")).filter(F.col("_kind") != ENTRY)
+    return found.select(*[c for c in df.columns if c != out], F.col("_found").alias(out))
 
 
 def _joined_lists(unk: str):
     """The lists of a row's tokens in a row: ``unk`` for a token without one, nothing for an empty token.
 
-    Spark looks through a map entry by entry, which is quadratic in a text; the rows are looked up by hash instead.
+    Reads the entries of a block, then its rows, whose tokens are looked up by hash among them. It depends on that order, so
+    it is no deterministic function to Spark, which else might drop the entries before they are read.
     """
 
-    @F.arrow_udf("array<string>")
-    def look_up(tokens: pa.Array, names: pa.Array, lists: pa.Array) -> pa.Array:
-        entries = lists.flatten()
-        unknown, nothing = len(entries), len(entries) + 1
-        entries = pa.concat_arrays([entries, pa.array([[unk], []], entries.type)])
-        base, at, sizes = 0, [], []
-        for row, held in zip(tokens, names):
-            sizes.append(len(row.values) if row.is_valid else 0)
-            if sizes[-1]:
-                place = pc.add(pc.index_in(row.values, value_set=held.values), base)
-                place = pc.fill_null(place, unknown)
-                at.append(pc.if_else(pc.fill_null(pc.equal(row.values, ""), False), nothing, place).cast(pa.int64()))
-            base += len(held.values)
-        taken = entries.take(pa.concat_arrays(at) if at else pa.array([], pa.int64()))
-        ends = np.concatenate([[0], np.cumsum(taken.value_lengths().to_numpy(zero_copy_only=False).astype("int64"))])
-        offsets = ends[np.concatenate([[0], np.cumsum(sizes)]).astype("int64")]
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), taken.flatten(), mask=tokens.is_null())
-
-    return look_up
+    def parts(texts: pa.Array, sizes: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The parts of all texts, null where the size is negative, and the place in them where each text begins and the last ends."""
+        lengths = sizes.flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(np.maximum(lengths, 0))]).astype("int32")
+        begin = int(np.frombuffer(texts.buffers()[1], "int32")[texts.offset])
+        known, data = pa.array(lengths >= 0).buffers()[1], (texts.buffers()[2] or pa.py_buffer(b"")).slice(begin)
+        counts = pc.fill_null(pc.list_value_length(sizes), 0).to_numpy()
+        return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(ends), data, known), np.concatenate([[0], np.cumsum(counts)])
+
+    def dictionary(entries: list) -> tuple[pa.Array, pa.Array]:
+        names, cuts = (pa.concat_arrays(x) for x in zip(*entries))
+        pieces, begins = parts(names, cuts)
+        later = np.ones(len(pieces), bool)
+        later[begins[:-1]] = False  # an entry has a piece at least
+        pieces = pc.if_else(pa.array(later), pc.binary_join_element_wise("##", pieces, ""), pieces)
+        return names, pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pieces)
+
+    def listed(texts: pa.Array, sizes: pa.Array, names: pa.Array, lists: pa.Array) -> pa.Array:
+        words, begins = parts(texts, sizes)
+        unknown = len(names)
+        place = pc.fill_null(pc.index_in(words, value_set=names, skip_nulls=True), unknown)
+        place = pc.if_else(pc.fill_null(pc.equal(words, ""), False), unknown + 1, place)
+        taken = pa.concat_arrays([lists, pa.array([[unk], []], lists.type)]).take(place)
+        ends = np.concatenate([[0], np.cumsum(taken.value_lengths().to_numpy(zero_copy_only=False))])
+        return pa.ListArray.from_arrays(pa.array(ends[begins], pa.int32()), taken.flatten(), mask=sizes.is_null())
+
+    def look_up(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        none = pa.array([], pa.string()), pa.array([], pa.list_(pa.string()))
+        current, entries, held = None, [], none
+        for block, kind, text, sizes in batches:
+            b, k = block.to_numpy(), kind.to_numpy()
+            part = np.cumsum(pc.fill_null(pc.list_value_length(sizes), 0).to_numpy(), dtype="int64") >> 20  # about a million tokens at once
+            bounds = [0, *(np.flatnonzero((np.diff(b) != 0) | (np.diff(k) != 0) | (np.diff(part) != 0)) + 1), len(b)]
+            for i, j in zip(bounds, bounds[1:]):
+                if b[i] != current:
+                    current, entries, held = b[i], [], none
+                if k[i] == ENTRY:
+                    entries.append((text.slice(i, j - i), sizes.slice(i, j - i)))
+                    yield pa.nulls(j - i, pa.list_(pa.string()))
+                    continue
+                if entries:
+                    held, entries = dictionary(entries), []
+                yield listed(text.slice(i, j - i), sizes.slice(i, j - i), *(held if k[i] == KEYED else none))
+
+    return F.arrow_udf(look_up, "array<string>").asNondeterministic()

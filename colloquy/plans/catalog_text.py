@@ -283,11 +283,11 @@ SELECT d.doc_id, coalesce(p, '') AS pieces FROM d LEFT JOIN (SELECT doc_id, stri
 )
 def _(spark, sf):
     """Pieces of every document against the one- and two-letter pieces of the corpus' own vocabulary."""
-    d = stage(V.table(spark, sf, "documents").select("doc_id", X.basic_tokens("text").alias("toks")))
+    d = stage(V.table(spark, sf, "documents").select("doc_id", X.basic_tokens("text").alias("toks"), F.monotonically_increasing_id().alias("place")))
     tokens = d.select(F.explode(F.array_distinct("toks")).alias("t")).distinct()
     cut = F.transform(F.sequence(F.lit(1), F.length("t"), F.lit(2)), lambda i: F.concat(F.when(i > 1, "##").otherwise(""), F.substring("t", i, F.lit(2))))
     vocab = tokens.select(F.explode(cut).alias("token")).distinct()
-    return X.wordpiece(d, "toks", stage(vocab), ["doc_id"]).select("doc_id", F.array_join("pieces", " ").alias("pieces"))
+    return X.wordpiece(d, "toks", stage(vocab), ["doc_id"], place="place").select("doc_id", F.array_join("pieces", " ").alias("pieces"))
 
 
 # -- error rates ------------------------------------------------------------------------------------

@@ -390,6 +390,42 @@ def test_wordpiece_looks_up_by_hash(spark):
     assert "ArrowEvalPython" in out._jdf.queryExecution().executedPlan().toString()
 
 
+def _greedy(tokens, vocab, longest=100):
+    """Word pieces by the definition."""
+    out = []
+    for t in tokens or []:
+        i, cut = 0, []
+        while t and i < len(t) <= longest:
+            j = max((j for j in range(i + 1, len(t) + 1) if ("##" if i else "") + t[i:j] in vocab), default=0)
+            if not j:
+                break
+            cut.append(("##" if i else "") + t[i:j])
+            i = j
+        out += cut if t and i == len(t) else [] if t == "" else ["[UNK]"]
+    return out
+
+
+def test_wordpiece_asks_once_per_block(spark, monkeypatch):
+    """A block looks a token up once, however many of its rows hold it; repeated and null keys, accents, null and empty tokens."""
+    vocab = {"a", "##b", "ab", "##c", "é", "##é", "##éa", "b", "日", "##𝒳"}
+    words = ["ab", "abc", "abé", "éé", "éa", "bbb", "", None, "日", "b𝒳", "zz", "c", "a" * 101, "abababab"]
+    rows = [(k // 2 if k % 17 else None, [words[(k * i + i // 5) % len(words)] for i in range(k % 40)] if k % 23 else None, k) for k in range(240)]
+    df = spark.createDataFrame(rows, "id int, t array<string>, place long").repartition(5)
+    pieces = spark.createDataFrame([(w,) for w in vocab], "token string")
+    asked, staged = [], X.stage
+    monkeypatch.setattr(X, "stage", lambda d: asked.append(staged(d)) or asked[-1])
+    monkeypatch.setattr(X, "BLOCKS", 6)
+    for place in ("place", None):
+        got = X.wordpiece(df, "t", pieces, ["id"], place=place)
+        assert got.columns == ["id", "t", "place", "pieces"]
+        assert asked[-1].count() <= 7 * len(words)
+        found = {r.place: r.pieces for r in got.collect()}
+        want = {k: None if t is None else _greedy(t, vocab if i is not None else ()) for i, t, k in rows}
+        assert found == want
+        assert "hashpartitioning(id#" not in got._jdf.queryExecution().executedPlan().toString()
+    assert X.wordpiece(df.limit(0), "t", pieces, ["id"]).collect() == []
+
+
 def test_state_diff_moves_states_once(spark):
     """Turns at the edges of spans, one that came twice, a first turn and a null session; one shuffle and no join."""
     state = lambda *on: [(i, f"s{i}", e) for i, e in enumerate(on)]
