@@ -426,6 +426,19 @@ def test_wordpiece_asks_once_per_block(spark, monkeypatch):
     assert X.wordpiece(df.limit(0), "t", pieces, ["id"]).collect() == []
 
 
+def test_pairs_of_a_form_spread(spark):
+    """One form's pairs are many tasks' work; repeated and null keys and entities each form their own pair."""
+    asking = [(k if k % 50 else None, 1) for k in range(200)] + [(7, 1), (300, 2), (301, 3)]
+    found = [(1, e if e % 30 else None) for e in range(100)] + [(1, 5), (2, 9), (4, 9)]
+    want = sorted(((q, e) for q, f in asking for g, e in found if f == g), key=str)
+    out = N._pairs(spark.createDataFrame(asking, "q long, form long"), spark.createDataFrame(found, "form long, entity long"), "q", queries=20, entities=16, together=4)
+    got = out.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(((r.q, r.entity) for r in got), key=str) == want
+    assert len({r.task for r in got}) > 1
+    none = spark.createDataFrame([], "form long, entity long")
+    assert N._pairs(spark.createDataFrame(asking, "q long, form long"), none, "q").collect() == []
+
+
 def test_state_diff_moves_states_once(spark):
     """Turns at the edges of spans, one that came twice, a first turn and a null session; one shuffle and no join."""
     state = lambda *on: [(i, f"s{i}", e) for i, e in enumerate(on)]
